@@ -60,3 +60,12 @@ def chunked_fill(df: DataFrame, keys: list[str], chunk: str, order: str, cols: l
     edges = edges.withColumns({f"__{c}": F.last(f"__{c}", ignorenulls=True).over(before) for c in cols})
     joined = inside.join(edges, [*keys, chunk], "left")
     return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in cols}).drop(*[f"__{c}" for c in cols])
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """At least one partition per core for work that is heavy per row; a table that already has them is left as it is.
+
+    A small file comes as one partition however costly its rows are. The rows are placed by hash, so a lost task repeats itself.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
