@@ -77,8 +77,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     cut = docs.select(key, pre_tokens(F.col("__text"), path).alias("__pre"))
     distinct = cut.select(F.explode("__pre").alias("word")).distinct()
     words = broadcast_within(written(encoded_words(distinct, path)))
-    spread = cut.select(key, F.posexplode_outer("__pre").alias("__pos", "word"))
-    pieces = spread.join(words, "word", "left").groupBy(key).agg(F.collect_list(F.when(F.col("__pos").isNotNull(), F.struct("__pos", "ids"))).alias("l"))
+    placed = cut.select(key, F.posexplode_outer("__pre").alias("__pos", "word"))
+    pieces = placed.join(words, "word", "left").groupBy(key).agg(F.collect_list(F.when(F.col("__pos").isNotNull(), F.struct("__pos", "ids"))).alias("l"))
     # A place that came twice, from a repeated row, counts once: it follows its equal in the sorted list.
     once = F.filter(F.col("__l"), lambda x, i: (i == 0) | (x["__pos"] != F.element_at(F.col("__l"), F.greatest(i, F.lit(1)))["__pos"]))
     return pieces.select(key, F.sort_array("l").alias("__l")).select(key, F.flatten(F.transform(once, lambda x: x["ids"])).alias("ids"))
@@ -98,7 +98,7 @@ def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
 def decode(ids: DataFrame, key: str = "doc_id", path: str | None = None) -> DataFrame:
     """key, text: the text of each list of ids, '' for an empty one; ids outside the vocabulary add nothing."""
     table = F.broadcast(token_bytes(ids.sparkSession, path))
-    spread = ids.select(key, F.posexplode_outer("ids").alias("pos", "id"))
-    joined = spread.join(table, "id", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "hex"))).alias("l"))
+    placed = ids.select(key, F.posexplode_outer("ids").alias("pos", "id"))
+    joined = placed.join(table, "id", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "hex"))).alias("l"))
     text = F.array_join(F.transform("l", lambda x: x["hex"]), "")
     return joined.select(key, F.decode(F.unhex(text), "UTF-8").alias("text"))
