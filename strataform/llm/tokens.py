@@ -51,18 +51,25 @@ def pre_tokens(text: Column, path: str) -> Column:
     return F.coalesce(by_tokenizer(rare), F.regexp_extract_all(text, F.lit(PRE_TOKEN), F.lit(0)))
 
 
+def id_width(path: str) -> int:
+    """Bytes of an id in a packed list."""
+    return 2 if load(path).get_vocab_size() <= 1 << 16 else 4
+
+
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """word, ids of a table of distinct words."""
+    """word, packed (the ids, each of id_width bytes) of a table of distinct words."""
 
     def run(batches: Iterable) -> Iterator:
+        import numpy as np
         import pandas as pd
 
         tokenizer = load(path)
+        kind = f"<u{id_width(path)}"
         for pdf in batches:
-            ids = [e.ids for e in tokenizer.encode_batch(pdf["word"].tolist(), add_special_tokens=False)]
-            yield pd.DataFrame({"word": pdf["word"], "ids": ids})
+            encoded = tokenizer.encode_batch(pdf["word"].tolist(), add_special_tokens=False)
+            yield pd.DataFrame({"word": pdf["word"], "packed": [np.array(e.ids, kind).tobytes() for e in encoded]})
 
-    return words.mapInPandas(run, "word string, ids array<int>")
+    return words.mapInPandas(run, "word string, packed binary")
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -70,7 +77,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
 
     A key names one text; repeated rows of it count once. Special tokens' strings in a text are ordinary text. The occurrences of a word
     never meet in one task: a word table within the broadcast bound is sent to the texts, and beyond it the join on words is a shuffle
-    join whose hot words AQE splits. Occurrences are combined per document before they are shuffled.
+    join whose hot words AQE splits. Occurrences travel as four bytes of position before the packed ids, combined per document before
+    they are shuffled.
     """
     path = path or default_path()
     docs = spread(docs.select(key, F.col(text).alias("__text")), key)
@@ -78,10 +86,21 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     distinct = cut.select(F.explode("__pre").alias("word")).distinct()
     words = broadcast_within(written(encoded_words(distinct, path)))
     placed = cut.select(key, F.posexplode_outer("__pre").alias("__pos", "word"))
-    pieces = placed.join(words, "word", "left").groupBy(key).agg(F.collect_list(F.when(F.col("__pos").isNotNull(), F.struct("__pos", "ids"))).alias("l"))
-    # A place that came twice, from a repeated row, counts once: it follows its equal in the sorted list.
-    once = F.filter(F.col("__l"), lambda x, i: (i == 0) | (x["__pos"] != F.element_at(F.col("__l"), F.greatest(i, F.lit(1)))["__pos"]))
-    return pieces.select(key, F.sort_array("l").alias("__l")).select(key, F.flatten(F.transform(once, lambda x: x["ids"])).alias("ids"))
+    place = F.unhex(F.lpad(F.hex("__pos"), 8, "0"))
+    pieces = placed.join(words, "word", "left").groupBy(key).agg(F.collect_list(F.concat(place, "packed")).alias("pieces"))
+
+    def assemble(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        kind = f"<u{id_width(path)}"
+        for pdf in batches:
+            # In order of position; a piece that came twice, from a repeated row, counts once.
+            packed = [b"".join([p[4:] for p in sorted(set(l))]) for l in pdf["pieces"]]
+            yield pd.DataFrame({key: pdf[key], "ids": [np.frombuffer(p, kind).astype("int32") for p in packed]})
+
+    kind = docs.schema[key].dataType.simpleString()
+    return pieces.mapInPandas(assemble, f"{key} {kind}, ids array<int>")
 
 
 def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
