@@ -47,16 +47,25 @@ DEPENDENCY_SIGNALS = {
     "dynamic": dict(kinds=["dynamic-import"]),
 }
 
-_has = lambda *names: reduce(lambda a, b: a & b, [F.col(n) > 0 for n in names])
-_none = lambda n: F.col(n) == 0
-_depth = sum((F.col(f"layer_{i}") > 0).cast("int") for i in (1, 2, 3))
-_chain = _has("controller_service", "service_repository", "repository_database")
-_up_to = lambda n, k: F.least(F.col(n), F.lit(k)).cast("double")
+
+
+def _has(*names: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(n) > 0 for n in names])
+
+
+def _none(name: str) -> Column:
+    return F.col(name) == 0
+
+
+def _up_to(name: str, most: int) -> Column:
+    return F.least(F.col(name), F.lit(most)).cast("double")
 
 
 def rules() -> dict[str, tuple[list, list]]:
     """Pattern -> (rules that support it, rules that speak against it): each (condition, weight). A weight may count; a weight of 0 is a rule still."""
     one = F.lit(1.0)
+    depth = reduce(lambda a, b: a + b, [_has(f"layer_{i}").cast("int") for i in (1, 2, 3)])
+    chain = _has("controller_service", "service_repository", "repository_database")
     return {
         "MVC": ([(_has("route_controller"), one * 1.2), (_has("controller_service"), one * 1.4)], [(_has("widget_bloc"), one * 1.1)]),
         "MVVM": (
@@ -65,15 +74,15 @@ def rules() -> dict[str, tuple[list, list]]:
         ),
         "Clean Architecture": (
             [
-                (_chain, one * 2.2),
-                (~_chain & _has("controller_service"), one * 0.7),
-                (~_chain & _has("service_repository"), one * 0.8),
-                (~_chain & _has("repository_database"), one * 0.8),
+                (chain, one * 2.2),
+                (~chain & _has("controller_service"), one * 0.7),
+                (~chain & _has("service_repository"), one * 0.8),
+                (~chain & _has("repository_database"), one * 0.8),
                 (_has("implements"), one * 1.3),
             ],
             [(_has("controller_repository"), _up_to("controller_repository", 3) * 1.2)],
         ),
-        "Layered Architecture": ([(_has(f"layer_{i}"), F.when(_depth >= 2, 0.9).otherwise(0.0)) for i in (1, 2, 3)], []),
+        "Layered Architecture": ([(_has(f"layer_{i}"), F.when(depth >= 2, 0.9).otherwise(0.0)) for i in (1, 2, 3)], []),
         "Hexagonal": ([(_has("implements"), one * 1.4), (_has("module_provides"), one), (_has("configures"), one * 0.8)], [(_has("controller_database"), one)]),
         "Onion": ([(_has("n_domains") & (_has("provides_named_domain") | _has("contains")), one * 1.2), (_has("service_repository"), one)], []),
         "DDD": ([(_has("n_domains"), _up_to("n_domains", 3) * 0.7), (_has("provides_domain"), one * 1.1), (_has("repository_database"), one * 0.9)], []),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataform.plans import store, store_sql
+from strataform.plans import reference, reference_sql, store, store_sql
 
 
 def numbered(module) -> dict:
@@ -10,5 +10,7 @@ def numbered(module) -> dict:
     return {k: f for k, f in vars(module).items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
 
-QUERIES = numbered(store)
-SQL = {k: getattr(store_sql, k.upper()) for k in QUERIES if hasattr(store_sql, k.upper())}
+_STORE = numbered(store)
+
+QUERIES = _STORE | reference.QUERIES
+SQL = {k: getattr(store_sql, k.upper()) for k in _STORE if hasattr(store_sql, k.upper())} | reference_sql.SQL
