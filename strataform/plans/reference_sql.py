@@ -94,7 +94,7 @@ _LEXICON = ", ".join(f"('{w}', '{d}')" for w, d in sorted({w: d for d, ws in rev
 _words_of = lambda x: f"list_filter(regexp_split_to_array({x}, '[._\\-/]+'), lambda w: w <> '')"
 _pascal = lambda x: f"array_to_string(list_transform({_words_of(x)}, lambda w: upper(w[1:1]) || lower(w[2:])), '')"
 _list = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-_SAMPLE = f"""len(list_filter(case when contains(string_split(path, '/')[-1], '.') then string_split(path, '/')[:-2] else string_split(path, '/') end, s ->
+_SAMPLE = f"""len(list_filter(case when contains(string_split(path, '/')[-1], '.') then string_split(path, '/')[:-2] else string_split(path, '/') end, lambda s:
     list_contains({_list(paths.SAMPLE_DIRECTORIES)}, lower(s))
     or (starts_with(s, '_') and list_contains({_list(paths.SAMPLE_DIRECTORIES)}, regexp_replace(lower(s), '^_+', '')))
     or (len(list_filter(regexp_split_to_array(lower(s), '[-_]+'), lambda w: w <> '')) >= 2 and list_has_any(regexp_split_to_array(lower(s), '[-_]+'), {_list(paths.TEST_WORDS)}))
