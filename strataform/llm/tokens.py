@@ -89,18 +89,46 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     place = F.unhex(F.lpad(F.hex("__pos"), 8, "0"))
     pieces = placed.join(words, "word", "left").groupBy(key).agg(F.collect_list(F.concat(place, "packed")).alias("pieces"))
 
-    def assemble(batches: Iterable) -> Iterator:
-        import numpy as np
-        import pandas as pd
+    width = id_width(path)
 
-        kind = f"<u{id_width(path)}"
-        for pdf in batches:
-            # In order of position; a piece that came twice, from a repeated row, counts once.
-            packed = [b"".join([p[4:] for p in sorted(set(l))]) for l in pdf["pieces"]]
-            yield pd.DataFrame({key: pdf[key], "ids": [np.frombuffer(p, kind).astype("int32") for p in packed]})
+    def assemble(batches: Iterable) -> Iterator:
+        for batch in batches:
+            # Few documents at a time, so that memory follows them and not the size of a batch.
+            for i in range(0, batch.num_rows, DOCS_AT_ONCE):
+                yield _assembled(batch.slice(i, DOCS_AT_ONCE), width)
 
     kind = docs.schema[key].dataType.simpleString()
-    return pieces.mapInPandas(assemble, f"{key} {kind}, ids array<int>")
+    return pieces.mapInArrow(assemble, f"{key} {kind}, ids array<int>")
+
+
+#: Documents put together at a time.
+DOCS_AT_ONCE = 256
+
+
+def _assembled(batch, width: int):
+    """Key and ids of documents given as key and pieces; a piece is a big-endian position before packed ids. Pieces are put in order of
+    position, and one that came twice, from a repeated row, counts once."""
+    import numpy as np
+    import pyarrow as pa
+
+    lists = batch.column(1)
+    flat = lists.flatten()
+    n = len(flat)
+    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    kind = "<i8" if pa.types.is_large_binary(flat.type) else "<i4"
+    offsets = np.frombuffer(flat.buffers()[1], kind)[flat.offset : flat.offset + n + 1].astype("int64") if n else np.zeros(1, "int64")
+    data = np.frombuffer(flat.buffers()[2], "u1") if n else np.zeros(0, "u1")
+    joined = lambda at, step: sum(data[at + k].astype("int64") << (8 * s) for k, s in enumerate(step))
+    place = joined(offsets[:-1], (3, 2, 1, 0)) if n else np.zeros(0, "int64")
+    order = np.lexsort((place, doc))
+    d, p = doc[order], place[order]
+    order = order[np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1])]] if n else order
+    count = (np.diff(offsets)[order] - 4) // width
+    start = offsets[:-1][order] + 4
+    at = np.repeat(start - (np.cumsum(count) - count) * width, count) + np.arange(count.sum()) * width
+    ids = joined(at, range(width)).astype("int32") if len(at) else np.zeros(0, "int32")
+    ends = np.cumsum(np.bincount(doc[order], count, minlength=len(lists))).astype("int32")
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids, pa.int32()))], [batch.schema.names[0], "ids"])
 
 
 def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
