@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataform.operators.skew import bucket_of
+from strataform.sources.shared import written
 
 
 def orphan_keys(refs: DataFrame, parents: DataFrame, scope: list[str], at: str, key: str, n_buckets: Column) -> DataFrame:
@@ -29,8 +30,8 @@ def orphan_keys(refs: DataFrame, parents: DataFrame, scope: list[str], at: str,
         df = df.select(*names, n_buckets.alias("__n"), F.lit(parent).alias("__parent")).dropna(subset=names)
         return df.withColumn("__bucket", bucket_of(F.col(key), F.col("__n"))).drop("__n")
 
-    # One shuffle takes repeats out of both sides and lets a reference meet its own parent.
-    keys = (
+    # One shuffle takes repeats out of both sides; its rows are read twice below and so are written once.
+    keys = written(
         side(parents, True)
         .unionByName(side(refs, False))
         .groupBy(*scope, "__bucket", key, at)

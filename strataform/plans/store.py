@@ -10,6 +10,7 @@ from strataform.functions.clean import hundredths, norm_key, norm_keys, norm_upp
 from strataform.operators import eager, history, nested, snapdiff
 from strataform.operators.orphans import orphan_keys
 from strataform.operators.skew import broadcast_within, bucket_counts
+from strataform.sources.shared import written
 from strataform.sources.tables import table
 
 #: Rows of a project that share one bucket of the windows; a larger project is cut by key hash.
@@ -42,7 +43,7 @@ PARENTS = (("evidence_ids", "brain_evidence", "evidence_id"), ("superseded_by",
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = [table(spark, sf_dir, t).select(norm_key("project_id").alias("project_id")) for _, t, _ in PARENTS]
     counts = bucket_counts(held[0].unionByName(held[1]).unionByName(held[2]), ["project_id"], ROWS_PER_BUCKET)
-    dim = broadcast_within(snapshots(spark, sf_dir).join(counts, "project_id"))
+    dim = broadcast_within(written(snapshots(spark, sf_dir).join(counts, "project_id")))
     claims = latest_claims(
         spark, sf_dir, evidence_ids=norm_keys("evidence_ids"), superseded_by=F.array(norm_key("superseded_by")), contradiction_ids=norm_keys("contradiction_ids")
     )
