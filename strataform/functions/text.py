@@ -65,7 +65,7 @@ def references(text: Column, extension: Column) -> Column:
     """Specifiers that a source text imports, by language of the extension; repeats stay."""
     find = lambda p, g=1: F.regexp_extract_all(text, F.lit(p), F.lit(g))
     script = F.concat(
-        find(r"(?m)\b(?:import|export)\b[^'\"\n;]*?['\"]([^'\"\n]+)['\"]"),
+        find(r"(?m)\b(?:import|export)\b[^'\"\n;()]*?['\"]([^'\"\n]+)['\"]"),
         find(r"\brequire\(\s*['\"]([^'\"\n]+)['\"]\s*\)"),
         find(r"\bimport\(\s*['\"]([^'\"\n]+)['\"]\s*\)"),
     )

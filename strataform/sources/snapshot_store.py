@@ -62,12 +62,13 @@ class SnapshotStore:
 
     def load(self, name: str, snapshot_id: str) -> DataFrame:
         """The rows of a snapshot; fails if it is unknown, of another version, or not what was saved."""
+        path = self._path(name, snapshot_id)
         known = self.registry().where((F.col("snapshot_id") == snapshot_id) & (F.col("name") == name)).select("checksum", "version").first()
         if not known:
             raise KeyError(f"{name}/{snapshot_id}")
         if known[1] != VERSION:
             raise ValueError(f"version {known[1]}")
-        df = self.spark.read.parquet(self._path(name, snapshot_id))
+        df = self.spark.read.parquet(path)
         if checksum(df) != known[0]:
             raise ValueError(f"{name}/{snapshot_id} is not what was saved")
         return df
