@@ -23,23 +23,23 @@ def lifecycle(previous: DataFrame, following: DataFrame, scope: list[str]) -> Da
     """
     null = lambda c: F.coalesce(F.col(c), F.lit(""))
     fact = F.struct(*[null(c).alias(c) for c in FACT])
-    nxt, prev = following.withColumn("fact", fact), previous.withColumn("fact", fact)
-    live = nxt.select(*scope, "claim_id", F.lit("ACTIVE").alias("status"), F.lit(None).cast("string").alias("superseded_by"), "confidence", F.lit(0).alias("source"))
-    gone = prev.join(nxt.select(*scope, "fact").distinct(), [*scope, "fact"], "left_anti")
-    rivals = nxt.groupBy(*scope, F.col("fact.subject").alias("s"), F.col("fact.predicate").alias("p")).agg(F.min("claim_id").alias("rival"))
-    stepped = gone.withColumns({"s": F.col("fact.subject"), "p": F.col("fact.predicate")}).join(rivals, [*scope, "s", "p"], "left")
+    nxt, prev = following.withColumn("__fact", fact), previous.withColumn("__fact", fact)
+    live = nxt.select(*scope, "claim_id", F.lit("ACTIVE").alias("status"), F.lit(None).cast("string").alias("superseded_by"), "confidence", F.lit(0).alias("__source"))
+    gone = prev.join(nxt.select(*scope, "__fact").distinct(), [*scope, "__fact"], "left_anti")
+    rivals = nxt.groupBy(*scope, F.col("__fact.subject").alias("__s"), F.col("__fact.predicate").alias("__p")).agg(F.min("claim_id").alias("__rival"))
+    stepped = gone.withColumns({"__s": F.col("__fact.subject"), "__p": F.col("__fact.predicate")}).join(rivals, [*scope, "__s", "__p"], "left")
     stays = F.coalesce(F.col("status") == "INVALIDATED", F.lit(False))
     past = stepped.select(
         *scope,
         "claim_id",
-        F.when(stays, F.col("status")).when(F.col("rival").isNotNull(), "SUPERSEDED").otherwise("INVALIDATED").alias("status"),
-        F.when(stays, F.col("superseded_by")).otherwise(F.col("rival")).alias("superseded_by"),
+        F.when(stays, F.col("status")).when(F.col("__rival").isNotNull(), "SUPERSEDED").otherwise("INVALIDATED").alias("status"),
+        F.when(stays, F.col("superseded_by")).otherwise(F.col("__rival")).alias("superseded_by"),
         "confidence",
-        F.lit(1).alias("source"),
+        F.lit(1).alias("__source"),
     )
     rank = N.rank_of(F.col("status"), STATUSES)
-    best = F.max(F.struct(rank.alias("rank"), "source", "confidence", "status", "superseded_by")).alias("b")
-    return live.unionByName(past).groupBy(*scope, "claim_id").agg(best).select(*scope, "claim_id", "b.status", "b.superseded_by", "b.confidence")
+    best = F.max(F.struct(rank.alias("rank"), "__source", "confidence", "status", "superseded_by")).alias("__b")
+    return live.unionByName(past).groupBy(*scope, "claim_id").agg(best).select(*scope, "claim_id", "__b.status", "__b.superseded_by", "__b.confidence")
 
 
 def contradictions(claims: DataFrame, scope: list[str]) -> DataFrame:

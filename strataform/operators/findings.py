@@ -17,8 +17,8 @@ def dedupe(findings: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key: agents united in order, severity and id of the severest finding, the first by ``order`` among equals."""
     agents = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("agents", F.array().cast("array<string>"))))))
     rank = N.rank_of(F.col("severity"), N.SEVERITIES)
-    best = F.min(F.struct((-rank).alias("r"), F.col(order).alias("o"), F.col("severity").alias("severity"))).alias("b")
-    return findings.groupBy(*keys).agg(best, agents.alias("agents"), F.count(F.lit(1)).alias("n")).select(*keys, F.col("b.o").alias(order), "b.severity", "agents", "n")
+    best = F.min(F.struct((-rank).alias("r"), F.col(order).alias("o"), F.col("severity").alias("severity"))).alias("__b")
+    return findings.groupBy(*keys).agg(best, agents.alias("agents"), F.count(F.lit(1)).alias("n")).select(*keys, F.col("__b.o").alias(order), "__b.severity", "agents", "n")
 
 
 def decayed(n: Column) -> Column:
@@ -80,7 +80,7 @@ def gates(summary: DataFrame, repo: str, min_score: int, fail_on: str) -> DataFr
 
 def compare(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """key, status: new, resolved or remaining; repeated keys count once."""
-    b = before.select(key).dropna().distinct().withColumn("b", F.lit(1))
-    a = after.select(key).dropna().distinct().withColumn("a", F.lit(1))
-    status = F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "resolved").otherwise("remaining")
+    b = before.select(key).dropna().distinct().withColumn("__b", F.lit(1))
+    a = after.select(key).dropna().distinct().withColumn("__a", F.lit(1))
+    status = F.when(F.col("__b").isNull(), "new").when(F.col("__a").isNull(), "resolved").otherwise("remaining")
     return b.join(a, key, "full").select(key, status.alias("status"))

@@ -73,19 +73,19 @@ def missing_references(references: DataFrame, files: DataFrame, scope: list[str]
     """References (scope, path, ref, and ``tries``, the paths it may mean) of which no try is a file or a directory of the scope."""
     from strataform.functions.paths import ancestors
 
-    held = files.select(*scope, F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))).alias("try")).distinct().withColumn("held", F.lit(1))
-    tried = references.select(*scope, "path", "ref", F.explode("tries").alias("try")).join(held, [*scope, "try"], "left")
-    return tried.groupBy(*scope, "path", "ref").agg(F.count("held").alias("n")).where("n = 0").select(*scope, "path", "ref")
+    held = files.select(*scope, F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))).alias("__try")).distinct().withColumn("__held", F.lit(1))
+    tried = references.select(*scope, "path", "ref", F.explode("tries").alias("__try")).join(held, [*scope, "__try"], "left")
+    return tried.groupBy(*scope, "path", "ref").agg(F.count("__held").alias("__n")).where("__n = 0").select(*scope, "path", "ref")
 
 
 def set_metrics(truth: DataFrame, actual: DataFrame, scope: list[str], item: str) -> DataFrame:
     """Per scope: true positives, false positives, false negatives, precision, recall and F1 at four decimals (1 where nothing was asked or told)."""
     from strataform.functions.numbers import js_round
 
-    t = truth.select(*scope, item).dropna().distinct().withColumn("t", F.lit(1))
-    a = actual.select(*scope, item).dropna().distinct().withColumn("a", F.lit(1))
+    t = truth.select(*scope, item).dropna().distinct().withColumn("__t", F.lit(1))
+    a = actual.select(*scope, item).dropna().distinct().withColumn("__a", F.lit(1))
     counts = t.join(a, [*scope, item], "full").groupBy(*scope).agg(
-        F.count_if(F.col("t").isNotNull() & F.col("a").isNotNull()).alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"), F.count_if(F.col("a").isNull()).alias("fn")
+        F.count_if(F.col("__t").isNotNull() & F.col("__a").isNotNull()).alias("tp"), F.count_if(F.col("__t").isNull()).alias("fp"), F.count_if(F.col("__a").isNull()).alias("fn")
     )
     ratio = lambda x, y: F.when(y == 0, 1.0).otherwise(x / y)
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))

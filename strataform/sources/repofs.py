@@ -2,7 +2,8 @@
 
 One row per file with its text, one partition per top-level entry of the root (the root's own files make one more), so a large tree or
 many trees are read in parallel. Dot files are read like others. Directories that hold no sources are pruned and told as rows of kind
-``skipped``, unreadable ones as rows of kind ``error``; links that lead out of the root are left out.
+``skipped``, unreadable ones as rows of kind ``error``; links that lead out of the root are left out, and linked directories are read
+under their own path only.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ class RepoReader(DataSourceReader):
         for root in self.roots:
             out.append(Branch(root, root, False))
             with os.scandir(root) as entries:
-                out += [Branch(root, e.path, True) for e in sorted(entries, key=lambda e: e.name) if e.is_dir()]
+                out += [Branch(root, e.path, True) for e in sorted(entries, key=lambda e: e.name) if e.is_dir(follow_symlinks=False)]
         return out
 
     def read(self, part: Branch) -> Iterator[tuple]:
@@ -61,16 +62,12 @@ class RepoReader(DataSourceReader):
         row = lambda p, kind, **x: (
             part.root, rel(p), kind, x.get("size"), x.get("link"), x.get("binary"), x.get("empty"), x.get("text"), x.get("message"),
         )
-        stack, seen = [part.start], set()
+        stack = [part.start]
         if part.deep and os.path.basename(part.start) in PRUNED:
             yield row(part.start, "skipped")
             return
         while stack:
             here = stack.pop()
-            real = os.path.realpath(here)
-            if real in seen or not inside(part.root, real):
-                continue
-            seen.add(real)
             try:
                 entries = sorted(os.scandir(here), key=lambda e: e.name)
             except OSError as e:
@@ -81,6 +78,8 @@ class RepoReader(DataSourceReader):
                     if e.is_symlink() and not inside(part.root, os.path.realpath(e.path)):
                         continue
                     if e.is_dir():
+                        if e.is_symlink():
+                            continue
                         if e.name in PRUNED and here != part.root:
                             yield row(e.path, "skipped")
                         elif part.deep:
