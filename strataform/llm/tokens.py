@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataform.operators.skew import broadcast_within, spread
+from strataform.operators.skew import BROADCAST_BYTES, broadcast_within, spread
 from strataform.sources.shared import written
 
 #: Fixed value: white space of the tokenizer's pattern; in Java \s alone is ASCII.
@@ -72,22 +72,42 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
     return words.mapInPandas(run, "word string, packed binary")
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+#: Words that travel to every task if the table of all words is too large for it, and the longest that may (in characters).
+HOT_WORDS, HOT_LENGTH = 100_000, 64
+
+
+def with_ids(placed: DataFrame, words: DataFrame, counts: DataFrame, limit: int = BROADCAST_BYTES, n_hot: int = HOT_WORDS) -> DataFrame:
+    """Adds ``packed`` to occurrences (word null for a text without any).
+
+    A word table within ``limit`` bytes is sent to the texts. Beyond it only the ``n_hot`` most frequent short words are, which are most
+    occurrences, and the occurrences of the others meet their words in a shuffle join that no hot word is part of.
+    """
+    sent = broadcast_within(words, limit)
+    if sent is not words:
+        return placed.join(sent, "word", "left")
+    short = words.where(F.length("word") <= HOT_LENGTH)
+    hot = F.broadcast(written(short.join(counts, "word").orderBy(F.desc("n"), "word").limit(n_hot).select("word", "packed")))
+    near = placed.join(hot, "word", "left").where("packed is not null or word is null")
+    names = hot.select("word")
+    far = placed.where("word is not null").join(names, "word", "left_anti").join(words.join(names, "word", "left_anti"), "word")
+    return near.unionByName(far)
+
+
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, limit: int = BROADCAST_BYTES, n_hot: int = HOT_WORDS) -> DataFrame:
     """key, ids: one row per key, an empty list for an empty or null text.
 
-    A key names one text; repeated rows of it count once. Special tokens' strings in a text are ordinary text. The occurrences of a word
-    never meet in one task: a word table within the broadcast bound is sent to the texts, and beyond it the join on words is a shuffle
-    join whose hot words AQE splits. Occurrences travel as four bytes of position before the packed ids, combined per document before
-    they are shuffled.
+    A key names one text; repeated rows of it count once. Special tokens' strings in a text are ordinary text. The occurrences of a hot
+    word never meet in one task (with_ids). They travel as four bytes of position before the packed ids, combined per document before they
+    are shuffled.
     """
     path = path or default_path()
     docs = spread(docs.select(key, F.col(text).alias("__text")), key)
     cut = docs.select(key, pre_tokens(F.col("__text"), path).alias("__pre"))
-    distinct = cut.select(F.explode("__pre").alias("word")).distinct()
-    words = broadcast_within(written(encoded_words(distinct, path)))
+    counts = written(cut.select(F.explode("__pre").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    words = written(encoded_words(counts.select("word"), path))
     placed = cut.select(key, F.posexplode_outer("__pre").alias("__pos", "word"))
     place = F.unhex(F.lpad(F.hex("__pos"), 8, "0"))
-    pieces = placed.join(words, "word", "left").groupBy(key).agg(F.collect_list(F.concat(place, "packed")).alias("pieces"))
+    pieces = with_ids(placed, words, counts, limit, n_hot).groupBy(key).agg(F.collect_list(F.concat(place, "packed")).alias("pieces"))
 
     width = id_width(path)
 

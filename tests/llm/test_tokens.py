@@ -51,6 +51,13 @@ def test_random_unicode(spark, tokenizer):
     assert {r.doc_id: r.ids for r in tokens.encode(frame(spark, texts)).collect()} == {i: plain(tokenizer, t) for i, t in enumerate(texts)}
 
 
+def test_words_beyond_the_broadcast_bound(spark, tokenizer):
+    texts = [*TEXTS, *["the cat and the dog and the bird"] * 20, *[f"word{i} tail {i}" for i in range(50)]]
+    for n_hot in (0, 5, 1000):
+        ids = tokens.encode(frame(spark, texts), limit=1, n_hot=n_hot)
+        assert {r.doc_id: r.ids for r in ids.collect()} == {i: plain(tokenizer, t) for i, t in enumerate(texts)}
+
+
 def test_repeated_rows_empty_table_and_extra_columns(spark, tokenizer):
     df = spark.createDataFrame([(1, "a b a", "x"), (1, "a b a", "y"), (2, None, "z")], "doc_id bigint, text string, ids string")
     assert rows(tokens.encode(df)) == [(1, plain(tokenizer, "a b a")), (2, [])]
