@@ -260,6 +260,8 @@ def persons(t: str, given: frozenset[str], family: frozenset[str]) -> Iterator[S
             if f[0] or not f[3] or not (g[0] or g[3]):
                 continue
             score = 0.1 + 0.4 * f[2] + 0.4 * g[1] + 0.2 * (g[0] and f[2])
+            # A first name before a middle initial belongs to the name, however well the rest scores alone.
+            score += 0.25 * (last == i + 2)
             # Parts of the wrong kind, as in two family names, speak against.
             score -= 0.2 * (f[1] and not f[2]) + 0.2 * (g[2] and not g[1])
             b = tokens[last][1]

@@ -22,6 +22,7 @@ def found(text):
         ("name: ÉLODINE ASHGROVE-TAL", [("person", "ÉLODINE ASHGROVE-TAL")]),
         ("Frau Harkin M. Unlisted wohnt dort", [("person", "Harkin M. Unlisted")]),
         ("Call Vossberg, Pavlina on 555-0131 before", [("person", "Vossberg, Pavlina"), ("phone", "555-0131")]),
+        ("@docs-crew: Pavlina T. Vossberg is out, use x", [("person", "Pavlina T. Vossberg")]),
         ("Rule Harkin is a code name, not a person.", []),
         ("Harkin AtlasStore", []),
         ("holder='Harkin Vossberg' id='ZZ4597560'", [("person", "Harkin Vossberg"), ("national_id", "ZZ4597560")]),
