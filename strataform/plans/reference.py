@@ -375,10 +375,10 @@ def import_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imports in texts and the project's file each means, specifiers read from the root of the project."""
-    refs = import_references(spark, sf_dir).select(P, "specifier").distinct().withColumn("path", F.lit("root.ts"))
-    found = resolve(refs, locators(spark, sf_dir), [P])
-    return found.select(P, "specifier", F.coalesce("target", F.lit("")).alias("target"))
+    """Imports in texts and the file each means among those of all projects, specifiers read from the root."""
+    refs = import_references(spark, sf_dir).select("specifier").distinct().withColumn("path", F.lit("root.ts"))
+    found = resolve(refs, locators(spark, sf_dir), [])
+    return found.select("specifier", F.coalesce("target", F.lit("")).alias("target"))
 
 
 def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:

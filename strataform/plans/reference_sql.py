@@ -5,6 +5,7 @@ from __future__ import annotations
 from strataform.functions import paths
 from strataform.functions.text import SECRETISH, SENSITIVE_NAME
 from strataform.operators import architecture
+from strataform.operators.resolve import TRIED
 from strataform.plans import reference
 from strataform.plans.store_sql import _CHAIN, _CLAIMS, _SNAPS, _WS, key
 
@@ -137,11 +138,15 @@ _EV = f"ev as (select {key('project_id')} as project_id, {key('snapshot_id')} as
 
 
 def _reach(root: str, step: str) -> str:
+    """The least number of steps to every node from one root per project."""
     return f"""with recursive {D}, steps as (select distinct project_id, a, b from ({step})),
-walk as (select distinct project_id, '{root}' as node, 0 as depth from deps
-  union select w.project_id, s.b, w.depth + 1 from (select project_id, node, min(depth) as depth from walk group by 1, 2) w join steps s on s.project_id = w.project_id and s.a = w.node where w.depth < 25
-    and not exists (select 1 from recurring.walk x where x.project_id = w.project_id and x.node = s.b))
-select project_id, node, min(depth) as depth from walk group by 1, 2"""
+  walk(project_id, node, depth) as (select distinct project_id, '{root}', 0 from deps
+    union select w.project_id, s.b, w.depth + 1 from walk w join steps s on s.project_id = w.project_id and s.a = w.node where w.depth < 25)
+  select project_id, node, min(depth) as depth from walk group by 1, 2"""
+
+
+_BACK = "select project_id, target as a, source as b from deps"
+_TRIES = ", ".join(f"({i}, '{e}')" for i, e in enumerate(TRIED))
 
 
 _REFS = f"""refs as (select distinct project_id, path, ref from (
@@ -266,6 +271,19 @@ SQL = {
       union all select 'id used twice', count(*) from (select 1 from brain_claims group by {key('project_id')}, {key('snapshot_id')}, {key('claim_id')} having count(*) > 1)""",
     "snapshot_registry": f"""with o as (select {key('project_id')} as project_id, {key('snapshot_id')} as snapshot_id, min(created_at) as created_at, max({key('content_hash')}) as h from snapshot_meta where created_at is not null group by 1, 2)
       select project_id, snapshot_id, cast(row_number() over w as int) as place, coalesce(h = lag(h) over w, false) as same_hash from o where project_id is not null and snapshot_id is not null window w as (partition by project_id order by created_at, snapshot_id)""",
+    "trace_dependents": _reach("eventspine", _BACK),
+    "blast_radius": _reach("sharedkernel", f"{_BACK} union all select project_id, source, target from deps"),
+    "resolved_imports": f"""with {L}, refs as (select distinct specifier from (select unnest(list_concat(
+          regexp_extract_all(text, '(?m)\\b(?:import|export)\\b[^''"\\n;()]*?[''"]([^''"\\n]+)[''"]', 1), regexp_extract_all(text, '\\brequire\\(\\s*[''"]([^''"\\n]+)[''"]\\s*\\)', 1),
+          regexp_extract_all(text, '\\bimport\\(\\s*[''"]([^''"\\n]+)[''"]\\s*\\)', 1))) as specifier from documents where text is not null and path is not null)
+        where not starts_with(specifier, 'node:') and specifier not in ('.', './', '../')),
+      keys as (select key, arg_min(path, (rank, path)) as target from (select path, 0 as rank, path as key from files
+          union all select path, 1, regexp_replace(path, '\\.[A-Za-z0-9]+$', '') from files
+          union all select path, 2, regexp_replace(path, '/[^/]*$', '') from files where regexp_matches(path, '/(index\\.(ts|js)|__init__\\.py|mod\\.rs)$')) where key <> '' group by 1),
+      plain as (select specifier, case when starts_with(specifier, '.') then array_to_string(list_filter(string_split(specifier, '/'), lambda p: p not in ('', '.', '..')), '/') else specifier end as c from refs),
+      cands as (select specifier, 0 as i, c from plain union all select specifier, 1, regexp_replace(c, '\\.(?:jsx?|mjs|cjs)$', '') from plain),
+      best as (select c.specifier, arg_min(k.target, c.i * 100 + t.n) as target from cands c, (values {_TRIES}) t(n, e), keys k where k.key = c.c || t.e group by 1)
+      select r.specifier, coalesce(b.target, '') as target from refs r left join best b on b.specifier = r.specifier""",
     "mutual_dependencies": f"""with {D}, {R}, e as (select project_id, source, target from deps union select project_id, source, target from rels)
       select a.project_id, a.source as first, a.target as second from e a join e b on a.project_id = b.project_id and a.source = b.target and a.target = b.source where a.source < a.target""",
 }
