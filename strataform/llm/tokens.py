@@ -42,10 +42,12 @@ def load(path: str):
 def pre_tokens(text: Column, path: str) -> Column:
     """The pre-tokens of a text in order; null for null."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
+    @F.arrow_udf(T.ArrayType(T.StringType()))
     def by_tokenizer(texts):
-        cut = load(path).pre_tokenizer.pre_tokenize_str
-        return texts.map(lambda t: [t[a:b] for _, (a, b) in cut(t)] if t is not None else None)
+        import pyarrow as pa
+
+        cut = lambda t: [t[a:b] for _, (a, b) in load(path).pre_tokenizer.pre_tokenize_str(t)]
+        return pa.array([cut(t) if t is not None else None for t in texts.to_pylist()], pa.list_(pa.string()))
 
     rare = F.when(text.rlike(UNKNOWN), text)
     return F.coalesce(by_tokenizer(rare), F.regexp_extract_all(text, F.lit(PRE_TOKEN), F.lit(0)))
@@ -61,15 +63,16 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterable) -> Iterator:
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         tokenizer = load(path)
         kind = f"<u{id_width(path)}"
-        for pdf in batches:
-            encoded = tokenizer.encode_batch(pdf["word"].tolist(), add_special_tokens=False)
-            yield pd.DataFrame({"word": pdf["word"], "packed": [np.array(e.ids, kind).tobytes() for e in encoded]})
+        for batch in batches:
+            encoded = tokenizer.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
+            packed = pa.array([np.array(e.ids, kind).tobytes() for e in encoded], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["word", "packed"])
 
-    return words.mapInPandas(run, "word string, packed binary")
+    return words.mapInArrow(run, "word string, packed binary")
 
 
 #: Words that travel to every task if the table of all words is too large for it, and the longest that may (in characters).
