@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from strataform.functions import paths as P
 
 #: Extensions tried behind a candidate, in order.
-TRIED = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".java", ".go", ".rs", ".php", ".dart", "/index.ts", "/index.js", "/__init__.py", "/mod.rs"]
+TRIED = (
+    [""]
+    + ".ts .tsx .js .jsx .mjs .cjs .dart .java .go .py .rs .php".split()
+    + "/index.ts /index.tsx /index.js /index.jsx /index.mjs /index.dart /__init__.py /mod.rs".split()
+)
 
 
 def file_keys(files: DataFrame, scope: list[str]) -> DataFrame:
