@@ -65,18 +65,28 @@ def text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
+def strict_json(text: Column | str) -> Column:
+    """A JSON text as a variant; null if it is none. Spark's parser stops at the end of the first value, so a value with something behind
+    it would pass: it is parsed as the only element of an array and as the only field of an object, of which one shows any rest."""
+    text = F.col(text) if isinstance(text, str) else text
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    field = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    return F.when(field.isNotNull() & (F.size(items) == 1), items[0])
+
+
 def parsed(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds ``brain`` and ``model`` (variants, null where there is none) to rows with a JSON text.
 
     Null, broken and non-object payloads have no brain. A wrapper's object ``brain`` goes before the payload itself; a model given as
-    JSON text is parsed in turn.
+    JSON text is parsed in turn. Of a field that comes twice the last counts (a setting of the session, made here).
     """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     is_object = lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
-    df = df.withColumn("__v", F.try_parse_json(payload))
+    df = df.withColumn("__v", strict_json(payload))
     df = df.withColumn("__inner", F.try_variant_get("__v", "$.brain", "variant"))
     df = df.withColumn("brain", F.when(is_object(F.col("__inner")), F.col("__inner")).when(is_object(F.col("__v")), F.col("__v")))
     df = df.withColumn("__model", F.try_variant_get("brain", "$.model", "variant"))
-    model = F.when(is_object(F.col("__model")), F.col("__model")).otherwise(F.try_parse_json(F.try_variant_get("__model", "$", "string")))
+    model = F.when(is_object(F.col("__model")), F.col("__model")).otherwise(strict_json(F.try_variant_get("__model", "$", "string")))
     return df.withColumn("model", model).drop("__v", "__inner", "__model")
 
 

@@ -43,6 +43,9 @@ CASES = [
     "3",
     '"text"',
     "{}",
+    *['{"claims": [{"id": "c"}]}' + x for x in ("x", "]", "}", " {}", ", {}", "\x00", "] y", ' , "z": 1', " \n")],
+    '{"claims": [{"id": "a", "id": "b"}], "claims": {"id": "z"}}',
+    '{"claims": [{"id": 01}]}',
     json.dumps({"brain": None, "claims": [{"id": "c"}]}),
     json.dumps({"claims": [None, {"id": None, "evidenceIds": "e1"}, {"evidence_ids": [None, "e2", ""]}, "odd", 7]}),
     json.dumps({"brain": {"claims": {"id": "only", "contradictionIds": [None]}, "model": None, "evidence": []}, "x": [1]}),
@@ -64,5 +67,5 @@ def test_flat_items_equal_a_plain_walk(spark):
 def test_empty_table_and_flat_table(spark):
     empty = spark.createDataFrame([], "export_id bigint, payload string")
     assert rows(flat_items(empty, "export_id")) == []
-    one = spark.createDataFrame([(1, CASES[10])], "export_id bigint, payload string")
+    one = spark.createDataFrame([(1, CASES[-3])], "export_id bigint, payload string")
     assert rows(flat_table(one, "export_id", "component", {"id": "id", "path": "path"})) == [(1, 0, "12", None)]
