@@ -369,15 +369,34 @@ def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Import specifiers in the texts: project_id, path, specifier, distinct."""
-    d = table(spark, sf_dir, "documents").select(norm_key(P).alias(P), "path", "text").dropna()
-    found = text.references(F.col("text"), F.lit("ts"))
-    return d.select(P, "path", F.explode(found).alias("specifier")).distinct()
+    """Import specifiers in the texts: project_id, path, specifier, distinct.
+
+    The language is that of the path's extension; texts that are no source, such as notes, and texts without a path are read as scripts.
+    The latter keep a null path.
+    """
+    d = table(spark, sf_dir, "documents").select(norm_key(P).alias(P), F.when(F.trim("path") != "", F.col("path")).alias("path"), "text").dropna(subset=[P, "text"])
+    language = F.when(paths.is_source(F.col("path")), paths.extension(F.col("path"))).otherwise("ts")
+    return d.select(P, "path", F.explode(text.references(F.col("text"), language)).alias("specifier")).distinct()
+
+
+def project_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports in the texts of each project and the file of the project each means: project_id, path, specifier, target ('' if there is none).
+
+    A relative specifier is read from the directory of its own path; without a path it has no target.
+    """
+    refs = import_references(spark, sf_dir).withColumnsRenamed({"path": "own"}).withColumn("path", F.coalesce("own", F.lit("")))
+    found = resolve(refs, locators(spark, sf_dir), [P])
+    placed = F.col("own").isNotNull() | ~F.col("specifier").startswith(".")
+    return found.select(P, F.col("own").alias("path"), "specifier", F.when(placed & F.col("target").isNotNull(), F.col("target")).otherwise("").alias("target"))
 
 
 def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imports in texts and the file each means among those of all projects, specifiers read from the root."""
-    refs = import_references(spark, sf_dir).select("specifier").distinct().withColumn("path", F.lit("root.ts"))
+    """A search across projects: script imports in texts and the file each would mean among those of all projects, read from the root.
+
+    The imports of each project, resolved in their place, are in ``project_imports``.
+    """
+    d = table(spark, sf_dir, "documents").select(norm_key(P).alias(P), "path", "text").dropna()
+    refs = d.select(F.explode(text.references(F.col("text"), F.lit("ts"))).alias("specifier")).distinct().withColumn("path", F.lit("root.ts"))
     found = resolve(refs, locators(spark, sf_dir), [])
     return found.select("specifier", F.coalesce("target", F.lit("")).alias("target"))
 
@@ -520,7 +539,7 @@ QUERIES = {
         finding_summary, finding_dedupe, readiness_scores, readiness_scopes, policy_gates, finding_diff, dependency_merge, relationship_merge, fan_in_risk, coupling_risk, risk_ranking, bidirectional_edges,
         edge_search, statistics, list_dependencies, find_component, find_dependency, find_relationship, evidence_search, impact, architecture_signals, architecture_scores, confidence_distribution,
         latency_percentiles, set_metrics, token_domains, path_classes, path_names, model_ids, claim_ids, redacted_evidence, duplicate_documents, large_documents, ownership_resolution, unclear_ownership,
-        exposure, resolved_imports, missing_references, contradictions, claim_lifecycle, claim_evidence, evidence_links, brain_summary, list_claims, invalidations, contradiction_delta, contract_violations,
+        exposure, project_imports, resolved_imports, missing_references, contradictions, claim_lifecycle, claim_evidence, evidence_links, brain_summary, list_claims, invalidations, contradiction_delta, contract_violations,
         snapshot_registry, trace_dependents, blast_radius, mutual_dependencies, domain_modules,
     )
 }
