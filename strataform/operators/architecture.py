@@ -120,7 +120,7 @@ def signals(relationships: DataFrame, dependencies: DataFrame, entrypoints: Data
     words = relationships.where("kind = 'PROVIDES'").select(scope, "source", "target", F.explode(F.split(F.lower(F.regexp_replace("target", "([a-z0-9])([A-Z])", "$1 $2")), r"[^a-z0-9]+")).alias("name"))
     named = words.join(names, [scope, "name"], "left_semi").select(scope, "source", "target").distinct().groupBy(scope).agg(F.count(F.lit(1)).alias("provides_named_domain"))
     parts = [
-        relationships.groupBy(scope).agg(*count(RELATIONSHIP_SIGNALS, "kind")),
+        relationships.groupBy(scope).agg(*count(RELATIONSHIP_SIGNALS, "kind"), F.count_if(matching(**RELATIONSHIP_SIGNALS["widget_bloc"]) & (F.size("evidence") > 0)).alias("widget_bloc_told")),
         dependencies.groupBy(scope).agg(*count(DEPENDENCY_SIGNALS, "type")),
         entrypoints.groupBy(scope).agg(
             F.countDistinct("framework").alias("n_frameworks"),
@@ -133,6 +133,19 @@ def signals(relationships: DataFrame, dependencies: DataFrame, entrypoints: Data
     return reduce(lambda a, b: a.join(b, scope, "full"), parts).na.fill(0)
 
 
+def conflicts(signal_counts: DataFrame, scope: str, minimum: float = 0.55) -> DataFrame:
+    """scope, pattern, n of the inferred patterns that something speaks against: n pieces of conflicting evidence.
+
+    Every rule against a pattern tells one piece, but MVC's one for each of up to three edges with evidence.
+    """
+    cells = []
+    for pattern, (_, against) in rules().items():
+        told = [F.least(F.col("widget_bloc_told"), F.lit(3)) if pattern == "MVC" else r[0].cast("long") for r in against]
+        cells.append(F.struct(F.lit(pattern).alias("pattern"), reduce(lambda a, b: a + b, told, F.lit(0).cast("long")).alias("n")))
+    counts = signal_counts.select(scope, F.explode(F.array(*cells)).alias("x")).select(scope, "x.*").where("n > 0")
+    return counts.join(infer(signal_counts, scope, minimum).select(scope, "pattern"), [scope, "pattern"], "left_semi")
+
+
 def infer(signal_counts: DataFrame, scope: str, minimum: float = 0.55) -> DataFrame:
     """scope, pattern, n_rules, support, conflict, confidence of every pattern with support and at least ``minimum``."""
     zero = F.lit(0.0)

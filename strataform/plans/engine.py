@@ -51,7 +51,7 @@ _TABLES: dict[str, Callable] = {
     "ListContradictions": R.contradictions,
     "ListInvalidations": R.invalidations,
     "ListOwnership": R.ownership_resolution,
-    "ListRisks": R.risk_ranking,
+    "ListRisks": R.risks,
     "ListChanges": R.contradiction_delta,
     "Statistics": R.statistics,
     "ProjectSummary": R.brain_summary,

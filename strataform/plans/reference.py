@@ -6,6 +6,8 @@ the one with the greatest loaded_at, then the greatest values).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -133,8 +135,43 @@ def coupling_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.coupling(relationships(spark, sf_dir), [P])
 
 
+def risks(spark: SparkSession, sf_dir: str, owner_rules: list[dict] | None = None) -> DataFrame:
+    """All risks of each project, each target once per kind: kind, target, severity, confidence.
+
+    Entrypoints and domains are those of all its exports; of an entrypoint told more than once the greatest confidence counts, none counts
+    as 0. Ownership is unclear where no rule covers an entrypoint or one of a domain's first three paths.
+    """
+    row = lambda df, kind, severity, sure: df.select(P, F.lit(kind).alias("kind"), "target", F.lit(severity).alias("severity"), sure.alias("confidence"))
+    files = exported(spark, sf_dir, "entrypoint", file="file", confidence="confidence").where("file <> ''").dropna(subset=[P])
+    sure = F.nanvl(F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    entries = files.groupBy(P, F.col("file").alias("target")).agg(F.max(sure).alias("sure"))
+    exports = table(spark, sf_dir, "brain_exports")
+    of = exports.select("export_id", norm_key(P).alias(P))
+    domain_paths = nested.flat_items(exports, "export_id").where("entity = 'domain_path' and pos < 3 and item <> ''").join(of, "export_id").select(P, F.col("item").alias("target"))
+    owned = files.select(P, F.col("file").alias("target")).unionByName(domain_paths).dropna()
+    owned = owned.withColumn("target", F.replace("target", F.lit("\\"), F.lit("/"))).distinct().withColumn("__path", F.regexp_replace("target", r"\A/+", ""))
+    unowned = matching.resolve_owners(owned, _owner_rules() if owner_rules is None else owner_rules, "__path").where("owner is null")
+    disputed = architecture.conflicts(_signals(spark, sf_dir), P).withColumnRenamed("pattern", "target").dropna(subset=[P])
+    kinds = [
+        row(entries, "critical-entrypoint", "high", numbers.confidence(F.least(F.lit(0.9), F.lit(0.55) + F.col("sure") * 0.35))),
+        fan_in_risk(spark, sf_dir).select(P, F.lit("dependency-centrality").alias("kind"), "target", "severity", "confidence"),
+        coupling_risk(spark, sf_dir).select(P, F.lit("high-coupling").alias("kind"), "target", "severity", "confidence"),
+        row(disputed, "architecture-conflict", "medium", numbers.confidence(F.least(F.lit(0.85), F.lit(0.4) + F.col("n") * 0.1))),
+        row(unowned, "unclear-ownership", "medium", F.lit(0.7)),
+    ]
+    return reduce(DataFrame.unionByName, kinds).where("confidence >= 0.5")
+
+
+def top_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five gravest risks of each project among those of all kinds."""
+    rank = numbers.rank_of(F.col("severity"), numbers.RISK_LEVELS)
+    order = Window.partitionBy(P).orderBy(rank.desc(), F.col("confidence").desc(), "kind", "target")
+    ranked = risks(spark, sf_dir).withColumn("place", F.row_number().over(order)).where("place <= 5")
+    return ranked.select(P, "place", "kind", "target", "severity", "confidence")
+
+
 def risk_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five gravest risks of each project: severity, confidence, kind, target."""
+    """The five gravest of the risks that edges tell, fan-in and coupling: severity, confidence, kind, target. Those of all kinds are in ``top_risks``."""
     kinds = [fan_in_risk(spark, sf_dir).withColumn("kind", F.lit("dependency-centrality")), coupling_risk(spark, sf_dir).withColumn("kind", F.lit("high-coupling"))]
     rank = numbers.rank_of(F.col("severity"), numbers.RISK_LEVELS)
     order = Window.partitionBy(P).orderBy(rank.desc(), F.col("confidence").desc(), "kind", "target")
@@ -536,7 +573,7 @@ def domain_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        finding_summary, finding_dedupe, readiness_scores, readiness_scopes, policy_gates, finding_diff, dependency_merge, relationship_merge, fan_in_risk, coupling_risk, risk_ranking, bidirectional_edges,
+        finding_summary, finding_dedupe, readiness_scores, readiness_scopes, policy_gates, finding_diff, dependency_merge, relationship_merge, fan_in_risk, coupling_risk, risks, top_risks, risk_ranking, bidirectional_edges,
         edge_search, statistics, list_dependencies, find_component, find_dependency, find_relationship, evidence_search, impact, architecture_signals, architecture_scores, confidence_distribution,
         latency_percentiles, set_metrics, token_domains, path_classes, path_names, model_ids, claim_ids, redacted_evidence, duplicate_documents, large_documents, ownership_resolution, unclear_ownership,
         exposure, project_imports, resolved_imports, missing_references, contradictions, claim_lifecycle, claim_evidence, evidence_links, brain_summary, list_claims, invalidations, contradiction_delta, contract_violations,

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 from strataform.plans import reference
+from strataform.plans.engine import QueryEngine
 from tests.conftest import rows
 
 
@@ -42,3 +45,34 @@ def test_imports_are_resolved_in_their_place_and_project(spark, tmp_path):
             "p string, path string, s string, t string",
         )
     )
+
+
+DEPENDENCIES = "edge_id bigint, project_id string, dep_from string, dep_to string, dep_type string, confidence double, evidence array<string>, discovered_at timestamp, loaded_at timestamp"
+RELATIONSHIPS = "edge_id bigint, project_id string, rel_source string, rel_target string, relationship string, confidence double, evidence array<string>, strength string, bidirectional boolean, discovered_at timestamp, loaded_at timestamp"
+EXPORTS = "export_id bigint, project_id string, snapshot_id string, received_at timestamp, payload string"
+
+
+def edge_tables(spark, tmp_path, dependencies=(), relationships=(), exports=()):
+    """A directory with (from, to) dependencies, (source, kind, target) relationships and the models of exports, all of project p."""
+    d = [(i, "p", a, b, "import", 0.9, ["e"], None, None) for i, (a, b) in enumerate(dependencies)]
+    r = [(i, "p", a, b, k, 0.9, ["e"], "strong", False, None, None) for i, (a, k, b) in enumerate(relationships)]
+    x = [(i, "p", "s", None, json.dumps({"model": m})) for i, m in enumerate(exports)]
+    return tables(spark, tmp_path, dependency_matches=(d, DEPENDENCIES), relationship_matches=(r, RELATIONSHIPS), brain_exports=(x, EXPORTS))
+
+
+def test_all_kinds_of_risks_are_listed(spark, tmp_path):
+    hubs = [(f"s{i}", f"Hub{k}") for k in range(6) for i in range(3)]
+    rel = [("HomeWidget", "USES", "HomeBloc"), ("OrderController", "USES", "OrderService")]
+    model = {"entrypoints": [{"file": "src/main.ts", "framework": "Node", "confidence": 1}, {"file": "odd/run.py", "framework": "Python"}], "domains": [{"name": "D", "paths": ["src/a", "/b/c", "src/d", "e/f"]}]}
+    sf = edge_tables(spark, tmp_path, hubs, rel, [model, model])
+    rules = [{"pattern": "/src/", "regex": "^src(/.*)?$", "owner": "@x", "source": "codeowners"}]
+    got = rows(reference.risks(spark, sf, rules).select("kind", "target", "severity", "confidence"))
+    assert got == sorted(
+        [("dependency-centrality", f"hub{k}", "medium", 0.74) for k in range(6)]
+        + [("critical-entrypoint", "src/main.ts", "high", 0.9), ("critical-entrypoint", "odd/run.py", "high", 0.55)]
+        + [("architecture-conflict", "BLoC", "medium", 0.5)]
+        + [("unclear-ownership", t, "medium", 0.7) for t in ("odd/run.py", "/b/c")],
+        key=repr,
+    )
+    assert [(r.kind, r.target) for r in reference.top_risks(spark, sf).orderBy("place").collect()][:3] == [("critical-entrypoint", "src/main.ts"), ("critical-entrypoint", "odd/run.py"), ("dependency-centrality", "hub0")]
+    assert QueryEngine(spark, sf).run("ListRisks").count == 9
