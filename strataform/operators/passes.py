@@ -151,17 +151,102 @@ def relation_type(source: Column, target: Column) -> Column:
     )
 
 
+def packages(files: DataFrame) -> DataFrame:
+    """repo, path (of the manifest), name, root, needs: the named packages of package.json files and the names they depend on."""
+    v = F.try_parse_json("text")
+    bags = [F.map_keys(F.try_variant_get(v, f"$.{b}", "map<string,variant>")) for b in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")]
+    needs = F.array_distinct(F.concat(*[F.coalesce(b, F.array().cast("array<string>")) for b in bags]))
+    f = files.where((F.col("kind") == "file") & (F.lower(P.basename(F.col("path"))) == "package.json"))
+    return f.select("repo", "path", F.try_variant_get(v, "$.name", "string").alias("name"), P.dirname(F.col("path")).alias("root"), needs.alias("needs")).where("name <> ''")
+
+
+def specifier_maps(files: DataFrame) -> DataFrame:
+    """repo, lang, head, tail, whole, to_head, to_tail, ord: what manifests put in place of a specifier's head and tail, least ord first.
+
+    Path aliases of tsconfig and jsconfig files (the longest pattern first), then subpaths of scoped packages; module prefixes of go.mod.
+    """
+    f = files.where((F.col("kind") == "file") & F.col("text").isNotNull())
+    name = F.lower(P.basename(F.col("path")))
+    told = F.try_variant_get(F.try_parse_json("text"), "$.compilerOptions.paths", "map<string,array<string>>")
+    alias = f.where(name.isin("tsconfig.json", "tsconfig.base.json", "jsconfig.json")).select("repo", "path", F.explode(told).alias("pattern", "to")).withColumn("to", F.try_element_at("to", F.lit(1))).where("to <> ''")
+    part = lambda c, i: F.coalesce(F.get(F.split(c, r"\*"), F.lit(i)), F.lit(""))
+    to = P.join_path(P.dirname(F.col("path")), F.col("to"))
+    row = lambda df, lang, head, tail, whole, to_head, to_tail, kind: df.select(
+        "repo", F.lit(lang).alias("lang"), head.alias("head"), tail.alias("tail"), whole.alias("whole"), to_head.alias("to_head"), to_tail.alias("to_tail"), F.struct(F.lit(kind).alias("kind"), (-F.length(head) - F.length(tail)).alias("n"), head.alias("head"), tail.alias("tail")).alias("ord")
+    )
+    below = lambda root, then="": F.concat(F.when(root != "", F.concat(root, F.lit("/"))).otherwise(""), F.lit(then))
+    none, no = F.lit(""), F.lit(False)
+    scoped = packages(files).where("startswith(name, '@') and contains(name, '/')")
+    modules = f.where(name == "go.mod").select("repo", P.dirname(F.col("path")).alias("root"), F.regexp_extract("text", r"(?m)^module\s+(\S+)", 1).alias("name")).where("name <> ''")
+    slashed = F.concat("name", F.lit("/"))
+    parts = [
+        row(alias, "js", part(F.col("pattern"), 0), part(F.col("pattern"), 1), ~F.col("pattern").contains("*"), part(to, 0), part(to, 1), 0),
+        row(scoped, "js", slashed, none, no, below(F.col("root"), "src/"), none, 1),
+        row(scoped, "js", slashed, none, no, below(F.col("root")), none, 2),
+        row(modules, "go", slashed, none, no, below(F.col("root")), none, 0),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def resolved(references: DataFrame, files: DataFrame) -> DataFrame:
+    """references (repo, path, specifier) with ``target``: what the manifests make of a specifier goes before the specifier as it stands.
+
+    A Go import that names a directory means the first Go file in or below it.
+    """
+    there = files.where("kind = 'file'")
+    ext = P.extension(F.col("path"))
+    lang = F.when(ext == "go", "go").when(ext.isin("ts", "tsx", "js", "jsx", "mjs", "cjs") & ~F.col("specifier").startswith("."), "js")
+    fits = F.when(F.col("whole"), F.col("specifier") == F.col("head")).otherwise(
+        F.col("specifier").startswith(F.col("head")) & F.col("specifier").endswith(F.col("tail")) & (F.length("specifier") >= F.length("head") + F.length("tail"))
+    )
+    met = references.select("repo", "path", "specifier", lang.alias("lang")).distinct().join(specifier_maps(files), ["repo", "lang"]).where(fits)
+    mid = F.when(F.col("whole"), "").otherwise(F.substr("specifier", F.length("head") + 1, F.length("specifier") - F.length("head") - F.length("tail")))
+    met = met.select("repo", F.col("path").alias("own"), F.col("specifier").alias("said"), "lang", "ord", P.join_path(F.lit(""), F.concat("to_head", mid, "to_tail")).alias("specifier"))
+    met = met.withColumn("path", F.when(F.col("lang") == "go", "root.go").otherwise("root.ts"))
+    go = there.where(P.extension(F.col("path")) == "go").select("repo", "path", F.explode(P.ancestors(F.col("path"))).alias("specifier"))
+    go = go.groupBy("repo", "specifier").agg(F.min("path").alias("within")).withColumn("lang", F.lit("go"))
+    hits = resolve(met, there, ["repo"]).join(go, ["repo", "lang", "specifier"], "left").withColumn("target", F.coalesce("target", "within")).where("target is not null")
+    best = hits.groupBy("repo", F.col("own").alias("path"), F.col("said").alias("specifier")).agg(F.min_by("target", "ord").alias("mapped"))
+    plain = resolve(references, there, ["repo"])
+    return plain.join(best, ["repo", "path", "specifier"], "left").withColumn("target", F.coalesce("mapped", "target")).drop("mapped")
+
+
+def package_label(name: Column) -> Column:
+    return P.title_case(F.element_at(F.split(name, "/"), -1))
+
+
+def package_edges(references: DataFrame, files: DataFrame) -> DataFrame:
+    """repo, source, target, type, confidence, evidence: packages that a manifest needs, and unresolved script imports that name a package."""
+    known = packages(files)
+    names = known.select("repo", F.col("name").alias("needed")).distinct()
+    needs = known.select("repo", "path", "name", F.explode("needs").alias("needed")).join(names, ["repo", "needed"])
+    told = needs.select(
+        "repo", package_label(F.col("name")).alias("source"), package_label(F.col("needed")).alias("target"), F.lit("package").alias("type"), F.lit(N.DEPENDENCY_CONFIDENCE["package"]).alias("confidence"),
+        F.array(F.concat("path", F.lit(" declares dependency on "), "needed")).alias("evidence"),
+    )
+    script = references.where(P.extension(F.col("path")).isin("ts", "tsx", "js", "jsx", "mjs", "cjs"))
+    scoped = F.regexp_extract("specifier", r"\A(@[^/]*/[^/]*)", 1)
+    each = script.select("repo", "path", "specifier", F.explode(F.array_distinct(F.array(F.col("specifier"), scoped))).alias("needed")).join(names, ["repo", "needed"])
+    used = each.select(
+        "repo", module_label(F.col("path")).alias("source"), package_label(F.col("needed")).alias("target"), F.lit("import").alias("type"), F.lit(N.DEPENDENCY_CONFIDENCE["import"]).alias("confidence"),
+        F.array(F.concat("path", F.lit(" references package "), "needed", F.lit(" via "), "specifier")).alias("evidence"),
+    )
+    return told.unionByName(used)
+
+
 def dependencies(files: DataFrame, minimum: float = 0.7) -> DataFrame:
     """repo, source, target, type, confidence, evidence: imports between modules, found in the text of source files and resolved to files."""
     f = files.where((F.col("kind") == "file") & F.col("text").isNotNull() & P.is_source(F.col("path")))
     refs = f.select("repo", "path", F.explode(F.array_distinct(X.references(F.col("text"), P.extension(F.col("path"))))).alias("specifier"))
-    found = resolve(refs, files.where("kind = 'file'"), ["repo"]).where("target is not null and target <> path")
+    all_refs = resolved(refs, files)
+    found = all_refs.where("target is not null and target <> path")
     kind = relation_type(F.col("path"), F.col("target"))
     sure = F.create_map(*[F.lit(x) for kv in N.DEPENDENCY_CONFIDENCE.items() for x in kv])
     edges = found.select(
         "repo", module_label(F.col("path")).alias("source"), module_label(F.col("target")).alias("target"), kind.alias("type"), sure[kind].alias("confidence"),
         F.array(F.concat("path", F.lit(" imports "), F.col("target"))).alias("evidence"),
     )
+    edges = edges.unionByName(package_edges(all_refs.where("target is null"), files))
     return merge_dependencies(edges, ["repo"]).where(F.col("confidence") >= minimum)
 
 
@@ -198,7 +283,7 @@ def relationships(files: DataFrame, minimum: float = 0.75) -> DataFrame:
     parts = components(files)
     f = files.where((F.col("kind") == "file") & F.col("text").isNotNull() & P.is_source(F.col("path")))
     refs = f.select("repo", "path", F.explode(F.array_distinct(X.references(F.col("text"), P.extension(F.col("path"))))).alias("specifier"))
-    found = resolve(refs, files.where("kind = 'file'"), ["repo"]).where("target is not null").select("repo", "path", "target").distinct()
+    found = resolved(refs, files).where("target is not null").select("repo", "path", "target").distinct()
     ends = lambda side, on: parts.select("repo", F.col("path").alias(on), F.col("name").alias(side), F.col("role").alias(f"{side}_role"))
     pairs = found.join(ends("source", "path"), ["repo", "path"]).join(ends("to", "target"), ["repo", "target"])
     rule = F.create_map(*[x for (a, b), (k, c, s) in ROLE_PAIRS.items() for x in (F.lit(f"{a}>{b}"), F.struct(F.lit(k).alias("kind"), F.lit(c).alias("base"), F.lit(s).alias("strength")))])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from strataform.operators import passes
 from strataform.plans import reference
 from strataform.plans.engine import QueryEngine
 from tests.conftest import rows
@@ -76,3 +77,26 @@ def test_all_kinds_of_risks_are_listed(spark, tmp_path):
     )
     assert [(r.kind, r.target) for r in reference.top_risks(spark, sf).orderBy("place").collect()][:3] == [("critical-entrypoint", "src/main.ts"), ("critical-entrypoint", "odd/run.py"), ("dependency-centrality", "hub0")]
     assert QueryEngine(spark, sf).run("ListRisks").count == 9
+
+
+def test_manifests_map_specifiers(spark):
+    tree = {
+        "srv/go.mod": "module example.com/app\n\ngo 1.22\n",
+        "srv/cmd/run.go": 'package main\nimport (\n\t"example.com/app/internal/db"\n)',
+        "srv/internal/db/conn.go": "package db",
+        "srv/internal/db/conn.ts": "",
+        "web/tsconfig.json": json.dumps({"compilerOptions": {"paths": {"@/*": ["./code/*"], "@/ui/*": ["./kit/*"], "only": ["./code/one"]}}}),
+        "web/code/cart/a.ts": "import '@/ui/box';\nimport '@/pay/b';\nimport 'only';\nimport '@org/lib/deep';\nimport '@org/lib';\nimport 'react';",
+        "web/kit/box.ts": "", "web/code/pay/b.ts": "", "web/code/one.ts": "",
+        "libs/lib/package.json": json.dumps({"name": "@org/lib"}), "libs/lib/src/deep.ts": "",
+        "web/package.json": json.dumps({"name": "shop", "devDependencies": {"@org/lib": "1", "react": "1"}}),
+    }
+    files = spark.createDataFrame([("r", p, "file", t) for p, t in tree.items()], "repo string, path string, kind string, text string")
+    cart, go = "web/code/cart/a.ts", "srv/cmd/run.go"
+    refs = spark.createDataFrame([("r", go, "example.com/app/internal/db"), *[("r", cart, x) for x in ("@/ui/box", "@/pay/b", "only", "@org/lib/deep", "@org/lib", "react")]], "repo string, path string, specifier string")
+    assert {r.specifier: r.target for r in passes.resolved(refs, files).collect()} == {
+        "example.com/app/internal/db": "srv/internal/db/conn.go", "@/ui/box": "web/kit/box.ts", "@/pay/b": "web/code/pay/b.ts", "only": "web/code/one.ts",
+        "@org/lib/deep": "libs/lib/src/deep.ts", "@org/lib": None, "react": None,
+    }
+    got = {(r.source, r.target, r.type) for r in passes.dependencies(files).collect()}
+    assert {("Shop", "Lib", "package"), ("Cart", "Lib", "import"), ("Cart", "Pay", "import"), ("Srv", "Db", "import")} <= got
