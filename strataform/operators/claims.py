@@ -65,7 +65,7 @@ def contradictions(claims: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def explain(claims: DataFrame, evidence: DataFrame, scope: list[str]) -> DataFrame:
-    """Per claim the evidence it names: asked, found, distinct locators in order joined by |."""
+    """Per claim that names evidence: asked, found, distinct locators in order joined by |."""
     asked = claims.select(*scope, "claim_id", F.explode("evidence_ids").alias("evidence_id"))
     held = evidence.groupBy(*scope, "evidence_id").agg(F.min("locator").alias("locator"), F.lit(1).alias("held"))
     return (

@@ -96,7 +96,7 @@ class QueryEngine:
             listed, column = _NAMED[name]
             return self._rows(listed, {}).where(F.lower(column) == required(column, p.get(column)).lower())
         if name == "ExplainClaim":
-            return R.claim_evidence(*at).where(F.col("claim_id") == required("claim_id", p.get("claim_id")).lower())
+            return R.claim_explanations(*at).where(F.col("claim_id") == required("claim_id", p.get("claim_id")).lower())
         target = required("target", p.get("target") or p.get("name") or p.get("needle"))
         if name in ("FindDependency", "FindRelationship"):
             f = R.find_dependency if name == "FindDependency" else R.find_relationship

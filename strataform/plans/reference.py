@@ -484,6 +484,15 @@ def claim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.explain(stored_claims(spark, sf_dir), stored_evidence(spark, sf_dir), IDS)
 
 
+def claim_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every claim with the evidence it names (asked, found, locators), without any too, and the contradictions that name it."""
+    found = claims.explain(stored_claims(spark, sf_dir), stored_evidence(spark, sf_dir), IDS)
+    t = table(spark, sf_dir, "brain_contradictions").select(*[norm_key(c).alias(c) for c in (*IDS, "contradiction_id")], F.explode(norm_keys("claim_ids")).alias("claim_id"))
+    told = t.dropna().groupBy(*IDS, "claim_id").agg(_joined(F.array_sort(F.collect_set("contradiction_id"))).alias("contradictions"))
+    every = stored_claims(spark, sf_dir).select(*IDS, "claim_id").join(found, [*IDS, "claim_id"], "left").join(told, [*IDS, "claim_id"], "left")
+    return every.na.fill(0, ["n_asked", "n_found"]).na.fill("", ["locators", "contradictions"])
+
+
 def evidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.links(stored_claims(spark, sf_dir), IDS)
 
@@ -576,7 +585,7 @@ QUERIES = {
         finding_summary, finding_dedupe, readiness_scores, readiness_scopes, policy_gates, finding_diff, dependency_merge, relationship_merge, fan_in_risk, coupling_risk, risks, top_risks, risk_ranking, bidirectional_edges,
         edge_search, statistics, list_dependencies, find_component, find_dependency, find_relationship, evidence_search, impact, architecture_signals, architecture_scores, confidence_distribution,
         latency_percentiles, set_metrics, token_domains, path_classes, path_names, model_ids, claim_ids, redacted_evidence, duplicate_documents, large_documents, ownership_resolution, unclear_ownership,
-        exposure, project_imports, resolved_imports, missing_references, contradictions, claim_lifecycle, claim_evidence, evidence_links, brain_summary, list_claims, invalidations, contradiction_delta, contract_violations,
+        exposure, project_imports, resolved_imports, missing_references, contradictions, claim_lifecycle, claim_evidence, claim_explanations, evidence_links, brain_summary, list_claims, invalidations, contradiction_delta, contract_violations,
         snapshot_registry, trace_dependents, blast_radius, mutual_dependencies, domain_modules,
     )
 }
