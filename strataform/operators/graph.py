@@ -7,30 +7,37 @@ from pyspark.sql import functions as F
 
 from strataform.sources.shared import written
 
-#: Depth to which a trace goes.
-MAX_DEPTH = 25
 
-
-def reach(edges: DataFrame, roots: DataFrame, scope: list[str], mode: str = "dependencies", max_depth: int = MAX_DEPTH) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, scope: list[str], mode: str = "dependencies", max_depth: int | None = None) -> DataFrame:
     """scope, root, node, depth: everything that the edges (scope, source, target) lead to from each root (scope, node), roots at depth 0.
 
     ``mode``: dependencies follow edges, dependents go against them, blast-radius does both. A node has its least depth; cycles end where
-    they meet what was reached. Only the frontier of the last step joins the edges, and what it reaches is reduced to distinct nodes before
-    it moves on.
+    they meet what was reached, so the loop ends by itself. With ``max_depth`` it stops there, and a column ``truncated`` tells for every
+    root whether there was more. Only the frontier of the last step joins the edges, and what it reaches is reduced to distinct nodes
+    before it moves on.
     """
     forward = edges.select(*scope, F.col("source").alias("node"), F.col("target").alias("to"))
     back = edges.select(*scope, F.col("target").alias("node"), F.col("source").alias("to"))
     steps = {"dependencies": forward, "dependents": back, "blast-radius": forward.unionByName(back)}[mode]
     steps = written(steps.dropna().distinct())
     seen = written(roots.select(*scope, F.col("node").alias("root"), "node", F.lit(0).alias("depth")).dropna().distinct())
-    frontier = seen
-    for depth in range(1, max_depth + 1):
+    frontier, depth = seen, 0
+    while True:
+        depth += 1
         met = frontier.join(steps, [*scope, "node"]).select(*scope, "root", F.col("to").alias("node")).distinct()
-        frontier = written(met.join(seen, [*scope, "root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        found = written(met.join(seen, [*scope, "root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if found.isEmpty():
+            more = None
+            break
+        if max_depth is not None and depth > max_depth:
+            more = found.select(*scope, "root").distinct().withColumn("truncated", F.lit(True))
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        frontier, seen = found, seen.unionByName(found)
+    if max_depth is None:
+        return seen
+    if more is None:
+        return seen.withColumn("truncated", F.lit(False))
+    return seen.join(more, [*scope, "root"], "left").na.fill(False, ["truncated"])
 
 
 def reached_edges(edges: DataFrame, nodes: DataFrame, scope: list[str]) -> DataFrame:

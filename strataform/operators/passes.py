@@ -27,7 +27,7 @@ def owner_rules(files: DataFrame) -> DataFrame:
     lines = f.where(F.col("path").isin(*OWNER_FILES, *MAINTAINER_FILES)).select("repo", "path", F.posexplode(F.split("text", r"\r?\n")).alias("ord", "raw"))
     lines = lines.withColumn("line", F.trim("raw")).where("line <> '' and not startswith(line, '#')")
     words = F.filter(F.split("line", r"\s+"), lambda w: w != "")
-    names = F.filter(F.slice(words, 2, 1000), lambda w: ~w.startswith("#"))
+    names = F.filter(words, lambda w, i: (i > 0) & ~w.startswith("#"))
     stated = lines.where(F.col("path").isin(*OWNER_FILES)).select("repo", "path", "ord", words[0].alias("pattern"), names.alias("owners"), F.lit("codeowners").alias("source"))
     people = lines.where(F.col("path").isin(*MAINTAINER_FILES)).groupBy("repo", "path").agg(
         F.sort_array(F.collect_list(F.struct("ord", F.regexp_replace("line", r",\s*\z", "").alias("o")))).alias("l")

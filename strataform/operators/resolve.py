@@ -29,7 +29,7 @@ def file_keys(files: DataFrame, scope: list[str]) -> DataFrame:
     index = F.col("path").rlike(r"/(index\.(ts|js)|__init__\.py|mod\.rs)\z")
     key = lambda k, rank, exact: F.struct(k.alias("key"), F.lit(rank).alias("rank"), F.lit(exact).alias("exact"))
     exact = F.array(key(F.col("path"), 0, True), key(plain, 1, True), key(F.when(index, P.dirname(F.col("path"))), 2, True))
-    ends = F.transform(F.slice(P.suffixes(plain), 2, 1000), lambda s: key(s, 3, False))
+    ends = F.transform(F.filter(P.suffixes(plain), lambda _, i: i > 0), lambda s: key(s, 3, False))
     keyed = f.select(*scope, "path", F.inline(F.concat(exact, ends))).where("key is not null and key <> ''")
     return keyed.groupBy(*scope, "key", "exact").agg(F.min_by("path", F.struct("rank", "path")).alias("target"))
 

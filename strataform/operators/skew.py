@@ -1,6 +1,8 @@
 """Tools that keep hot keys and growing small sides from deciding a job's speed.
 
 * ``broadcast_within``: broadcast a side only after its size was measured, else leave it to a shuffle join.
+* ``join_dimension``: the same for a dimension whose keys own many rows each; beyond the bound its rows are repeated over salts.
+* ``join_hot``: a shuffle join whose known hot keys are spread over salts.
 * ``bucket_counts``: how many hash buckets each scope (project, tenant ...) needs so that no bucket is larger than a bound.
 * ``chunked_lag`` / ``chunked_fill``: LAG and forward fill over a key that may own any share of the rows: the key is cut into
   chunks of the order column, chunks are windowed in parallel and linked by one summary row each.
@@ -22,10 +24,46 @@ ROW_BYTES = 72
 
 def broadcast_within(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hints a broadcast if the rows measured now stay within ``limit`` bytes; costs one pass over ``df``, so use it on dimensions."""
-    texts = [f for f, t in df.dtypes if t in ("string", "binary")]
-    size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(c), F.lit(0)) for c in texts], F.lit(ROW_BYTES))
-    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if total <= limit else df
+    return F.broadcast(df) if is_within(df, limit) else df
+
+
+def is_within(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows measured now take at most ``limit`` bytes; nested columns count by their JSON."""
+    texts = [F.col(f) for f, t in df.dtypes if t in ("string", "binary")]
+    nested = [F.to_json(F.struct(f)) for f, t in df.dtypes if t.startswith(("array", "map", "struct"))]
+    size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(c), F.lit(0)) for c in [*texts, *nested]], F.lit(ROW_BYTES))
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit
+
+
+#: Parts over which the rows of one key are spread where a dimension is too large to be sent.
+SALTS = 32
+
+
+def join_dimension(rows: DataFrame, dim: DataFrame, on: list[str], salt_by: str, limit: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
+    """Inner join with a dimension (unique in ``on``): sent to all tasks within ``limit`` bytes, beyond it a shuffle join on the key and a salt.
+
+    The salt is the hash of ``salt_by``, a column of ``rows``, and every dimension row is repeated once per salt, so a key that owns any
+    share of the rows is spread over ``salts`` tasks.
+    """
+    if is_within(dim, limit):
+        return rows.join(F.broadcast(dim), on)
+    salted = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).join(salted, [*on, "__salt"]).drop("__salt")
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, salt_by: str, salts: int = SALTS) -> DataFrame:
+    """Inner shuffle join of many rows (``left``) with few (``right``); the keys in ``hot`` (columns ``on``, distinct) are spread over salts.
+
+    ``hot`` has the keys above a row bound, so it has at most rows / bound of them.
+    """
+    if hot.isEmpty():
+        return left.join(right, on)
+    marks = broadcast_within(hot.select(*on, F.lit(True).alias("__hot")))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).otherwise(0)
+    a = left.join(marks, on, "left").withColumn("__salt", salt).drop("__hot")
+    each = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    b = right.join(marks, on, "left").withColumn("__salt", F.explode(each)).drop("__hot")
+    return a.join(b, [*on, "__salt"]).drop("__salt")
 
 
 def bucket_counts(df: DataFrame, scope: list[str], rows_per_bucket: int, out: str = "n_buckets") -> DataFrame:
