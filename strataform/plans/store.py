@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -162,7 +165,7 @@ CLAIM = ["project_id", "claim_id"]
 ATTRIBUTES = ["status", "superseded_by"]
 
 
-def claim_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def claim_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     updates = table(spark, sf_dir, "claim_updates").select(
         *[norm_key(c).alias(c) for c in CLAIM],
         (norm_key("op") == "purge").alias("purge"),
@@ -175,8 +178,17 @@ def claim_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "update_id",
     )
     closing = ~F.coalesce("purge", F.lit(False)) & F.col("status").isin("INVALIDATED", "SUPERSEDED")
-    at = F.coalesce(F.when(closing, F.col("invalidated_at")), "updated_at", "created_at")
-    return history.effective_events(updates.withColumn("eff", at), CLAIM, "eff", "purge", ATTRIBUTES, ["loaded_at", "update_id"])
+    return updates.withColumn("eff", F.coalesce(F.when(closing, F.col("invalidated_at")), "updated_at", "created_at"))
+
+
+def _history(spark: SparkSession, sf_dir: str, step: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """A step over the claims' change logs, with claims above the bound worked on in chunks."""
+    parts = []
+    for updates, chunked in zip(history.split_hot(claim_updates(spark, sf_dir), CLAIM), (False, True), strict=True):
+        if updates is not None:
+            events = history.effective_events(updates, CLAIM, "eff", "purge", ATTRIBUTES, ["loaded_at", "update_id"], chunked)
+            parts.append(step(history.attribute_log(events, CLAIM, ATTRIBUTES, chunked), chunked))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _stamp(c: str):
@@ -184,13 +196,11 @@ def _stamp(c: str):
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = history.attribute_log(claim_events(spark, sf_dir), CLAIM, ATTRIBUTES)
-    found = history.versions(log, CLAIM, ATTRIBUTES)
+    found = _history(spark, sf_dir, lambda log, chunked: history.versions(log, CLAIM, ATTRIBUTES, chunked))
     return found.select(*CLAIM, "status", _stamp("since").alias("valid_from"), _stamp("until").alias("valid_to"))
 
 
 def p5_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The intervals of each attribute on its own."""
-    log = history.attribute_log(claim_events(spark, sf_dir), CLAIM, ATTRIBUTES)
-    found = history.attribute_intervals(log, CLAIM)
+    found = _history(spark, sf_dir, lambda log, chunked: history.attribute_intervals(log, CLAIM, chunked))
     return found.select(*CLAIM, "attribute", "value", _stamp("since").alias("valid_from"), _stamp("until").alias("valid_to"))

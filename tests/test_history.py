@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
-from strataform.operators.history import attribute_intervals, attribute_log, effective_events, versions
+from strataform.operators.history import attribute_intervals, attribute_log, effective_events, split_hot, versions
 from strataform.streaming.history import HistoryStream
 from tests.conftest import rows
 
@@ -37,16 +37,31 @@ def made(rnd, n):
     ]
 
 
-def run(spark, data):
+def run(spark, data, chunked=False):
     df = spark.createDataFrame(data, SCHEMA)
-    log = attribute_log(effective_events(df, ["k"], "eff", "purge", ATTRS, ["loaded"]), ["k"], ATTRS)
-    return log, rows(versions(log, ["k"], ATTRS))
+    log = attribute_log(effective_events(df, ["k"], "eff", "purge", ATTRS, ["loaded"], chunked), ["k"], ATTRS, chunked)
+    return log, rows(versions(log, ["k"], ATTRS, chunked))
 
 
 def test_versions_equal_a_replay(spark):
     rnd = random.Random(11)
     data = made(rnd, 300)
     assert run(spark, data)[1] == brute(data)
+    assert run(spark, data, chunked=True)[1] == brute(data)
+
+
+def test_neighbouring_versions_differ(spark):
+    for chunked in (False, True):
+        found = run(spark, made(random.Random(3), 400), chunked)[1]
+        for a, b in zip(found, found[1:], strict=False):
+            assert a[0] != b[0] or a[4] != b[3] or a[1:3] != b[1:3]
+
+
+def test_large_entities_are_told_apart(spark):
+    df = spark.createDataFrame([("hot", i) for i in range(9)] + [("a", 1), (None, 2)], "k string, v int")
+    cold, hot = split_hot(df, ["k"], 5)
+    assert {r.k for r in hot.collect()} == {"hot"} and {r.k for r in cold.collect()} == {"a", None}
+    assert split_hot(df, ["k"], 9)[1] is None
 
 
 def test_nulls_repeats_and_empty(spark):
