@@ -1,7 +1,8 @@
 """Problem 4, what changed between full snapshots: ordinals, compressed bitmaps and aligned vectors.
 
-All keys a scope ever had share one dictionary of ordinals, the same in every snapshot. A snapshot's keys are a bitmap over those
-ordinals, kept as its non-zero 64-bit words only; the compared columns are vectors packed in the order of the set bits, so a bit's
+All keys a scope ever had share one dictionary of ordinals, the same in every snapshot, given out in the order in which keys appear:
+a later snapshot's new keys take the next ordinals and change none before them (``ordinals``, and ``extended`` for a stored one). A
+snapshot's keys are a bitmap over those ordinals, kept as its non-zero 64-bit words only; the compared columns are vectors packed in the order of the set bits, so a bit's
 place in a vector is the number of set bits below it. Additions are ``word AND NOT previous``, removals ``previous AND NOT word``,
 changes are read at the common bits.
 """
@@ -12,7 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataform.operators.skew import bucket_of
+from strataform.operators.skew import bucket_of, join_dimension
+
+
+def ordinals(rows: DataFrame, part: list[str], key: str, seq: str) -> DataFrame:
+    """Adds ``__ord``, 0, 1, ...: the key's place in its part by first snapshot, then by key. Rows are unique in part, key and ``seq``."""
+    first = F.min(seq).over(Window.partitionBy(*part, key))
+    return rows.withColumn("__first", first).withColumn("__ord", F.dense_rank().over(Window.partitionBy(*part).orderBy("__first", key)) - 1).drop("__first")
+
+
+def extended(dictionary: DataFrame, keys: DataFrame, part: list[str], key: str) -> DataFrame:
+    """A stored dictionary (part, key, __ord) with the next ordinals for ``keys`` (part, key) it lacks; the old ones stay as they are."""
+    used = dictionary.groupBy(*part).agg(F.max("__ord").alias("__last"))
+    new = keys.select(*part, key).dropna().distinct().join(dictionary, [*part, key], "left_anti").join(used, part, "left")
+    place = F.row_number().over(Window.partitionBy(*part).orderBy(key))
+    return dictionary.select(*part, key, "__ord").unionByName(new.select(*part, key, (F.coalesce("__last", F.lit(-1)) + place).alias("__ord")))
 
 
 def snapshot_changes(rows: DataFrame, snapshots: DataFrame, scope: str, snapshot: str, key: str, value: str) -> DataFrame:
@@ -24,10 +39,10 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, scope: str, snapshot
     Empty input gives no rows. Result: scope, snapshot (the later one), key, change_kind.
     """
     part = [scope, "__bucket"]
+    bucketed = join_dimension(rows, snapshots, [scope, snapshot], key).withColumn("__bucket", bucket_of(F.col(key), F.col("n_buckets")))
     placed = (
-        rows.join(snapshots, [scope, snapshot])
-        .withColumn("__bucket", bucket_of(F.col(key), F.col("n_buckets")))
-        .withColumn("__ord", F.dense_rank().over(Window.partitionBy(*part).orderBy(key)) - 1)
+        # One shuffle, by bucket, which all steps below keep.
+        ordinals(bucketed.repartition(*part), part, key, "seq")
         .withColumn("__word", F.shiftright("__ord", 6))
         .withColumn("__bit", F.col("__ord").bitwiseAND(63))
     )

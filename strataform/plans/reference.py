@@ -16,7 +16,7 @@ from strataform.functions import ids, numbers, paths, text
 from strataform.functions.clean import norm_key, norm_keys, norm_upper
 from strataform.operators import architecture, claims, delta, edges, findings, graph, matching, nested
 from strataform.operators.resolve import resolve
-from strataform.operators.skew import broadcast_within
+from strataform.operators.skew import join_dimension
 from strataform.plans.store import IDS, latest_claims, snapshot_chain, snapshots
 from strataform.sources.shared import written
 from strataform.sources.tables import table
@@ -469,8 +469,8 @@ def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The step between every two neighbouring snapshots of every project, all steps at once."""
-    chain = broadcast_within(written(snapshot_chain(spark, sf_dir).select(*IDS, "seq", "next_snapshot")))
-    rows = stored_claims(spark, sf_dir).drop("evidence_ids").join(chain, IDS)
+    chain = written(snapshot_chain(spark, sf_dir).select(*IDS, "seq", "next_snapshot"))
+    rows = join_dimension(stored_claims(spark, sf_dir).drop("evidence_ids"), chain, IDS, "claim_id")
     live = rows.where("status = 'ACTIVE' and seq > 1").drop("seq", "next_snapshot")
     before = rows.where("next_snapshot is not null").withColumn("snapshot_id", F.col("next_snapshot")).drop("seq", "next_snapshot")
     return claims.lifecycle(before, live, IDS).select(*IDS, "claim_id", "status", "superseded_by")
@@ -514,9 +514,10 @@ def invalidations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contradiction_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contradictions that are new, gone, changed or the same from snapshot to snapshot."""
-    chain = broadcast_within(written(snapshot_chain(spark, sf_dir).select(*IDS, "seq", "next_snapshot")))
+    chain = written(snapshot_chain(spark, sf_dir).select(*IDS, "seq", "next_snapshot"))
     t = table(spark, sf_dir, "brain_contradictions").select(*[norm_key(c).alias(c) for c in (*IDS, "contradiction_id")], "confidence")
-    t = t.dropna(subset=[*IDS, "contradiction_id"]).groupBy(*IDS, "contradiction_id").agg(F.max("confidence").alias("confidence")).join(chain, IDS)
+    t = t.dropna(subset=[*IDS, "contradiction_id"]).groupBy(*IDS, "contradiction_id").agg(F.max("confidence").alias("confidence"))
+    t = join_dimension(t, chain, IDS, "contradiction_id")
     before = t.where("next_snapshot is not null").select(P, F.col("next_snapshot").alias("snapshot_id"), "contradiction_id", "confidence")
     return delta.keyed_delta(before, t.where("seq > 1"), [*IDS, "contradiction_id"], ["confidence"])
 

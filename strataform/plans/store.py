@@ -143,7 +143,7 @@ def snapshot_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = latest_claims(spark, sf_dir, status=norm_upper("status"), confidence=hundredths("confidence"))
     rows = claims.select(*IDS, "claim_id", F.struct("status", "confidence").alias("value"))
-    chain = broadcast_within(written(snapshot_chain(spark, sf_dir)))
+    chain = written(snapshot_chain(spark, sf_dir))
     found = snapdiff.snapshot_changes(rows, chain, "project_id", "snapshot_id", "claim_id", "value")
     return found.select("snapshot_id", "claim_id", "change_kind")
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strataform.operators.snapdiff import snapshot_changes
+from strataform.operators.snapdiff import extended, ordinals, snapshot_changes
 from tests.conftest import rows
 
 
@@ -49,3 +49,22 @@ def test_empty(spark):
     df = spark.createDataFrame([], "p string, s string, k string, value struct<v: string>")
     snaps = spark.createDataFrame([], "p string, s string, seq int, next_snapshot string, n_buckets int")
     assert rows(snapshot_changes(df, snaps, "p", "s", "k", "value")) == []
+
+
+def test_a_later_snapshot_leaves_the_ordinals_before_it(spark):
+    data = [("p", 1, "m"), ("p", 1, "z"), ("p", 2, "a"), ("p", 2, "z"), ("q", 1, "a")]
+    of = lambda d: {(r.p, r.k): r["__ord"] for r in ordinals(spark.createDataFrame(d, "p string, seq int, k string"), ["p"], "k", "seq").collect()}
+    before, after = of(data), of([*data, ("p", 3, "b"), ("p", 3, "0")])
+    assert before == {("p", "m"): 0, ("p", "z"): 1, ("p", "a"): 2, ("q", "a"): 0}
+    assert after == before | {("p", "0"): 3, ("p", "b"): 4}
+    stored = spark.createDataFrame([(p, k, o) for (p, k), o in before.items()], "p string, k string, __ord int")
+    more = spark.createDataFrame([("p", "b"), ("p", "0"), ("p", "m"), ("r", "a"), ("p", None)], "p string, k string")
+    assert {(r.p, r.k): r["__ord"] for r in extended(stored, more, ["p"], "k").collect()} == after | {("r", "a"): 0}
+
+
+def test_a_dimension_beyond_the_bound_meets_its_rows_over_salts(spark):
+    from strataform.operators.skew import join_dimension
+
+    left = spark.createDataFrame([("p", f"k{i}") for i in range(40)] + [("q", "k1"), (None, "x")], "p string, k string")
+    dim = spark.createDataFrame([("p", 7), ("r", 8)], "p string, n int")
+    assert rows(join_dimension(left, dim, ["p"], "k", limit=1, salts=4)) == rows(join_dimension(left, dim, ["p"], "k")) == sorted(("p", f"k{i}", 7) for i in range(40))
