@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 from strataform.functions.clean import hundredths, norm_key, norm_keys, norm_upper
 from strataform.operators import eager, history, nested, snapdiff
-from strataform.operators.orphans import orphan_keys
-from strataform.operators.skew import broadcast_within, bucket_counts
+from strataform.operators.orphans import hot_keys, keyed, orphan_keys
+from strataform.operators.skew import join_dimension, join_hot
 from strataform.sources.shared import written
 from strataform.sources.tables import table
 
@@ -44,15 +44,20 @@ PARENTS = (("evidence_ids", "brain_evidence", "evidence_id"), ("superseded_by",
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = [table(spark, sf_dir, t).select(norm_key("project_id").alias("project_id")) for _, t, _ in PARENTS]
-    counts = bucket_counts(held[0].unionByName(held[1]).unionByName(held[2]), ["project_id"], ROWS_PER_BUCKET)
-    dim = broadcast_within(written(snapshots(spark, sf_dir).join(counts, "project_id")))
     claims = latest_claims(
         spark, sf_dir, evidence_ids=norm_keys("evidence_ids"), superseded_by=F.array(norm_key("superseded_by")), contradiction_ids=norm_keys("contradiction_ids")
     )
+    # Buckets by all keys a project brings, the elements of its arrays and not only its rows.
+    raw = table(spark, sf_dir, "brain_claims")
+    brought = F.greatest(F.size("evidence_ids"), F.lit(0)) + F.greatest(F.size("contradiction_ids"), F.lit(0)) + 2
+    sizes = raw.select(norm_key("project_id").alias("project_id"), brought.alias("n"))
+    for _, t, _ in PARENTS[::2]:
+        sizes = sizes.unionByName(table(spark, sf_dir, t).select(norm_key("project_id").alias("project_id"), F.lit(1).alias("n")))
+    counts = sizes.groupBy("project_id").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(ROWS_PER_BUCKET))).cast("int").alias("n_buckets"))
+    dim = written(snapshots(spark, sf_dir).join(counts, "project_id"))
     fields = F.array(*[F.struct(F.lit(i).cast("byte").alias("field"), F.col(f).alias("ids")) for i, (f, _, _) in enumerate(PARENTS)])
     refs = (
-        claims.join(dim, IDS)
+        join_dimension(claims, dim, IDS, "claim_id")
         .select(*IDS, "created_at", "n_buckets", "claim_id", F.inline(fields))
         .select(*IDS, "created_at", "n_buckets", "claim_id", "field", F.explode("ids").alias("ref_id"))
         .where("ref_id is not null")
@@ -60,12 +65,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = None
     for i, (_, t, c) in enumerate(PARENTS):
         one = table(spark, sf_dir, t).select(*[norm_key(x).alias(x) for x in IDS], norm_key(c).alias("ref_id"))
-        one = one.join(dim, IDS).select("project_id", F.lit(i).cast("byte").alias("field"), "created_at", "n_buckets", "ref_id")
+        one = join_dimension(one, dim, IDS, "ref_id").select("project_id", F.lit(i).cast("byte").alias("field"), "created_at", "n_buckets", "ref_id")
         parents = one if parents is None else parents.unionByName(one)
-    orphans = orphan_keys(refs, parents, ["project_id", "field"], "created_at", "ref_id", F.col("n_buckets"))
+    scope, at, key = ["project_id", "field"], "created_at", "ref_id"
+    keys = written(keyed(refs, parents, scope, at, key, F.col("n_buckets")))
+    orphans = orphan_keys(keys, scope, at, key)
     reason = F.when(F.col("first_at") < F.col("created_at"), "deleted").when(F.col("last_at") > F.col("created_at"), "late").otherwise("missing")
     name = F.element_at(F.array(*[F.lit(f) for f, _, _ in PARENTS]), F.col("field") + 1)
-    return refs.join(orphans, ["project_id", "field", "created_at", "ref_id"]).select(
+    return join_hot(refs, orphans, [*scope, at, key], hot_keys(keys, scope, at, key), "claim_id").select(
         name.alias("ref_field"), "snapshot_id", "claim_id", "ref_id", reason.alias("reason"), F.date_format("created_at", "yyyy-MM").alias("period")
     )
 

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from strataform.operators.orphans import orphan_keys
+from strataform.operators.orphans import hot_keys, keyed, orphan_keys
+from strataform.operators.skew import join_hot
 from tests.conftest import rows
 
 SCHEMA = "scope string, at int, key string"
@@ -12,7 +13,11 @@ SCHEMA = "scope string, at int, key string"
 
 def run(spark, refs, parents, buckets=2):
     r, p = spark.createDataFrame(refs, SCHEMA), spark.createDataFrame(parents, SCHEMA)
-    return rows(orphan_keys(r, p, ["scope"], "at", "key", F.lit(buckets)))
+    return rows(orphans(r, p, buckets))
+
+
+def orphans(r, p, buckets):
+    return orphan_keys(keyed(r, p, ["scope"], "at", "key", F.lit(buckets)), ["scope"], "at", "key")
 
 
 def brute(refs, parents):
@@ -48,4 +53,14 @@ def test_nulls_repeats_and_empty_tables(spark):
 def test_scopes_do_not_mix_and_extra_columns_do_not_clash(spark):
     r = spark.createDataFrame([("a", 1, "x", 9)], SCHEMA + ", first_at int")
     p = spark.createDataFrame([("b", 1, "x", 9)], SCHEMA + ", __ord int")
-    assert rows(orphan_keys(r, p, ["scope"], "at", "key", F.lit(1))) == [("a", 1, "x", None, None)]
+    assert rows(orphans(r, p, 1)) == [("a", 1, "x", None, None)]
+
+
+def test_verdicts_meet_hot_references_over_salts(spark):
+    refs = spark.createDataFrame([("a", 1, "gone", i) for i in range(50)] + [("a", 1, "x", 50), ("a", 1, "lost", 51)], SCHEMA + ", claim int")
+    parents = spark.createDataFrame([("a", 1, "x")], SCHEMA)
+    keys = keyed(refs, parents, ["scope"], "at", "key", F.lit(2))
+    hot = hot_keys(keys, ["scope"], "at", "key", bound=10)
+    assert rows(hot) == [("a", 1, "gone")]
+    found = join_hot(refs, orphan_keys(keys, ["scope"], "at", "key"), ["scope", "at", "key"], hot, "claim", salts=4)
+    assert sorted(r.claim for r in found.collect()) == [*range(50), 51]
