@@ -1,11 +1,13 @@
 """Problem 6, encoding of the whole corpus with a public tokenizer, through the distinct words of the corpus.
 
 Texts are cut into pre-tokens in the JVM, the distinct pre-tokens of the corpus are encoded once each, the ids are joined back to the
-occurrences and put together by position. Decoding joins the table of the tokens' bytes.
+occurrences and put together by position. The words that fit a bound meet their occurrences where these are, by hash in Arrow memory;
+the others are exploded with the places they leave and meet their words in a shuffle. Decoding joins the table of the tokens' bytes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataform.operators.skew import BROADCAST_BYTES, broadcast_within, spread
+from strataform.operators.skew import BROADCAST_BYTES, is_within, join_hot, spread
 from strataform.sources.shared import written
 
 #: Fixed value: white space of the tokenizer's pattern; in Java \s alone is ASCII.
@@ -75,83 +77,149 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
     return words.mapInArrow(run, "word string, packed binary")
 
 
-#: Words that travel to every task if the table of all words is too large for it, and the longest that may (in characters).
-HOT_WORDS, HOT_LENGTH = 100_000, 64
+def word_counts(cut: DataFrame) -> DataFrame:
+    """word, n: the distinct words of the lists in ``__pre``, counted per batch before they are shuffled."""
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
+        for batch in batches:
+            counted = pc.value_counts(batch.column(0).flatten())
+            yield pa.RecordBatch.from_arrays([counted.field(0).cast(pa.string()), counted.field(1)], ["word", "n"])
 
-def with_ids(placed: DataFrame, words: DataFrame, counts: DataFrame, limit: int = BROADCAST_BYTES, n_hot: int = HOT_WORDS) -> DataFrame:
-    """Adds ``packed`` to occurrences (word null for a text without any).
+    return cut.select("__pre").where("__pre is not null").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
-    A word table within ``limit`` bytes is sent to the texts. Beyond it only the ``n_hot`` most frequent short words are, which are most
-    occurrences, and the occurrences of the others meet their words in a shuffle join that no hot word is part of.
-    """
-    sent = broadcast_within(words, limit)
-    if sent is not words:
-        return placed.join(sent, "word", "left")
+
+#: Words that travel to every executor if the table of all words is too large for it, and the longest that may (in characters).
+HOT_WORDS, HOT_LENGTH = 100_000, 64
+#: Occurrences of a word that did not travel above which its join is spread over salts.
+HOT_ROWS = 100_000
+
+
+def sent_words(words: DataFrame, counts: DataFrame, limit: int = BROADCAST_BYTES, n_hot: int = HOT_WORDS) -> tuple[DataFrame, bool]:
+    """The words that are sent to every executor, and whether these are all: within ``limit`` bytes the whole table, else the ``n_hot`` most
+    frequent short ones, which are most occurrences."""
+    if is_within(words, limit):
+        return words, True
     short = words.where(F.length("word") <= HOT_LENGTH)
-    hot = F.broadcast(written(short.join(counts, "word").orderBy(F.desc("n"), "word").limit(n_hot).select("word", "packed")))
-    near = placed.join(hot, "word", "left").where("packed is not null or word is null")
-    names = hot.select("word")
-    far = placed.where("word is not null").join(names, "word", "left_anti").join(words.join(names, "word", "left_anti"), "word")
-    return near.unionByName(far)
+    return written(short.join(counts, "word").orderBy(F.desc("n"), "word").limit(n_hot).select("word", "packed")), False
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, limit: int = BROADCAST_BYTES, n_hot: int = HOT_WORDS) -> DataFrame:
-    """key, ids: one row per key, an empty list for an empty or null text.
+_TABLES: dict[str, tuple] = {}
 
-    A key names one text; repeated rows of it count once. Special tokens' strings in a text are ordinary text. The occurrences of a hot
-    word never meet in one task (with_ids). They travel as four bytes of position before the packed ids, combined per document before they
-    are shuffled.
-    """
-    path = path or default_path()
-    docs = spread(docs.select(key, F.col(text).alias("__text")), key)
-    cut = docs.select(key, pre_tokens(F.col("__text"), path).alias("__pre"))
-    counts = written(cut.select(F.explode("__pre").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    words = written(encoded_words(counts.select("word"), path))
-    placed = cut.select(key, F.posexplode_outer("__pre").alias("__pos", "word"))
-    place = F.unhex(F.lpad(F.hex("__pos"), 8, "0"))
-    pieces = with_ids(placed, words, counts, limit, n_hot).groupBy(key).agg(F.collect_list(F.concat(place, "packed")).alias("pieces"))
 
-    width = id_width(path)
+def _table(name: str, shipped, width: int) -> tuple:
+    """Words, offsets and ids of a broadcast table of words, laid out once per worker process."""
+    import numpy as np
+    import pyarrow as pa
+
+    if name not in _TABLES:
+        _TABLES.clear()
+        t = pa.ipc.open_stream(shipped.value).read_all().combine_chunks()
+        packed = t.column("packed").cast(pa.large_binary()).combine_chunks() if len(t) else pa.array([], pa.large_binary())
+        packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
+        ids = np.frombuffer(b"".join(packed.to_pylist()), f"<u{width}").astype("int32")
+        lengths = pa.compute.binary_length(packed).to_numpy(zero_copy_only=False).astype("int64") // width
+        _TABLES[name] = (pa.array(t.column("word").to_pylist(), pa.string()), np.r_[0, np.cumsum(lengths)].astype("int64"), ids)
+    return _TABLES[name]
+
+
+def in_place(cut: DataFrame, key: str, sent: DataFrame, width: int) -> DataFrame:
+    """key, ids, rest: every list's ids; a word that was not sent leaves -1 - k, k its place in ``rest``, the document's distinct such words."""
+    import pyarrow as pa
 
-    def assemble(batches: Iterable) -> Iterator:
+    table = sent.toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    shipped, name = cut.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
+
+    def run(batches: Iterable) -> Iterator:
         for batch in batches:
             # Few documents at a time, so that memory follows them and not the size of a batch.
             for i in range(0, batch.num_rows, DOCS_AT_ONCE):
-                yield _assembled(batch.slice(i, DOCS_AT_ONCE), width)
+                yield _mapped(batch.slice(i, DOCS_AT_ONCE), *_table(name, shipped, width))
 
-    kind = docs.schema[key].dataType.simpleString()
-    return pieces.mapInArrow(assemble, f"{key} {kind}, ids array<int>")
+    kind = cut.schema[key].dataType.simpleString()
+    return cut.select(key, "__pre").mapInArrow(run, f"{key} {kind}, ids array<int>, rest array<string>")
 
 
 #: Documents put together at a time.
-DOCS_AT_ONCE = 256
+DOCS_AT_ONCE = 2048
 
 
-def _assembled(batch, width: int):
-    """Key and ids of documents given as key and pieces; a piece is a big-endian position before packed ids. Pieces are put in order of
-    position, and one that came twice, from a repeated row, counts once."""
+def _mapped(batch, words, offsets, ids):
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     lists = batch.column(1)
-    flat = lists.flatten()
-    n = len(flat)
-    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-    kind = "<i8" if pa.types.is_large_binary(flat.type) else "<i4"
-    offsets = np.frombuffer(flat.buffers()[1], kind)[flat.offset : flat.offset + n + 1].astype("int64") if n else np.zeros(1, "int64")
-    data = np.frombuffer(flat.buffers()[2], "u1") if n else np.zeros(0, "u1")
-    joined = lambda at, step: sum(data[at + k].astype("int64") << (8 * s) for k, s in enumerate(step))
-    place = joined(offsets[:-1], (3, 2, 1, 0)) if n else np.zeros(0, "int64")
-    order = np.lexsort((place, doc))
-    d, p = doc[order], place[order]
-    order = order[np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1])]] if n else order
-    count = (np.diff(offsets)[order] - 4) // width
-    start = offsets[:-1][order] + 4
-    at = np.repeat(start - (np.cumsum(count) - count) * width, count) + np.arange(count.sum()) * width
-    ids = joined(at, range(width)).astype("int32") if len(at) else np.zeros(0, "int32")
-    ends = np.cumsum(np.bincount(doc[order], count, minlength=len(lists))).astype("int32")
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids, pa.int32()))], [batch.schema.names[0], "ids"])
+    flat = lists.flatten().cast(pa.string())
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    at = pc.fill_null(pc.index_in(flat, value_set=words), -1).to_numpy(zero_copy_only=False).astype("int64")
+    known = at >= 0
+    count = np.where(known, np.diff(offsets)[at], 1) if len(ids) else np.ones(len(at), "int64")
+    before = np.r_[0, np.cumsum(count)]
+    start = np.where(known, offsets[at], 0) - before[:-1]
+    take = np.repeat(start, count) + np.arange(before[-1])
+    out = ids[np.where(np.repeat(known, count), take, 0)] if len(ids) else np.zeros(before[-1], "int32")
+    rest: list[dict[str, int]] = [{} for _ in range(len(lists))]
+    missing = np.flatnonzero(~known)
+    for p, d, w in zip(missing, np.searchsorted(ends, missing, "right"), flat.take(pa.array(missing)).to_pylist(), strict=True):
+        out[before[p]] = -1 - rest[d].setdefault(w, len(rest[d]))
+    made = pa.ListArray.from_arrays(pa.array(np.r_[0, before[ends]].astype("int32")), pa.array(out.astype("int32")))
+    return pa.RecordBatch.from_arrays([batch.column(0), made, pa.array([list(r) for r in rest], pa.list_(pa.string()))], [batch.schema.names[0], "ids", "rest"])
+
+
+def filled(placed: DataFrame, key: str, words: DataFrame, hot: DataFrame, width: int) -> DataFrame:
+    """key, ids: the gaps that ``in_place`` left, filled with the ids of their words, which are met in a shuffle join."""
+    gaps = placed.where(F.size("rest") > 0).select(key, F.posexplode("rest").alias("k", "word"))
+    found = join_hot(gaps, words, ["word"], hot, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", "packed"))).alias("l"))
+    both = placed.select(key, "ids").join(found.select(key, F.transform("l", lambda x: x["packed"]).alias("l")), key, "left")
+
+    def run(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def fill(ids: list[int], packed: list[bytes] | None) -> list[int]:
+            if not packed:
+                return ids
+            words = [np.frombuffer(p, f"<u{width}").tolist() for p in packed]
+            return [y for x in ids for y in ((x,) if x >= 0 else words[-1 - x])]
+
+        for batch in batches:
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fill(*r) for r in rows], pa.list_(pa.int32()))], [batch.schema.names[0], "ids"])
+
+    kind = placed.schema[key].dataType.simpleString()
+    return both.mapInArrow(run, f"{key} {kind}, ids array<int>")
+
+
+def _once(docs: DataFrame, key: str) -> DataFrame:
+    """One row per key; the shuffle of the texts is made only if some key comes twice, which its column alone tells."""
+    twice = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return docs if twice.isEmpty() else docs.groupBy(key).agg(F.max("__text").alias("__text"))
+
+
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, limit: int = BROADCAST_BYTES, n_hot: int = HOT_WORDS) -> DataFrame:
+    """key, ids: one row per key, an empty list for an empty or null text.
+
+    A key names one text; repeated rows of it count once (of different texts the greatest). Special tokens' strings in a text are ordinary
+    text. A word that is sent never moves; of the others each document moves every one once, and a hot one is spread over salts.
+    """
+    path = path or default_path()
+    docs = _once(docs.select(key, F.col(text).alias("__text")), key)
+    cut = written(spread(docs, key).select(key, pre_tokens(F.col("__text"), path).alias("__pre")))
+    counts = written(word_counts(cut))
+    words = written(encoded_words(counts.select("word"), path))
+    sent, whole = sent_words(words, counts, limit, n_hot)
+    placed = in_place(cut, key, sent, id_width(path))
+    if whole:
+        return placed.select(key, "ids")
+    placed = written(placed)
+    hot = counts.where(F.col("n") > HOT_ROWS).select("word").join(sent.select("word"), "word", "left_anti")
+    return filled(placed, key, words, hot, id_width(path))
 
 
 def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
