@@ -7,6 +7,7 @@ One automaton finds the pieces exactly, and the words around each hit are verifi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import regex
@@ -17,8 +18,10 @@ from strataform.operators.skew import spread
 
 _FORMAT = regex.compile(r"\p{Cf}+")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
-#: Items matched in one pass over the corpus (the query set travels to every task); more items take more passes.
-ITEMS_PER_PASS = 20_000
+#: Bytes of item text matched in one pass over the corpus (they travel to every executor); more take more passes.
+BYTES_PER_PASS = 16 << 20
+#: Bit masks of passages kept at a time.
+MASKS = 50_000
 
 
 def words(text: str) -> list[str]:
@@ -87,6 +90,8 @@ class Matcher:
     def masks(self, item: int, start: int) -> dict[str, int]:
         found = self._masks.get((item, start))
         if found is None:
+            if len(self._masks) >= MASKS:
+                self._masks.clear()
             found = {}
             for k, w in enumerate(self.items[item][start : start + self.passage]):
                 found[w] = found.get(w, 0) | 1 << k
@@ -128,16 +133,27 @@ class Matcher:
         return out
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, passage: int = 10, errors: int = 1, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, items, passage: int, errors: int) -> Matcher:
+    """The automaton of a pass, built once per worker process; ``items`` is the broadcast."""
+    if name not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[name] = Matcher(items.value, passage, errors)
+    return _MATCHERS[name]
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, passage: int = 10, errors: int = 1, per_pass: int = BYTES_PER_PASS) -> DataFrame:
     """doc_id, item_id, distance: documents that hold a passage of an item within ``errors`` word edits, with the least distance.
 
     Items shorter than a passage can't leak; null and empty texts on either side give no rows; repeated rows count once. Documents are
-    read in one pass without a shuffle of their texts; items beyond ``per_pass`` are taken in further passes, so what travels to a task is
-    bounded while every item is searched.
+    read in one pass without a shuffle of their texts; items beyond ``per_pass`` bytes are taken in further passes, so what travels to an
+    executor is bounded while every item is searched.
     """
     rows = items.select("item_id", "text").dropna().distinct()
-    n_items = rows.count()
-    passes = max(1, -(-n_items // per_pass))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    passes = max(1, -(-size // per_pass))
     found = None
     for k in range(passes):
         part = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
@@ -147,10 +163,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, passage: int = 10, errors: int
 
 
 def _pass(docs: DataFrame, items: list[tuple[int, str]], passage: int, errors: int) -> DataFrame:
+    shipped, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+
     def run(batches: Iterable) -> Iterator:
         import pandas as pd
 
-        matcher = Matcher(items, passage, errors)
+        matcher = _matcher(name, shipped, passage, errors)
         for pdf in batches:
             rows = [(d, i, n) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for i, n in matcher.find(t).items()]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance"]).astype("int64")
