@@ -7,19 +7,23 @@ cue word before or behind adds, what a checksum adds, what a contrary word takes
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strataform.operators.skew import spread
+from strataform.operators.skew import is_within, spread
 
 THRESHOLD = 0.6
-#: The lexicon of name parts travels to every task; a larger one is refused.
-MAX_NAME_PARTS = 100_000
+#: Bytes of name parts that travel to every task; a larger lexicon meets the words of each text in a join.
+LEXICON_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -32,17 +36,18 @@ class Span:
 
 # Folding: patterns see composed letters, plain blanks and no format characters; spans are carried back to the text itself.
 
-_ODD = regex.compile(r"[\p{Cf}\p{Mn}]|(?![ \n\r\t])\p{Zs}")
+_KIND = {c: k for c in map(chr, range(0x80, 0x110000)) if (k := unicodedata.category(c)) in ("Cf", "Mn", "Zs")}
+_ODD = frozenset(_KIND)
 
 
 def fold(text: str) -> tuple[str, list[int] | None]:
     """The folded text and, unless it is the text itself, the offset in the text of every folded character and of the end."""
-    if not _ODD.search(text):
+    if text.isascii() or _ODD.isdisjoint(text):
         return text, None
     out: list[str] = []
     at: list[int] = []
     for i, ch in enumerate(text):
-        kind = unicodedata.category(ch)
+        kind = _KIND.get(ch)
         if kind == "Cf":
             continue
         if kind == "Mn" and out and len(one := unicodedata.normalize("NFC", out[-1] + ch)) == 1:
@@ -69,9 +74,13 @@ def mod97_key(digits: str) -> bool:
     return int(digits[-2:]) == 97 - int(digits[:-2]) % 97
 
 
-def iban_mod97(code: str) -> bool:
-    moved = code[4:] + code[:4]
-    return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+def cpf(digits: str) -> bool:
+    """Brazilian tax numbers: two check digits modulo 11."""
+    for n in (9, 10):
+        r = sum(int(d) * (n + 1 - i) for i, d in enumerate(digits[:n])) * 10 % 11 % 10
+        if r != int(digits[n]):
+            return False
+    return True
 
 
 def mod11_10(digits: str) -> bool:
@@ -93,23 +102,38 @@ def ssn_range(digits: str) -> bool:
     return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
 
 
-def verdict(value: str) -> bool | None:
-    """What the checksum of a person's number says, by the number's form."""
-    code = regex.sub(r"[^0-9A-Z]", "", value.upper())
-    for form, check in _CHECKS:
-        if form.fullmatch(code):
-            return check(code)
-    return None
+#: What judges a number: by the words of its label, and for a number without one by its form.
+_BY_LABEL = [
+    (re.compile(r"ssn|social security"), re.compile(r"\d{9}"), ssn_range),
+    (re.compile(r"nir|sécurité sociale"), re.compile(r"[12]\d{14}"), mod97_key),
+    (re.compile(r"steuer"), re.compile(r"\d{11}"), mod11_10),
+    (re.compile(r"dni|nie|nif"), re.compile(r"(?:\d{8}|[XYZ]\d{7})[A-Z]"), dni_letter),
+    (re.compile(r"cpf"), re.compile(r"\d{11}"), cpf),
+    (re.compile(r"social insurance|personnummer"), re.compile(r"\d{9,10}"), luhn),
+]
+_BY_FORM = [
+    (re.compile(r"\d{3}[- ]\d{2}[- ]\d{4}"), ssn_range),
+    (re.compile(r"[12](?: ?\d){14}"), mod97_key),
+    (re.compile(r"\d{3}\.\d{3}\.\d{3}-\d{2}"), cpf),
+    (re.compile(r"(?:\d{8}|[XYZ]\d{7})-?[A-Z]"), dni_letter),
+]
 
 
-_CHECKS = [
-    (regex.compile(r"[12]\d{14}"), mod97_key),
-    (regex.compile(r"\d{11}"), mod11_10),
-    (regex.compile(r"(?:\d{8}|[XYZ]\d{7})[A-Z]"), dni_letter),
-    (regex.compile(r"\d{9}"), ssn_range),
-    (regex.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}"), iban_mod97),
-    (regex.compile(r"\d{13,19}"), luhn),
-]
+def verdict(value: str, label: str = "") -> bool | None:
+    """What the checksum (or, where there is none, the range) of a person's number says; None where its kind has neither."""
+    code = re.sub(r"[^0-9A-Z]", "", value.upper())
+    if len(set(code)) == 1:
+        return False
+    label = label.lower()
+    for words, form, check in _BY_LABEL:
+        if words.search(label):
+            return check(code) if form.fullmatch(code) else None
+    if not label:
+        for form, check in _BY_FORM:
+            if form.fullmatch(value):
+                return check(code)
+    return None
+
 
 # E-mail
 
@@ -127,16 +151,24 @@ EMAIL = regex.compile(
 _REMOTE = regex.compile(r"(?:git clone |git remote add \S+ |\w+://)$")
 
 
-def emails(t: str) -> Iterator[Span]:
-    if not _AT.search(t):
-        return
-    for m in EMAIL.finditer(t):
-        before = t[max(0, m.start() - 24) : m.start()]
-        score = 0.8 - 0.6 * bool(_REMOTE.search(before))
-        yield Span(m.start(), m.end(), "email", score)
+#: What stands between the local part and the host; only around it an address is looked for.
+_AT = regex.compile(r"(?i)[@＠﹫]|&\#64;|(?<=[\[({<]\ ?)at(?=\ ?[\])}>])|(?<=\ )at(?=\ [\p{L}\p{N}][\p{L}\p{N}-]*\ dot\ )")
+_BEFORE_AT = regex.compile(r"(?r)[\w.+%-]+\ ?[\[({<]?\ ?")
+
 
+def emails(t: str) -> Iterator[Span]:
+    last = 0
+    for at in _AT.finditer(t):
+        run = _BEFORE_AT.match(t, last, at.start())
+        if not run:
+            continue
+        for start in range(run.start(), at.start()):
+            if m := EMAIL.match(t, start):
+                before = t[max(0, m.start() - 24) : m.start()]
+                yield Span(m.start(), m.end(), "email", 0.8 - 0.6 * bool(_REMOTE.search(before)))
+                last = m.end()
+                break
 
-_AT = regex.compile(r"(?i)[@＠﹫]|\bat\b|&#64;")
 
 # Street addresses
 
@@ -160,8 +192,14 @@ ADDRESS = [
 _ADDRESS_CUE = regex.compile(r"(?i)(?:lives at|signed from|device to|addr(?:ess)?\W{1,4}|wohnt|post geht an|est chez|port[áa]til a|anschrift|adresse|direcci[oó]n|domicilio|endereço|from|to|at|an|chez|a)\s*$")
 
 
+#: What every address of the pattern holds, quick to look for.
+_IN_ADDRESS = [re.compile(r"\d[A-Za-z]? [A-Z]"), re.compile(r"\d ?[a-z]?(?:,| in) (?:D-)?\d{5} "), re.compile(r" (?:F-)?\d{5} "), re.compile(r", \d{4,5}(?:-\d{3})? ")]
+
+
 def addresses(t: str) -> Iterator[Span]:
-    for p in ADDRESS:
+    for hint, p in zip(_IN_ADDRESS, ADDRESS, strict=True):
+        if not hint.search(t):
+            continue
         for m in p.finditer(t):
             cue = bool(_ADDRESS_CUE.search(t[max(0, m.start() - 24) : m.start()]))
             yield Span(m.start(), m.end(), "address", 0.65 + 0.2 * cue)
@@ -172,31 +210,79 @@ def addresses(t: str) -> Iterator[Span]:
 _LABELS = (
     r"SSN|social\ security(?:\ (?:no|number|\#))?|NINO|NI\ (?:number|no)|national\ insurance(?:\ (?:no|number))?|national\ id|identity\ (?:card|no|number)|passport(?:\ (?:no|number))?"
     r"|driv(?:er|ing)(?:'?s)?\ licen[cs]e(?:\ (?:no|number))?|tax\ id|NIR|n°\ de\ sécurité\ sociale|numéro\ de\ sécurité\ sociale|sécurité\ sociale|passeport|carte\ d['’]identité|CNI"
-    r"|Steuer-?\ ?Id(?:Nr|-Nr|entifikationsnummer)?|Ausweis(?:-?Nr|nummer)?|Personalausweis(?:-?Nr|nummer)?|Reisepass(?:-?Nr)?|Sozialversicherungsnummer|DNI|NIE|NIF|pasaporte|CPF|RG|CURP|passaporte|паспорт|ИНН|СНИЛС|身份证号?|マイナンバー|護照|旅券番号"
+    r"|Steuer-?\ ?Id(?:Nr|-Nr|entifikationsnummer)?|Ausweis(?:-?Nr|nummer)?|Personalausweis(?:-?Nr|nummer)?|Reisepass(?:-?Nr)?|Sozialversicherungsnummer|DNI|NIE|NIF|pasaporte|CPF|RG|CURP|passaporte|social\ insurance(?:\ (?:no|number))?|personnummer|паспорт|ИНН|СНИЛС|身份证号?|マイナンバー|護照|旅券番号"
 )
 _BODY = (
     r"\d\ \d{2}\ \d{2}\ \d{2}\ \d{3}\ \d{3}\ \d{2}|[12]\d{14}|\d{2}\ \d{3}\ \d{3}\ \d{3}|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{11}|\d{3}[-\ ]\d{2}[-\ ]\d{4}|[A-Z]\d{3}-\d{4}-\d{4}"
     r"|[A-Z]{2}\ ?\d{2}\ ?\d{2}\ ?\d{2}\ ?[A-Z]|\d{1,2}\.\d{3}\.\d{3}\ ?-?\ ?[A-Z]|\d{8}\ ?-?\ ?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[A-Z]\d{3}[A-Z]\d{4}\d?|[A-Z]{1,3}\d{6,9}[A-Z]?|[CFGHJKLMNPRTVWXYZ][CFGHJKLMNPRTVWXYZ0-9]{8}|\d{9}|\d{10}"
 )
 _ID_SEP = r"\.?\s*(?:n\.?\s?[º°]|no\.?|Nr\.?)?\s*[:=#：]?\s*[#'\"]?\s*"
-LABELLED_ID = regex.compile(rf"(?i:(?<!\w)(?:{_LABELS})){_ID_SEP}(?P<v>{_BODY})(?![\w])(?!-\w)")
+LABELLED_ID = regex.compile(rf"(?P<label>(?i:(?<!\w)(?:{_LABELS}))){_ID_SEP}(?P<v>{_BODY})(?![\w])(?!-\w)")
 FIELD_ID = regex.compile(rf"(?i:holder\W{{1,4}})[^\n]{{2,60}}?\bid\W{{1,3}}(?P<v>{_BODY})(?![\w])(?!-\w)")
-BARE_ID = regex.compile(rf"(?<![\w.+#/@-])(?<![+(]\d)(?P<v>\d{{3}}-\d{{2}}-\d{{4}}|[A-CEGHJ-PR-TW-Z]{{2}}\ ?\d{{2}}\ ?\d{{2}}\ ?\d{{2}}\ ?[A-D]|[12]\ \d{{2}}\ \d{{2}}\ \d{{2}}\ \d{{3}}\ \d{{3}}\ \d{{2}}|[12]\d{{14}}|[A-Z]{{2}}\d{{2}}(?:\ ?[A-Z0-9]{{4}}){{3,7}})(?![\w])(?!-\w)")
-_NO_ID = regex.compile(r"(?i)(?:took|ticket|version|seed|run|build|port|commit|checksum|uuid|slot|issue|ticks)\W*$")
+BARE_ID = re.compile(rf"(?<![\w.+#/@-])(?<![+(]\d)(?P<v>\d{{3}}-\d{{2}}-\d{{4}}|[A-CEGHJ-PR-TW-Z]{{2}}\ ?\d{{2}}\ ?\d{{2}}\ ?\d{{2}}\ ?[A-D]|[12]\ \d{{2}}\ \d{{2}}\ \d{{2}}\ \d{{3}}\ \d{{3}}\ \d{{2}}|[12]\d{{14}}|\d{{3}}\.\d{{3}}\.\d{{3}}-\d{{2}})(?![\w])(?!-\w)")
+_NO_ID = regex.compile(r"(?i)\b(?:took|ticket|version|seed|run|build|port|commit|checksum|uuid|slot|issue|ticks)\W*$")
 _NO_ID_AFTER = regex.compile(r"(?i)^\W*(?:ticks|ms|bytes|lines|files)\b")
 _ID_CUE = regex.compile(r"(?i)\b(?:holder|identity|citizen|person|employee|born|document)\b")
 
 
-def national_ids(t: str) -> Iterator[Span]:
-    for pattern, base in ((LABELLED_ID, 0.8), (FIELD_ID, 0.7), (BARE_ID, 0.3)):
-        for m in pattern.finditer(t):
+#: How each kind of label begins; a label's pattern is tried there only.
+_LABEL_HEADS = (
+    "ssn|social|nino|ni |national|identity|passport|driver|driving|tax|nir|n°|numéro|sécurité|passeport|carte|cni|steuer|ausweis|personalausweis|reisepass|sozialversicherungsnummer|dni|nie|nif|pasaporte|cpf|rg|curp"
+    "|passaporte|personnummer|паспорт|инн|снилс|身份证|マイナンバー|護照|旅券番号"
+).split("|")
+
+
+@lru_cache(maxsize=1)
+def _heads():
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for head in _LABEL_HEADS:
+        automaton.add_word(head, len(head))
+    automaton.make_automaton()
+    return automaton
+
+
+def _labelled(t: str) -> Iterator:
+    """Labels with their numbers, from left to right, not overlapping."""
+    low = t.lower()
+    if len(low) != len(t):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+    last = 0
+    for start in sorted({end - n + 1 for end, n in _heads().iter(low)}):
+        if start >= last and (m := LABELLED_ID.match(t, start)):
+            yield m
+            last = m.end()
+
+
+#: A label says that a number is meant whatever its check digit, since invented numbers are made to fail theirs. ``strict`` lets the
+#: check decide there too. Without a label a checksum confirms and rejects; a range only rejects.
+LABELLED, IN_FIELD, BARE = 0.8, 0.7, 0.3
+
+
+def national_ids(t: str, strict: bool = False) -> Iterator[Span]:
+    if not _DIGITS.search(t):
+        return
+    for pattern, base in ((LABELLED_ID, LABELLED), (FIELD_ID, IN_FIELD), (BARE_ID, BARE)):
+        for m in _labelled(t) if pattern is LABELLED_ID else pattern.finditer(t):
             a, b = m.span("v")
-            score = base + {True: 0.2, False: -0.05, None: 0.0}[verdict(m["v"])]
+            label = m["label"] if pattern is LABELLED_ID else ""
+            good = verdict(m["v"], label)
+            blank = len(set(re.sub(r"\W", "", m["v"]))) == 1
+            if base == BARE:
+                ranged = _SSN_FORM.fullmatch(m["v"])
+                score = base + {True: 0.2 if ranged else 0.4, False: -0.3, None: 0.0}[good]
+            else:
+                score = base + {True: 0.1, False: -0.8 if strict or blank else -0.1, None: 0.0}[good]
             score += 0.2 * bool(_ID_CUE.search(t[max(0, a - 40) : a]))
             score -= 0.6 * bool(_NO_ID.search(t[max(0, a - 12) : a]) or _NO_ID_AFTER.search(t[b : b + 10]))
             yield Span(a, b, "national_id", score)
 
 
+_DIGITS = re.compile(r"\d")
+_SSN_FORM = re.compile(r"\d{3}-\d{2}-\d{4}")
+
+
 # Phones
 
 PHONE = regex.compile(r"(?<![\w#/@:])(?<![.\-]\d*)(?<!\d[.,])(?:\+|\((?=\+?\d))?\d(?:[\d]|[ .\-/](?=[\d(])|[()]\ ?(?=[\d(])|\)\ ?(?=\d))*(?<=\d)(?![\w])(?![:\-/.]\d|%)")
@@ -206,18 +292,18 @@ _PHONE_FORM = regex.compile(
 _PHONE_CUE = regex.compile(
     r"(?i)(?:tel|phone|mobile|cell|fax|call|page|ring|dial|whatsapp|telefon|rückfragen|unter|questions à|au|teléfono|móvil|dudas|telefone|тел|電話|电话|came from|\bon)\b[^\n\d+(]{0,40}$|<td>$|\|\ ?$"
 )
-_NO_PHONE = regex.compile(r"(?i)(?:took|ticket|tickets|version|seed|run|build|port|commit|checksum|uuid|slot|issue|order|invoice|rev|ticks|sha\w*|id)\W{0,2}$")
+_NO_PHONE = regex.compile(r"(?i)\b(?:took|ticket|tickets|version|seed|run|build|port|commit|checksum|uuid|slot|issue|order|invoice|rev|ticks|sha\w*|id)\W{0,2}$")
 
 
 def phones(t: str) -> Iterator[Span]:
     for m in PHONE.finditer(t):
-        digits = regex.sub(r"\D", "", m[0])
-        if not 7 <= len(digits) <= 15:
+        if len(m[0]) < 7 or not 7 <= sum(c.isdecimal() for c in m[0]) <= 15:
             continue
         before = t[max(0, m.start() - 60) : m.start()]
         form = bool(_PHONE_FORM.fullmatch(m[0]))
         score = 0.3 + 0.35 * form + 0.35 * bool(_PHONE_CUE.search(before))
-        score -= 0.7 * bool(_NO_PHONE.search(before))
+        # The form of a social security number is no phone's.
+        score -= 0.7 * bool(_NO_PHONE.search(before) or _SSN_FORM.fullmatch(m[0]))
         score -= 0.4 * bool(regex.fullmatch(r"(?:19|20)\d{2}-\d{2}-\d{2}|\d+", m[0]) and not _PHONE_CUE.search(before))
         yield Span(m.start(), m.end(), "phone", score)
 
@@ -245,16 +331,20 @@ _CODE_NAME = regex.compile(r"(?i)^[^\n]{0,12}\bcode ?name\b")
 
 
 def persons(t: str, given: frozenset[str], family: frozenset[str]) -> Iterator[Span]:
-    tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(t)]
-    kinds = []
-    for _, _, w in tokens:
+    tokens = [(*m.span(), m[0]) for m in TOKEN.finditer(t)]
+
+    @lru_cache(maxsize=None)
+    def kind(i: int) -> tuple[bool, bool, bool, bool]:
+        """Of a token: initial, given name, family name, may be a name."""
+        w = tokens[i][2]
         low = w.lower()
         initial = w[-1] == "."
-        camel = not initial and not w.isupper() and regex.search(r"\p{Ll}\p{Lu}", w)
-        kinds.append((initial, low in given, low in family, not initial and not camel and low not in _NOT_NAMES and len(w) > 2))
+        usable = not initial and low not in _NOT_NAMES and len(w) > 2 and (w.isupper() or not _CAMEL.search(w))
+        return initial, low in given, low in family, usable
+
     for i, (a, _, _) in enumerate(tokens):
-        for last, comma in _shapes(t, tokens, kinds, i):
-            first, end = kinds[i], kinds[last]
+        for last, comma in _shapes(t, tokens, kind, i):
+            first, end = kind(i), kind(last)
             # Which token is the given and which the family name.
             g, f = (end, first) if comma else (first, end)
             if f[0] or not f[3] or not (g[0] or g[3]):
@@ -274,31 +364,34 @@ def persons(t: str, given: frozenset[str], family: frozenset[str]) -> Iterator[S
             yield Span(a, b, "person", score)
 
 
-def _shapes(t, tokens, kinds, i) -> Iterator[tuple[int, bool]]:
+_CAMEL = regex.compile(r"\p{Ll}\p{Lu}")
+
+
+def _shapes(t, tokens, kind, i) -> Iterator[tuple[int, bool]]:
     """Ends of candidates that start at token i: given family, given X. family, X. family; family, given; family, X."""
     if i + 1 >= len(tokens):
         return
-    gap = t[tokens[i][1] : tokens[i + 1][0]]
-    if gap == " ":
-        if not kinds[i + 1][0]:
+    end, start = tokens[i][1], tokens[i + 1][0]
+    if start == end + 1 and t[end] == " ":
+        if not kind(i + 1)[0]:
             yield i + 1, False
-        elif not kinds[i][0] and i + 2 < len(tokens) and t[tokens[i + 1][1] : tokens[i + 2][0]] == " " and not kinds[i + 2][0]:
+        elif not kind(i)[0] and i + 2 < len(tokens) and t[tokens[i + 1][1] : tokens[i + 2][0]] == " " and not kind(i + 2)[0]:
             yield i + 2, False
-    elif gap == ", " and not kinds[i][0]:
+    elif start == end + 2 and t[end:start] == ", " and not kind(i)[0]:
         yield i + 1, True
-        if i + 2 < len(tokens) and kinds[i + 2][0] and not kinds[i + 1][0] and t[tokens[i + 1][1] : tokens[i + 2][0]] == " ":
+        if i + 2 < len(tokens) and kind(i + 2)[0] and not kind(i + 1)[0] and t[tokens[i + 1][1] : tokens[i + 2][0]] == " ":
             yield i + 2, True
 
 
 ORDER = {"address": 0, "email": 1, "national_id": 2, "phone": 3, "person": 4}
 
 
-def find_spans(text: str, given: frozenset[str], family: frozenset[str], threshold: float = THRESHOLD) -> list[Span]:
+def find_spans(text: str, given: frozenset[str], family: frozenset[str], threshold: float = THRESHOLD, strict: bool = False) -> list[Span]:
     """Spans of the text, in order, that reach the threshold and don't overlap; of overlapping ones the kind first in ORDER, then the higher score, then the longer."""
     folded, at = fold(text)
     found: list[Span] = []
     taken: list[tuple[int, int]] = []
-    proposals = [*addresses(folded), *emails(folded), *national_ids(folded), *phones(folded), *persons(folded, given, family)]
+    proposals = [*addresses(folded), *emails(folded), *national_ids(folded, strict), *phones(folded), *persons(folded, given, family)]
     for s in sorted((s for s in proposals if s.score >= threshold - 1e-9), key=lambda s: (ORDER[s.kind], -round(s.score, 3), s.start - s.end, s.start)):
         if all(s.end <= a or b <= s.start for a, b in taken):
             taken.append((s.start, s.end))
@@ -324,49 +417,82 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[last:]])
 
 
-def lexicon(name_parts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """Given and family names, lower case and composed; refuses more than MAX_NAME_PARTS."""
-    rows = name_parts.select(F.lower("name_part"), F.lower(F.trim("part_kind"))).dropna().limit(MAX_NAME_PARTS + 1).collect()
-    if len(rows) > MAX_NAME_PARTS:
-        raise ValueError(f"more than {MAX_NAME_PARTS} name parts")
-    of = lambda kind: frozenset(unicodedata.normalize("NFC", n.strip()) for n, k in rows if k == kind and n.strip())
-    return of("given"), of("family")
+def _of_kind(rows: Iterable, kind: str) -> frozenset[str]:
+    return frozenset(unicodedata.normalize("NFC", n.strip()) for n, k in rows if k == kind and n.strip())
+
+
+def parts_of(name_parts: DataFrame) -> DataFrame:
+    """part, kind: the distinct name parts in lower case; nulls take no part."""
+    return name_parts.select(F.lower("name_part").alias("part"), F.lower(F.trim("part_kind")).alias("kind")).dropna().distinct()
+
+
+def _with_names(docs: DataFrame, name_parts: DataFrame, key: str, text: str, limit: int) -> tuple[DataFrame, tuple | None]:
+    """The texts, and the lexicon as sets of given and family names if it is small.
 
+    A lexicon beyond ``limit`` bytes stays a table: the distinct words of every text meet it in a join, and the texts come with a column
+    ``__names`` of the name parts that occur in them, which is all that can matter to them.
+    """
+    parts = parts_of(name_parts)
+    if is_within(parts, limit):
+        rows = [tuple(r) for r in parts.collect()]
+        return docs, (_of_kind(rows, "given"), _of_kind(rows, "family"))
+
+    def words(batches: Iterable) -> Iterator:
+        for pdf in batches:
+            rows = [(k, w) for k, t in zip(pdf[key], pdf[text], strict=True) if isinstance(t, str) for w in {m[0].lower() for m in TOKEN.finditer(fold(t)[0])}]
+            yield pd.DataFrame(rows, columns=[key, "part"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    told = docs.where(F.col(text).isNotNull()).mapInPandas(words, f"{key} {kind}, part string").distinct()
+    composed = parts.withColumn("part", _nfc("part"))
+    found = told.join(composed, "part").groupBy(key).agg(F.collect_set(F.concat_ws("|", "kind", "part")).alias("__names"))
+    return docs.join(found, key, "left"), None
+
+
+@F.pandas_udf(T.StringType())
+def _nfc(parts: pd.Series) -> pd.Series:
+    return parts.map(lambda n: unicodedata.normalize("NFC", n.strip()), na_action="ignore")
 
-def find_pii(docs: DataFrame, name_parts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def _lexicons(pdf, names: tuple | None) -> Iterator[tuple[frozenset[str], frozenset[str]]]:
+    for told in [None] * len(pdf) if names else pdf["__names"]:
+        if names:
+            yield names
+        else:
+            rows = [x.split("|", 1)[::-1] for x in told] if told is not None else []
+            yield _of_kind(rows, "given"), _of_kind(rows, "family")
+
+
+def find_pii(docs: DataFrame, name_parts: DataFrame, key: str = "doc_id", text: str = "text", strict: bool = False, limit: int = LEXICON_BYTES) -> DataFrame:
     """key, pii_type, found_value, score: every distinct value of each document. Null, empty and blank texts give no rows.
 
-    One pass over whole texts in Arrow batches, without a shuffle.
+    One pass over whole texts in Arrow batches, without a shuffle while the lexicon is within ``limit`` bytes. ``strict``: a labelled
+    number whose check fails is none.
     """
-    given, family = lexicon(name_parts)
+    texts, names = _with_names(docs.select(key, text).where(F.col(text).isNotNull()), name_parts, key, text, limit)
 
     def run(batches: Iterable) -> Iterator:
-        import pandas as pd
-
         for pdf in batches:
             rows = []
-            for k, t in zip(pdf[key], pdf[text], strict=True):
+            for k, t, (given, family) in zip(pdf[key], pdf[text], _lexicons(pdf, names), strict=True):
                 best: dict[tuple[str, str], float] = {}
-                for s in find_spans(t, given, family):
+                for s in find_spans(t, given, family, strict=strict):
                     v = (s.kind, t[s.start : s.end])
                     best[v] = max(best.get(v, 0.0), s.score)
                 rows += [(k, kind, value, round(score, 3)) for (kind, value), score in best.items()]
             yield pd.DataFrame(rows, columns=[key, "pii_type", "found_value", "score"])
 
-    texts = docs.select(key, text).where(F.col(text).isNotNull())
     return spread(texts, key).mapInPandas(run, f"{key} bigint, pii_type string, found_value string, score double")
 
 
-def redact_pii(docs: DataFrame, name_parts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def redact_pii(docs: DataFrame, name_parts: DataFrame, key: str = "doc_id", text: str = "text", strict: bool = False, limit: int = LEXICON_BYTES) -> DataFrame:
     """key, text with placeholders, n_redacted: one row per document, null for a null text."""
-    given, family = lexicon(name_parts)
+    texts, names = _with_names(docs.select(key, text), name_parts, key, text, limit)
 
     def run(batches: Iterable) -> Iterator:
-        import pandas as pd
-
         for pdf in batches:
-            spans = [find_spans(t, given, family) if isinstance(t, str) else [] for t in pdf[text]]
+            spans = [find_spans(t, *lex, strict=strict) if isinstance(t, str) else [] for t, lex in zip(pdf[text], _lexicons(pdf, names), strict=True)]
             texts = [redact(t, s) if isinstance(t, str) else None for t, s in zip(pdf[text], spans, strict=True)]
             yield pd.DataFrame({key: pdf[key], text: texts, "n_redacted": [len(s) for s in spans]})
 
-    return spread(docs.select(key, text), key).mapInPandas(run, f"{key} bigint, {text} string, n_redacted int")
+    return spread(texts, key).mapInPandas(run, f"{key} bigint, {text} string, n_redacted int")
