@@ -111,8 +111,10 @@ def pascal_case(name: Column) -> Column:
 
 
 def title_case(segment: Column) -> Column:
-    words = F.filter(F.split(F.regexp_replace(segment, "@", ""), r"[-_./ ]+"), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), " ")
+    plain = F.regexp_replace(F.regexp_replace(segment, r"\A@", ""), r"[^a-zA-Z0-9_-]", "")
+    words = F.filter(F.split(plain, r"[-_]+"), lambda w: w != "")
+    joined = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), "")
+    return F.when(joined == "", segment).otherwise(joined)
 
 
 #: Directories that name no feature.
@@ -187,17 +189,15 @@ def size_class(n_bytes: Column, info: int = 16 << 10, warning: int = 32 << 10) -
     return F.when(n_bytes >= warning, "warning").when(n_bytes >= info, "info")
 
 
-_EDGE = r"(^|/|[-_.])"
-_STOP = r"([-_.]|\z)"
 #: Role of a component by its path, the first that matches.
 ROLES = [
     ("Module", r"\.module\.(t|j)sx?\z"),
-    ("Configuration", rf"{_EDGE}config(uration)?{_STOP}"),
-    ("Controller", rf"{_EDGE}controllers?{_STOP}|controller\.(t|j)sx?\z"),
-    ("Service", rf"{_EDGE}services?{_STOP}|service\.(t|j)sx?\z"),
-    ("Repository", rf"{_EDGE}repositor(y|ies){_STOP}|repository\.(t|j)sx?\z"),
-    ("Database", rf"{_EDGE}(entity|entities|schema|models?|prisma|migration){_STOP}"),
-    ("Route", rf"(^|/)routes?/|{_EDGE}router{_STOP}|routes?\.(t|j)sx?\z|web\.php\z"),
+    ("Configuration", r"(^|/|[-_.])config(uration)?([-_.]|\z)"),
+    ("Controller", r"(^|/|[-_.])controllers?([-_.]|\z)|controller\.(t|j)sx?\z"),
+    ("Service", r"(^|/|[-_.])services?([-_.]|\z)|service\.(t|j)sx?\z"),
+    ("Repository", r"(^|/|[-_.])repositor(y|ies)([-_.]|\z)|repository\.(t|j)sx?\z"),
+    ("Database", r"(^|/|[-_.])(entity|entities|schema|models?|prisma|migration)([-_.]|\z)"),
+    ("Route", r"(^|/)routes?/|(^|/|[-_.])router([-_.]|\z)|routes?\.(t|j)sx?\z|web\.php\z"),
     ("Widget", r"widget\.(dart|tsx?|jsx?)\z|_widget\.dart\z"),
     ("Bloc", r"bloc\.(dart|tsx?)\z|cubit\.dart\z"),
     ("EntryPoint", r"(^|/)main\.(t|j)sx?\z|(^|/)main\.dart\z|(^|/)index\.(t|j)sx?\z"),
@@ -254,3 +254,50 @@ def owners_regex(pattern: str) -> str:
     rooted, directory = body.startswith("/"), body.endswith("/")
     inner = _glob(body.removeprefix("/").removesuffix("/"))
     return ("^" if rooted else "(^|/)") + inner + ("(/.*)?$" if directory else "$")
+
+
+# The same as columns, for patterns that are rows.
+
+
+def literal_of(text: Column) -> Column:
+    """A text as a regular expression that means itself."""
+    return F.regexp_replace(text, r"[.+*?^${}()|\[\]\\]", r"\\$0")
+
+
+def glob_of(body: Column) -> Column:
+    escaped = F.regexp_replace(body, r"[.+^${}()|\[\]\\]", r"\\$0")
+    marked = F.replace(F.replace(F.replace(escaped, F.lit("**"), F.lit("\x00")), F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))
+    return F.replace(marked, F.lit("\x00"), F.lit(".*"))
+
+
+def ignore_regex_of(pattern: Column) -> Column:
+    """ignore_regex for a column of patterns."""
+    inner = F.regexp_replace(pattern, r"/\z", "")
+    folder = F.when(inner.contains("/"), F.concat(F.lit("^"), glob_of(inner), F.lit("(?:/.*)?$"))).otherwise(F.concat(F.lit("^(?:.*/)?"), glob_of(inner), F.lit("(?:/.*)?$")))
+    rooted = F.concat(F.lit("^"), glob_of(F.regexp_replace(pattern, r"\A/", "")), F.lit("$"))
+    body, literal = glob_of(pattern), literal_of(pattern)
+    nested = F.concat(F.lit("^(?:"), body, F.lit("(?:/.*)?|.*/"), literal, F.lit("|"), literal, F.lit("/.*)$"))
+    name = F.concat(F.lit("^(?:(?:.*/)?"), body, F.lit("|(?:.*/)?"), literal, F.lit("(?:/.*)?)$"))
+    return F.when(pattern.endswith("/"), folder).when(pattern.startswith("/"), rooted).when(pattern.contains("/"), nested).otherwise(name)
+
+
+def owners_regex_of(pattern: Column) -> Column:
+    """owners_regex for a column of patterns; * alone covers everything."""
+    body = F.trim(pattern)
+    inner = glob_of(F.regexp_replace(F.regexp_replace(body, r"\A/", ""), r"/\z", ""))
+    return F.when(body == "*", ".*").otherwise(F.concat(F.when(body.startswith("/"), "^").otherwise("(^|/)"), inner, F.when(body.endswith("/"), "(/.*)?$").otherwise("$")))
+
+
+def folded(base: Column, relative: Column) -> Column:
+    """base/relative with . and .. folded; what leads out of the root keeps its leading .. segments."""
+    parts = F.filter(F.split(F.concat_ws("/", F.nullif(base, F.lit("")), relative), "/"), lambda p: (p != "") & (p != "."))
+    up = lambda acc: (F.size(acc) == 0) | (F.element_at(F.concat(F.array(F.lit("..")), acc), -1) == "..")
+    out = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda acc, p: F.when((p == "..") & ~up(acc), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, p)),
+    )
+    return F.array_join(out, "/")
+
+
+def leads_out(path: Column) -> Column:
+    return (path == "..") | path.startswith("../")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataform.functions import paths
+from strataform.functions.clean import strip
+
 _ENDS = r"\A[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+\z"
 
 
@@ -20,23 +23,68 @@ def normal_content(text: Column) -> Column:
     return F.lower(F.regexp_replace(t, _ENDS, ""))
 
 
+#: Extensions that make a bare name a file, hosts of module paths, roots of a standard library, words that only look like
+#: paths, roots that a build makes.
+BARE_FILE = r"(?i)\.(mdc?|txt|tsx?|jsx?|mjs|cjs|json|ya?ml|toml|php|py|rb|go|rs|java|kt|css|scss|html|vue|svelte|sh|bash|zsh|sql|xml|svg|png|jpe?g|gif|webp|wasm|lock)\z"
+MODULE_HOST = r"(?i)\A(?:[a-z0-9-]+\.)+(?:com|org|net|io|dev|ai|app|cloud|co|edu|gov|info|me|tv|xyz|in|to|cc)(?:/|\z)"
+GO_ROOTS = (
+    "archive bufio bytes cmp compress container context crypto database debug embed encoding errors expvar flag fmt go hash html image index io log maps math mime net os path plugin"
+    " reflect regexp runtime slices structs sync syscall testing text time unicode unique unsafe weak"
+).split()
+SLASH_WORDS = r"(?i)\A(?:try/finally|if/else|for/of|for/in|async/await|do/while)\z"
+BUILD_ROOTS = ["dist", "build", "out", "target", ".next", "coverage"]
+
+
 def path_candidates(text: Column) -> Column:
-    """Distinct targets of markdown links and back-tick spans, without anchors."""
-    links = F.regexp_extract_all(text, F.lit(r"\]\(([^)\s]+)\)"), F.lit(1))
-    spans = F.regexp_extract_all(text, F.lit(r"`([^`\n]+)`"), F.lit(1))
-    return F.array_distinct(F.transform(F.array_union(links, spans), lambda c: F.regexp_replace(c, r"[#?].*\z", "")))
+    """Distinct targets of markdown links and back-tick spans, trimmed, up to an anchor."""
+    links = F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)]+)\)"), F.lit(1))
+    spans = F.regexp_extract_all(text, F.lit(r"`([^`]+)`"), F.lit(1))
+    return F.array_distinct(F.transform(F.array_union(links, spans), lambda c: F.regexp_replace(strip(c), r"(?s)#.*\z", "")))
 
 
 def is_local_reference(c: Column) -> Column:
-    """A candidate that may be a path of this tree: a slash or an extension, no URL, blank, placeholder, glob, option or package scope."""
+    """A candidate that may be a path of this tree; precision goes before recall."""
+    plain = F.regexp_replace(c, r"/+\z", "")
+    parts = F.split(plain, "/")
+    go = F.size(parts).between(2, 4) & parts[0].isin(GO_ROOTS) & F.forall(parts, lambda p: p.rlike(r"\A[a-z][a-z0-9]*\z"))
+    nested = ~F.exists(parts, lambda p: p == "") & ~plain.rlike(MODULE_HOST) & ~go
     return (
-        (F.length(c) > 1)
+        (c != "")
         & (F.length(c) <= 200)
-        & (c.contains("/") | c.rlike(r"\.[A-Za-z0-9]{1,8}\z"))
-        & ~c.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:|^//|^[#@$~-]|[\s<>{}*|\"';()=,]|\.\.\.|^(origin|upstream)/")
+        & ~c.rlike(r"(?i)\A(?:https?:|mailto:|file:)|\A#|\A--|://|[\n ]|[;&|$]|\A/|\A[A-Za-z]:[\\/]|\A\.[A-Za-z_][\w-]*\z|\A@[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+|[*?\[\]{}]")
+        & ~c.rlike(SLASH_WORDS)
+        & ~F.regexp_replace(F.regexp_replace(c, r"\A\./", ""), r"/+\z", "").isin(BUILD_ROOTS)
+        & F.when(c.contains("/"), nested).otherwise(c.rlike(BARE_FILE) & ~c.startswith("."))
     )
 
 
+def concrete(c: Column) -> Column:
+    """The candidate decoded and with slashes; null where it is a placeholder, an ellipsis, a home path, a branch or a bundler's module type."""
+    decoded = F.when(c.contains("%"), F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))).otherwise(c)
+    n = F.replace(decoded, F.lit("\\"), F.lit("/"))
+    branch = n.rlike(r"\A(?:origin|upstream|HEAD)/[A-Za-z0-9._/-]+\z") | (n.rlike(r"\A(?:feature|fix|chore|hotfix|release)/[A-Za-z0-9._/-]+\z") & ~n.rlike(r"\.[A-Za-z0-9]{1,16}\z"))
+    odd = n.rlike(r"<[^<>\s]+>|\{[A-Za-z_][A-Za-z0-9_]*\}|(?:^|/)\.\.\.(?:/|\z)|\A~(?:/|\z)|\A(?:asset|javascript|css|json|wasm|webassembly|runtime)/[A-Za-z0-9_-]+\z")
+    return F.when((n != "") & ~branch & ~odd, n)
+
+
+def local_references(text: Column) -> Column:
+    """The distinct candidates of a text that may be paths of its tree."""
+    return F.filter(path_candidates(text), lambda c: is_local_reference(c) & concrete(c).isNotNull())
+
+
+def reference_tries(refs: DataFrame) -> DataFrame:
+    """Adds ``tries`` to references (path, ref): the paths each may mean, none if it leads out of the tree.
+
+    With ./ or ../ it is read from the file's own directory, else from the root and from there.
+    """
+    ref, base = concrete(F.col("ref")), paths.dirname(F.col("path"))
+    explicit = ref.rlike(r"\A\.\.?/")
+    near, root = paths.folded(base, ref), paths.folded(F.lit(""), ref)
+    inside = lambda *ps: F.array_distinct(F.filter(F.array(*ps), lambda p: ~paths.leads_out(p)))
+    out = F.array().cast("array<string>")
+    return refs.withColumn("tries", F.when(explicit, inside(near)).when(paths.leads_out(root), out).otherwise(inside(root, near)))
+
+
 #: Words that mark a secret, and names of sensitive files.
 SECRETISH = r"(?i)(password|secret|token|api[_-]?key|private[_-]?key|credential)"
 SENSITIVE_NAME = r"(?i)(\A\.env(\..+)?\z|credentials.*\.json\z|secret|id_rsa\z|id_ed25519\z|\.pem\z|\.key\z)"

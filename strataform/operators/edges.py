@@ -8,26 +8,30 @@ from pyspark.sql import functions as F
 from strataform.functions import numbers as N
 
 
-def _evidence() -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("evidence", F.array().cast("array<string>"))))))
+def _with_evidence(edges: DataFrame, key: list[str], merged: DataFrame) -> DataFrame:
+    """Adds the distinct evidence strings of each key, in order: repeats go before anything is gathered."""
+    told = edges.select(*key, F.explode("evidence").alias("e")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list("e")).alias("evidence"))
+    return merged.join(told, key, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
 
 
 def merge_dependencies(edges: DataFrame, scope: list[str], keep_self: tuple[str, ...] = ("service", "repository", "module")) -> DataFrame:
     """One row per scope, source, target and type: greatest confidence, distinct evidence in order. Self edges stay for some types only."""
     kept = edges.where((F.col("source") != F.col("target")) | F.col("type").isin(*keep_self))
-    return kept.groupBy(*scope, "source", "target", "type").agg(F.max("confidence").alias("confidence"), _evidence().alias("evidence"))
+    key = [*scope, "source", "target", "type"]
+    return _with_evidence(kept, key, kept.groupBy(*key).agg(F.max("confidence").alias("confidence")))
 
 
 def merge_relationships(edges: DataFrame, scope: list[str]) -> DataFrame:
     """One row per scope, source, target and kind: greatest confidence and strength, bidirectional if any is, distinct evidence; no self edges."""
     rank = N.rank_of(F.col("strength"), N.STRENGTHS)
-    merged = edges.where(F.col("source") != F.col("target")).groupBy(*scope, "source", "target", "kind").agg(
+    key = [*scope, "source", "target", "kind"]
+    kept = edges.where(F.col("source") != F.col("target"))
+    merged = kept.groupBy(*key).agg(
         F.max("confidence").alias("confidence"),
         F.max_by("strength", rank).alias("strength"),
         F.coalesce(F.bool_or("bidirectional"), F.lit(False)).alias("bidirectional"),
-        _evidence().alias("evidence"),
     )
-    return merged
+    return _with_evidence(kept, key, merged)
 
 
 #: Kinds whose reverse edge may be of another of them.

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strataform.sources.shared import written
+from strataform.sources.shared import own_dir, written
 
 
 def reach(edges: DataFrame, roots: DataFrame, scope: list[str], mode: str = "dependencies", max_depth: int | None = None) -> DataFrame:
@@ -20,24 +23,29 @@ def reach(edges: DataFrame, roots: DataFrame, scope: list[str], mode: str = "dep
     back = edges.select(*scope, F.col("target").alias("node"), F.col("source").alias("to"))
     steps = {"dependencies": forward, "dependents": back, "blast-radius": forward.unionByName(back)}[mode]
     steps = written(steps.dropna().distinct())
-    seen = written(roots.select(*scope, F.col("node").alias("root"), "node", F.lit(0).alias("depth")).dropna().distinct())
-    frontier, depth = seen, 0
+    first = roots.select(*scope, F.col("node").alias("root"), "node").dropna().distinct()
+    # One folder for all that is reached, a part per depth, so that reading it stays one scan however deep it gets.
+    spark, base = edges.sparkSession, f"{own_dir(edges.sparkSession)}/{uuid.uuid4().hex}"
+    reached = lambda path: spark.read.schema(first.schema).option("basePath", base).parquet(path)
+    first.write.parquet(f"{base}/depth=0")
+    depth, more = 0, None
     while True:
-        depth += 1
+        frontier, seen = reached(f"{base}/depth={depth}"), reached(f"{base}/depth=*")
         met = frontier.join(steps, [*scope, "node"]).select(*scope, "root", F.col("to").alias("node")).distinct()
-        found = written(met.join(seen, [*scope, "root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if found.isEmpty():
-            more = None
-            break
-        if max_depth is not None and depth > max_depth:
+        found = met.join(seen, [*scope, "root", "node"], "left_anti")
+        if max_depth is not None and depth == max_depth:
             more = found.select(*scope, "root").distinct().withColumn("truncated", F.lit(True))
             break
-        frontier, seen = found, seen.unionByName(found)
+        depth += 1
+        found.write.parquet(f"{base}/depth={depth}")
+        if reached(f"{base}/depth={depth}").isEmpty():
+            break
+    out = spark.read.schema(T.StructType([*first.schema.fields, T.StructField("depth", T.IntegerType())])).option("basePath", base).parquet(base)
     if max_depth is None:
-        return seen
+        return out
     if more is None:
-        return seen.withColumn("truncated", F.lit(False))
-    return seen.join(more, [*scope, "root"], "left").na.fill(False, ["truncated"])
+        return out.withColumn("truncated", F.lit(False))
+    return out.join(more, [*scope, "root"], "left").na.fill(False, ["truncated"])
 
 
 def reached_edges(edges: DataFrame, nodes: DataFrame, scope: list[str]) -> DataFrame:

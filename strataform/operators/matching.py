@@ -2,59 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataform.functions import paths as P
 from strataform.functions.text import normal_content
+from strataform.operators.skew import join_dimension
 
-#: Patterns sent to every task; a rule set is a file a person wrote, and a longer one is refused.
-MAX_RULES = 10_000
 
+def anchored(rules: DataFrame, pattern: Column) -> DataFrame:
+    """Adds ``anchor``, what every path that can match the pattern has among its keys: the longest segment without wildcards, else the
+    extension the pattern ends with, else nothing."""
+    parts = F.filter(F.split(pattern, "/"), lambda p: p != "")
+    plain = F.array_max(F.transform(F.filter(parts, lambda p: ~p.rlike(r"[*?]")), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    ext = F.nullif(F.regexp_extract(F.try_element_at(parts, F.lit(-1)), r"\A.*[*?].*\.([^*?.]+)\z", 1), F.lit(""))
+    return rules.withColumn("anchor", F.coalesce(F.concat(F.lit("seg:"), plain), F.concat(F.lit("ext:"), ext), F.lit("")))
 
-def last_match(paths: DataFrame, rules: list[dict], path: str = "path") -> DataFrame:
-    """Adds ``rule``: the last of the ordered rules (each with ``regex``) that a path matches, as the rule's place; null without any.
 
-    One expression tests the rules from the last to the first, so a path is tested until it matches, and no join or shuffle is needed.
-    """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    out = F.when(F.lit(False), F.lit(0))
-    for i in reversed(range(len(rules))):
-        out = out.when(F.col(path).rlike(rules[i]["regex"]), i)
-    return paths.withColumn("rule", out)
+def _keys(path: Column) -> Column:
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    names = F.transform(parts, lambda p: F.concat(F.lit("seg:"), p))
+    exts = F.transform(F.filter(parts, lambda p: p.contains(".")), lambda p: F.concat(F.lit("ext:"), F.regexp_extract(p, r"\.([^.]*)\z", 1)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), names, exts))
 
 
-def resolve_owners(paths: DataFrame, rules: list[dict], path: str = "path") -> DataFrame:
-    """Adds owner and source. ``rules``: regex, pattern, owner, source in order.
+def last_rule(paths: DataFrame, rules: DataFrame, scope: list[str], payload: str, path: str = "path") -> DataFrame:
+    """scope, path, rule: of every path that some rule of its scope matches, the ``payload`` of the matching rule with the greatest ``ord``.
 
-    An owners file's last matching rule goes before the longest matching package pattern, and that before the maintainers.
+    ``rules``: scope, anchor (see anchored), regex, ord, payload, any number of them. A path meets only the rules whose anchor it has;
+    the rules are sent to the paths if they are small, and lie over salts if not (skew.join_dimension). Null paths take no part.
     """
-    files = sorted((r for r in rules if r["source"] == "codeowners"), key=lambda r: 0)
-    packages = sorted((r for r in rules if r["source"] == "package"), key=lambda r: len(r["pattern"]))
-    people = [r for r in rules if r["source"] == "maintainers"]
-    ranked = [*people, *packages, *files]
-    owners = F.array(*[F.lit(r["owner"]) for r in ranked])
-    sources = F.array(*[F.lit(r["source"]) for r in ranked])
-    found = last_match(paths, ranked, path)
-    return found.withColumns({"owner": F.try_element_at(owners, F.col("rule") + 1), "owner_source": F.try_element_at(sources, F.col("rule") + 1)}).drop("rule")
-
-
-def is_ignored(paths: DataFrame, patterns: list[str], path: str = "path") -> DataFrame:
-    """Adds ``ignored``: the last matching ignore pattern decides, one with ! takes the path back in."""
-    from strataform.functions.paths import ignore_regex
+    each = paths.select(*scope, F.col(path).alias("path")).dropna().distinct().withColumn("anchor", F.explode(_keys(F.col("path"))))
+    met = join_dimension(each, rules.select(*scope, "anchor", "regex", "ord", F.col(payload).alias("rule")), [*scope, "anchor"], "path")
+    hits = met.where(F.rlike("path", F.col("regex")))
+    return hits.groupBy(*scope, "path").agg(F.max_by("rule", "ord").alias("rule"))
 
-    rules = [{"regex": ignore_regex(p.removeprefix("!")), "keep": p.startswith("!")} for p in patterns]
-    keep = F.array(*[F.lit(r["keep"]) for r in rules]) if rules else F.array(F.lit(True))
-    return last_match(paths, rules, path).withColumn("ignored", ~F.coalesce(F.try_element_at(keep, F.col("rule") + 1), F.lit(True))).drop("rule")
 
+def resolve_owners(paths: DataFrame, rules: DataFrame, scope: list[str]) -> DataFrame:
+    """scope, path, owner, owner_source (null without an owner). ``rules``: scope, pattern, owner, source (codeowners, package, maintainers).
 
-def exposure(paths: DataFrame, agents: dict[str, list[str]], path: str = "path") -> DataFrame:
-    """Adds ``agents``: in order, those whose ignore patterns don't cover the path. Agents are few; no row is paired with another."""
-    out = paths
-    for i, (_, patterns) in enumerate(sorted(agents.items())):
-        out = is_ignored(out, patterns, path).withColumnRenamed("ignored", f"__ignored{i}")
-    seen = F.array(*[F.when(~F.col(f"__ignored{i}"), F.lit(a)) for i, a in enumerate(sorted(agents))])
-    return out.withColumn("agents", F.filter(seen, lambda x: x.isNotNull())).drop(*[f"__ignored{i}" for i in range(len(agents))])
+    An owners file's last matching rule, in the order of its patterns, goes before the longest matching package pattern, and that before
+    the maintainers. Of equal patterns the greatest owner counts.
+    """
+    rank = F.when(F.col("source") == "codeowners", 2).when(F.col("source") == "package", 1).otherwise(0)
+    longest = F.when(F.col("source") == "package", F.length("pattern")).otherwise(0)
+    ready = anchored(rules.dropna(subset=[*scope, "pattern", "owner"]), F.trim("pattern")).select(
+        *scope, "anchor", P.owners_regex_of(F.col("pattern")).alias("regex"), F.struct(rank.alias("rank"), longest.alias("n"), "pattern", "owner").alias("ord"), F.struct("owner", F.col("source").alias("owner_source")).alias("told")
+    )
+    own = paths.select(*scope, "path").dropna().distinct()
+    found = last_rule(own, ready, scope, "told").select(*scope, "path", "rule.owner", "rule.owner_source")
+    return own.join(found, [*scope, "path"], "left")
 
 
 def duplicate_classes(docs: DataFrame, scope: list[str], key: str, text: str, least: int = 80) -> DataFrame:
@@ -71,10 +68,8 @@ def duplicate_classes(docs: DataFrame, scope: list[str], key: str, text: str, le
 
 def missing_references(references: DataFrame, files: DataFrame, scope: list[str]) -> DataFrame:
     """References (scope, path, ref, and ``tries``, the paths it may mean) of which no try is a file or a directory of the scope."""
-    from strataform.functions.paths import ancestors
-
-    held = files.select(*scope, F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))).alias("__try")).distinct().withColumn("__held", F.lit(1))
-    tried = references.select(*scope, "path", "ref", F.explode("tries").alias("__try")).join(held, [*scope, "__try"], "left")
+    held = files.select(*scope, F.explode(F.array_append(P.ancestors(F.col("path")), F.col("path"))).alias("__try")).distinct().withColumn("__held", F.lit(1))
+    tried = references.select(*scope, "path", "ref", F.explode_outer("tries").alias("__try")).join(held, [*scope, "__try"], "left")
     return tried.groupBy(*scope, "path", "ref").agg(F.count("__held").alias("__n")).where("__n = 0").select(*scope, "path", "ref")
 
 

@@ -17,7 +17,7 @@ from strataform.operators.resolve import resolve
 
 #: Where owners are told, and how sure each source is.
 OWNER_FILES = ["CODEOWNERS", ".github/CODEOWNERS", "docs/CODEOWNERS", ".gitlab/CODEOWNERS"]
-MAINTAINER_FILES = ["MAINTAINERS", "MAINTAINERS.md", ".github/MAINTAINERS"]
+MAINTAINER_FILES = ["MAINTAINERS", "OWNERS", "docs/MAINTAINERS"]
 OWNER_CONFIDENCE = {"codeowners": 0.95, "maintainers-file": 0.85, "package-maintainers": 0.75}
 
 
@@ -98,6 +98,12 @@ def languages(files: DataFrame) -> DataFrame:
     return counts.select("repo", F.inline(each)).where("score > 0")
 
 
+def primary_language(files: DataFrame) -> DataFrame:
+    """repo, language: the one with the greatest score, of several the first in the order of the list."""
+    place = F.array_position(F.array(*[F.lit(k) for k in LANGUAGES]), F.col("language"))
+    return languages(files).groupBy("repo").agg(F.max_by("language", F.struct("score", -place)).alias("language"))
+
+
 def package_managers(files: DataFrame) -> DataFrame:
     """repo, manager, at_root, place: the managers whose files are there, the most telling first."""
     name = F.lower(P.basename(F.col("path")))

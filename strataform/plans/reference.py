@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataform.functions import ids, numbers, paths, text
-from strataform.functions.clean import norm_key, norm_keys, norm_upper
-from strataform.operators import architecture, claims, delta, edges, findings, graph, matching, nested
+from strataform.functions.clean import norm_key, norm_keys, norm_upper, strip
+from strataform.operators import architecture, claims, delta, edges, exclusions, findings, graph, matching, nested
 from strataform.operators.resolve import resolve
 from strataform.operators.skew import join_dimension
 from strataform.plans.store import IDS, latest_claims, snapshot_chain, snapshots
@@ -135,7 +135,7 @@ def coupling_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.coupling(relationships(spark, sf_dir), [P])
 
 
-def risks(spark: SparkSession, sf_dir: str, owner_rules: list[dict] | None = None) -> DataFrame:
+def risks(spark: SparkSession, sf_dir: str, rules: DataFrame | None = None) -> DataFrame:
     """All risks of each project, each target once per kind: kind, target, severity, confidence.
 
     Entrypoints and domains are those of all its exports; of an entrypoint told more than once the greatest confidence counts, none counts
@@ -149,8 +149,9 @@ def risks(spark: SparkSession, sf_dir: str, owner_rules: list[dict] | None = Non
     of = exports.select("export_id", norm_key(P).alias(P))
     domain_paths = nested.flat_items(exports, "export_id").where("entity = 'domain_path' and pos < 3 and item <> ''").join(of, "export_id").select(P, F.col("item").alias("target"))
     owned = files.select(P, F.col("file").alias("target")).unionByName(domain_paths).dropna()
-    owned = owned.withColumn("target", F.replace("target", F.lit("\\"), F.lit("/"))).distinct().withColumn("__path", F.regexp_replace("target", r"\A/+", ""))
-    unowned = matching.resolve_owners(owned, _owner_rules() if owner_rules is None else owner_rules, "__path").where("owner is null")
+    owned = owned.withColumn("target", F.replace("target", F.lit("\\"), F.lit("/"))).distinct().withColumn("path", F.regexp_replace("target", r"\A/+", ""))
+    covered = matching.resolve_owners(owned.select(P, "path"), owner_rules(spark, sf_dir) if rules is None else rules, [P]).where("owner is not null")
+    unowned = owned.join(covered.select(P, "path"), [P, "path"], "left_anti")
     disputed = architecture.conflicts(_signals(spark, sf_dir), P).withColumnRenamed("pattern", "target").dropna(subset=[P])
     kinds = [
         row(entries, "critical-entrypoint", "high", numbers.confidence(F.least(F.lit(0.9), F.lit(0.55) + F.col("sure") * 0.35))),
@@ -291,10 +292,21 @@ def confidence_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest-rank p50, p95 and maximum of an event's value by type."""
+    """Nearest-rank p50, p95 and maximum of an event's value by type.
+
+    A histogram of the values, combined before its shuffle, is cut at whole numbers and counted up bucket by bucket, so no task
+    holds the values of a type.
+    """
     e = table(spark, sf_dir, "events").where("value is not null")
-    rank = lambda p: F.expr(f"percentile_disc({p}) within group (order by value)")
-    return e.groupBy("event_type").agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"), F.max("value").alias("greatest"), F.count(F.lit(1)).alias("n"))
+    seen = e.groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("k")).withColumn("bucket", F.floor("value"))
+    inside = Window.partitionBy("event_type", "bucket").orderBy("value")
+    buckets = seen.groupBy("event_type", "bucket").agg(F.sum("k").alias("in_bucket"))
+    before = F.sum("in_bucket").over(Window.partitionBy("event_type").orderBy("bucket")) - F.col("in_bucket")
+    total = F.sum("in_bucket").over(Window.partitionBy("event_type"))
+    placed = seen.join(buckets.select("event_type", "bucket", before.alias("before"), total.alias("n")), ["event_type", "bucket"])
+    upto = placed.withColumn("upto", F.col("before") + F.sum("k").over(inside))
+    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * p), F.col("value")))
+    return upto.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("greatest"), F.max("n").alias("n"))
 
 
 def set_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,49 +372,54 @@ def large_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("severity", paths.size_class(F.col("n_bytes"), 4 << 10, 8 << 10)).where("severity is not null")
 
 
-#: An owners file, a package's maintainers and a maintainers file, as the ownership queries take them.
-OWNER_RULES = [
-    ("/notes/*.md", "@docs-crew", "codeowners"),
-    ("/apps/", "@edge-crew", "codeowners"),
-    ("/services/", "@core-crew", "codeowners"),
-    ("apps/copper/", "@platform-crew", "codeowners"),
-    ("*-review_thread-*", "@desk-crew", "codeowners"),
-    ("/packages/", "@infra-crew", "package"),
-    ("/packages/cedar/", "@growth-crew", "package"),
-    ("*", "@signal-crew", "maintainers"),
-]
-
-
-def _owner_rules() -> list[dict]:
-    # Rules of one source are taken in the order of their patterns.
-    ordered = sorted(OWNER_RULES, key=lambda r: r[0])
-    return [{"pattern": p, "regex": ".*" if p == "*" else paths.owners_regex(p), "owner": o, "source": s} for p, o, s in ordered]
+#: A line of an owners file inside a note: a rooted path and who owns it.
+OWNER_LINE = r"(?m)^(/\S+)[ \t]+(@\S+)[ \t]*\r?$"
 
 
-def document_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(norm_key(P).alias(P), "path").where("path is not null").distinct()
+def owner_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """project_id, pattern, owner, source: the owners' lines in a project's notes, and the owners its claims tell of directories."""
+    d = table(spark, sf_dir, "documents").select(norm_key(P).alias(P), "text").dropna()
+    found = lambda i: F.regexp_extract_all("text", F.lit(OWNER_LINE), F.lit(i))
+    lines = d.select(P, F.inline(F.arrays_zip(found(1).alias("pattern"), found(2).alias("owner")))).withColumn("source", F.lit("codeowners"))
+    c = table(spark, sf_dir, "brain_claims").where(norm_key("predicate") == "owned-by")
+    told = c.select(norm_key(P).alias(P), strip("subject").alias("pattern"), strip("claim_object").alias("owner"), F.lit("package").alias("source"))
+    return lines.unionByName(told).where("pattern <> '' and owner <> ''").dropna().distinct()
 
 
 def ownership_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.resolve_owners(document_paths(spark, sf_dir).select("path").distinct(), _owner_rules())
+    """The owner of every path of every project by the project's own rules; null where none covers it."""
+    return matching.resolve_owners(locators(spark, sf_dir), owner_rules(spark, sf_dir), [P])
 
 
 def unclear_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths that only the maintainers' file covers."""
-    return ownership_resolution(spark, sf_dir).where("owner_source = 'maintainers'").select("path")
+    """Paths that no rule of their project covers."""
+    return ownership_resolution(spark, sf_dir).where("owner is null").select(P, "path")
 
 
-AGENT_IGNORES = {
-    "claude-code": ["*.json", "/vendor/", "services/"],
-    "codex": ["*.log", "apps/*/carafe*", "!apps/copper/carafe*"],
-    "cursor": [".env", ".env.*", "lib/", "**/*-scan_log-*"],
-}
+#: Agents in the order in which their patterns are dealt out.
+IGNORING = ["claude-code", "codex", "cursor"]
+
+
+def agent_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """project_id, agent, ord, pattern, keep: the ignore patterns that evidence of kind pattern-match stands for.
+
+    The tables have no ignore files, so a locator's length decides which agent ignores it and whether as its directory, its extension, a
+    rooted path, a name, or as a path taken back in.
+    """
+    t = table(spark, sf_dir, "brain_evidence").where(norm_key("kind") == "pattern-match")
+    t = t.select(norm_key(P).alias(P), F.col("locator").alias("ord")).where("ord <> ''").dropna().distinct().withColumn("n", F.octet_length("ord"))
+    p = F.col("ord")
+    shape = F.floor(F.col("n") / 3) % 5
+    folder = F.when(paths.dirname(p) != "", F.concat(paths.dirname(p), F.lit("/"))).otherwise(p)
+    pattern = F.when(shape == 0, folder).when(shape == 1, F.concat(F.lit("*."), paths.extension(p))).when(shape == 2, F.concat(F.lit("/"), p)).when(shape == 3, paths.basename(p)).otherwise(p)
+    agent = F.element_at(F.array(*[F.lit(a) for a in IGNORING]), (F.col("n") % 3).cast("int") + 1)
+    return t.select(P, agent.alias("agent"), "ord", pattern.alias("pattern"), (shape == 4).alias("keep"))
 
 
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per path the agents that may read it."""
-    out = matching.exposure(document_paths(spark, sf_dir).select("path").distinct(), AGENT_IGNORES)
-    return out.select("path", _joined("agents").alias("agents"))
+    """Per path of a project the agents with patterns there that may read it."""
+    out = exclusions.exposure(locators(spark, sf_dir), agent_patterns(spark, sf_dir), [P])
+    return out.select(P, "path", _joined("agents").alias("agents"))
 
 
 def import_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -432,7 +449,7 @@ def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The imports of each project, resolved in their place, are in ``project_imports``.
     """
-    d = table(spark, sf_dir, "documents").select(norm_key(P).alias(P), "path", "text").dropna()
+    d = table(spark, sf_dir, "documents").where("text is not null")
     refs = d.select(F.explode(text.references(F.col("text"), F.lit("ts"))).alias("specifier")).distinct().withColumn("path", F.lit("root.ts"))
     found = resolve(refs, locators(spark, sf_dir), [])
     return found.select("specifier", F.coalesce("target", F.lit("")).alias("target"))
@@ -440,10 +457,9 @@ def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths in back-ticks or links of a text that are no file or directory of the project."""
-    d = table(spark, sf_dir, "documents").select(norm_key(P).alias(P), "path", "text").dropna()
-    refs = d.select(P, "path", F.explode(F.filter(text.path_candidates(F.col("text")), text.is_local_reference)).alias("ref")).distinct()
-    refs = refs.withColumn("tries", F.array_distinct(F.array(paths.join_path(F.lit(""), F.col("ref")), paths.join_path(paths.dirname(F.col("path")), F.col("ref")))))
-    return matching.missing_references(refs, locators(spark, sf_dir), [P])
+    d = table(spark, sf_dir, "documents").select(norm_key(P).alias(P), F.coalesce("path", F.lit("")).alias("path"), "text").dropna()
+    refs = d.select(P, "path", F.explode(text.local_references(F.col("text"))).alias("ref")).distinct()
+    return matching.missing_references(text.reference_tries(refs), locators(spark, sf_dir), [P])
 
 
 # Claims

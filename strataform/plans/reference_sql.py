@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from strataform.functions import paths
-from strataform.functions.text import SECRETISH, SENSITIVE_NAME
-from strataform.operators import architecture
-from strataform.operators.resolve import TRIED
-from strataform.plans import reference
+from strataform.plans import values_sql as V
 from strataform.plans.store_sql import _CHAIN, _CLAIMS, _SNAPS, _WS, key
 
 _ROUND = "floor({x} * 100 + 0.5) / 100"
@@ -90,43 +86,51 @@ def _re(pattern: str) -> str:
 
 
 _TOKENS = """list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(replace(path, '\\', '/'), '\\.[A-Za-z0-9]+$', ''), '([a-z0-9])([A-Z])', '\\1/\\2', 'g'), '[/_.-]+'), lambda w: lower(w)),
-    lambda w: length(w) >= 2 and not list_contains([{stop}], w) and not regexp_matches(w, '^[0-9]+$'))""".replace("{stop}", ", ".join(f"'{w}'" for w in paths.STOP_SEGMENTS))
-_LEXICON = ", ".join(f"('{w}', '{d}')" for w, d in sorted({w: d for d, ws in reversed(paths.DOMAIN_LEXICON.items()) for w in ws}.items()))
+    lambda w: length(w) >= 2 and not list_contains([{stop}], w) and not regexp_matches(w, '^[0-9]+$'))""".replace("{stop}", ", ".join(f"'{w}'" for w in V.STOP_SEGMENTS))
+_LEXICON = ", ".join(f"('{w}', '{d}')" for w, d in sorted({w: d for d, ws in reversed(V.DOMAIN_LEXICON.items()) for w in ws}.items()))
 _words_of = lambda x: f"list_filter(regexp_split_to_array({x}, '[._\\-/]+'), lambda w: w <> '')"
 _pascal = lambda x: f"array_to_string(list_transform({_words_of(x)}, lambda w: upper(w[1:1]) || lower(w[2:])), '')"
 _list = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
 _SAMPLE = f"""len(list_filter(case when contains(string_split(path, '/')[-1], '.') then string_split(path, '/')[:-2] else string_split(path, '/') end, lambda s:
-    list_contains({_list(paths.SAMPLE_DIRECTORIES)}, lower(s))
-    or (starts_with(s, '_') and list_contains({_list(paths.SAMPLE_DIRECTORIES)}, regexp_replace(lower(s), '^_+', '')))
-    or (len(list_filter(regexp_split_to_array(lower(s), '[-_]+'), lambda w: w <> '')) >= 2 and list_has_any(regexp_split_to_array(lower(s), '[-_]+'), {_list(paths.TEST_WORDS)}))
-    or (regexp_matches(s, '[A-Z]') and list_has_any(string_split(lower(regexp_replace(regexp_replace(s, '([a-z0-9])([A-Z])', '\\1/\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1/\\2', 'g')), '/'), {_list(paths.TEST_WORDS)})))) > 0"""
-_ROLE = _case([(f"regexp_matches(lower(path), '{_re(p)}')", r) for r, p in paths.ROLES], "'none'")
+    list_contains({_list(V.SAMPLE_DIRECTORIES)}, lower(s))
+    or (starts_with(s, '_') and list_contains({_list(V.SAMPLE_DIRECTORIES)}, regexp_replace(lower(s), '^_+', '')))
+    or (len(list_filter(regexp_split_to_array(lower(s), '[-_]+'), lambda w: w <> '')) >= 2 and list_has_any(regexp_split_to_array(lower(s), '[-_]+'), {_list(V.TEST_WORDS)}))
+    or (regexp_matches(s, '[A-Z]') and list_has_any(string_split(lower(regexp_replace(regexp_replace(s, '([a-z0-9])([A-Z])', '\\1/\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1/\\2', 'g')), '/'), {_list(V.TEST_WORDS)})))) > 0"""
+_ROLE = _case([(f"regexp_matches(lower(path), '{_re(p)}')", r) for r, p in V.ROLES], "'none'")
 _hash31 = lambda x: f"lpad(printf('%x', cast(list_reduce(list_prepend(cast(0 as hugeint), list_transform(string_split({x}, ''), lambda c: cast(ord(c) as hugeint))), lambda h, c: (h * 31 + c) % 4294967296) as bigint)), 8, '0')"
 
 _ENDS = "[\\s\\pZ\\x{FEFF}\\x{0B}]+"
 _FORM = f"""lower(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '^---(?s:.*?)\\n---', ''), chr(13) || chr(10), chr(10)), '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'),
     '\\A{_ENDS}|{_ENDS}\\z', '', 'g'))"""
 
-_OWNERS = reference._owner_rules()
 
 
-def _owned() -> str:
-    rows = ", ".join(f"({i}, '{r['regex']}', '{r['owner']}', '{r['source']}', {len(r['pattern'])})" for i, r in enumerate(_OWNERS))
-    return f"""docs as (select distinct path from documents where path is not null and {key('project_id')} is not null or path is not null),
-rules(ord, regex, owner, source, len) as (values {rows}),
-hits as (select d.path, r.* from docs d join rules r on regexp_matches(d.path, r.regex)),
-best as (select path, owner, source as owner_source from hits
-  qualify row_number() over (partition by path order by case source when 'codeowners' then 2 when 'package' then 1 else 0 end desc, case source when 'package' then len else 0 end desc, ord desc) = 1)
-select d.path, b.owner, b.owner_source from docs d left join best b using (path)"""
+def strip(c: str) -> str:
+    return f"trim({c}, {_WS})"
 
 
-def _ignored(patterns: list[str]) -> str:
-    """True if the last matching pattern of the list ignores the path."""
-    whens = " ".join(f"when regexp_matches(path, '{paths.ignore_regex(p.removeprefix('!'))}') then {'false' if p.startswith('!') else 'true'}" for p in reversed(patterns))
-    return f"(case {whens} else false end)"
+def _glob(p: str) -> str:
+    escaped = f"regexp_replace({p}, '[.+^${{}}()|\\[\\]\\\\]', '\\\\\\0', 'g')"
+    return f"replace(replace(replace(replace({escaped}, '**', chr(1)), '*', '[^/]*'), '?', '[^/]'), chr(1), '.*')"
 
 
-_SEEN = ", ".join(f"case when not {_ignored(ps)} then '{a}' end" for a, ps in sorted(reference.AGENT_IGNORES.items()))
+_INNER = _glob("regexp_replace(regexp_replace(pattern, '^/', ''), '/$', '')")
+_OWNED = f"""line as (select {key('project_id')} as project_id, unnest(regexp_extract_all(text, '(?m)^(/\\S+)[ \\t]+(@\\S+)[ \\t]*\\r?$', 1)) as pattern, unnest(regexp_extract_all(text, '(?m)^(/\\S+)[ \\t]+(@\\S+)[ \\t]*\\r?$', 2)) as owner from documents where text is not null),
+told as (select {key('project_id')} as project_id, {strip('subject')} as pattern, {strip('claim_object')} as owner from brain_claims where {key('predicate')} = 'owned-by'),
+rules as (select distinct project_id, pattern, owner, source from (select *, 'codeowners' as source from line union all select *, 'package' from told) where pattern <> '' and owner <> '' and project_id is not null),
+ready as (select *, case when pattern = '*' then '.*' else case when starts_with(pattern, '/') then '^' else '(^|/)' end || {_INNER} || case when ends_with(pattern, '/') then '(/.*)?$' else '$' end end as regex from rules),
+best as (select f.project_id, f.path, r.owner, r.source as owner_source from files f join ready r on r.project_id = f.project_id and regexp_matches(f.path, r.regex)
+  qualify row_number() over (partition by f.project_id, f.path order by case r.source when 'codeowners' then 2 else 1 end desc, case r.source when 'package' then length(r.pattern) else 0 end desc, r.pattern desc, r.owner desc) = 1)"""
+
+#: The shape of every ignore pattern is known, so each is matched by what it means.
+_EXPOSED = f"""loc as (select distinct {key('project_id')} as project_id, locator as o, strlen(locator) as n from brain_evidence where {key('kind')} = 'pattern-match' and locator <> '' and {key('project_id')} is not null),
+pat as (select project_id, o, ['claude-code', 'codex', 'cursor'][n % 3 + 1] as agent, (n // 3) % 5 as shape, regexp_replace(o, '/[^/]*$', '') as dir, string_split(o, '/')[-1] as name, '.' || lower(regexp_extract(o, '\\.([A-Za-z0-9]+)$', 1)) as ext from loc),
+own as (select distinct project_id, agent from pat),
+pairs as (select f.project_id, f.path, o.agent from files f join own o using (project_id)),
+hit as (select q.project_id, q.path, q.agent, arg_max(p.shape = 4, p.o) as keep from pairs q join pat p on p.project_id = q.project_id and p.agent = q.agent and case p.shape
+    when 0 then q.path = p.dir or starts_with(q.path, p.dir || '/') when 1 then ends_with(q.path, p.ext) when 2 then q.path = p.o when 3 then list_contains(string_split(q.path, '/'), p.name)
+    else q.path = p.o or starts_with(q.path, p.o || '/') or ends_with(q.path, '/' || p.o) end group by 1, 2, 3),
+seen as (select q.* from pairs q left join hit h using (project_id, path, agent) where coalesce(h.keep, true))"""
 
 _STORED = f"""stored as (select project_id, snapshot_id, claim_id, r.subject, r.predicate, r.claim_object, r.status, r.superseded_by, r.confidence,
     list_distinct(list_filter(list_transform(r.evidence_ids, lambda e: {key('e')}), lambda e: e is not null)) as evidence_ids
@@ -138,22 +142,33 @@ _EV = f"ev as (select {key('project_id')} as project_id, {key('snapshot_id')} as
 
 
 def _reach(root: str, step: str) -> str:
-    """The least number of steps to every node from one root per project."""
+    """The least number of steps to every node from one root per project; a node is walked from once, however deep it lies."""
     return f"""with recursive {D}, steps as (select distinct project_id, a, b from ({step})),
-  walk(project_id, node, depth) as (select distinct project_id, '{root}', 0 from deps
-    union select w.project_id, s.b, w.depth + 1 from walk w join steps s on s.project_id = w.project_id and s.a = w.node where w.depth < 25)
-  select project_id, node, min(depth) as depth from walk group by 1, 2"""
+  walk(project_id, node, depth) using key (project_id, node) as (select distinct project_id, '{root}', 0 from deps
+    union select w.project_id, s.b, min(w.depth) + 1 from walk w join steps s on s.project_id = w.project_id and s.a = w.node
+      left join recurring.walk r on r.project_id = w.project_id and r.node = s.b where r.node is null group by 1, 2)
+  select project_id, node, depth from walk"""
 
 
 _BACK = "select project_id, target as a, source as b from deps"
-_TRIES = ", ".join(f"({i}, '{e}')" for i, e in enumerate(TRIED))
-
-
-_REFS = f"""refs as (select distinct project_id, path, ref from (
-  select {key('project_id')} as project_id, path, regexp_replace(unnest(list_concat(regexp_extract_all(text, '\\]\\(([^)\\s]+)\\)', 1), regexp_extract_all(text, '`([^`\\n]+)`', 1))), '[#?].*$', '') as ref
-  from documents where path is not null and text is not null and project_id is not null)
-  where length(ref) > 1 and length(ref) <= 200 and (contains(ref, '/') or regexp_matches(ref, '\\.[A-Za-z0-9]{{1,8}}$'))
-    and not regexp_matches(ref, '^[a-zA-Z][a-zA-Z0-9+.-]*:|^//|^[#@$~-]|[\\s<>{{}}*|"'';()=,]|\\.\\.\\.|^(origin|upstream)/'))"""
+_TRIES = ", ".join(f"({i}, '{e}')" for i, e in enumerate(V.TRIED))
+
+
+_CANDIDATE = f"""regexp_replace({strip('c')}, '(?s)#.*$', '')"""
+_GO = "archive bufio bytes cmp compress container context crypto database debug embed encoding errors expvar flag fmt go hash html image index io log maps math mime net os path plugin reflect regexp runtime slices structs sync syscall testing text time unicode unique unsafe weak"
+_REFS = f"""cand as (select distinct project_id, path, {_CANDIDATE} as ref from (
+    select {key('project_id')} as project_id, coalesce(path, '') as path, unnest(list_concat(regexp_extract_all(text, '\\[[^\\]]*\\]\\(([^)]+)\\)', 1), regexp_extract_all(text, '`([^`]+)`', 1))) as c from documents where text is not null)
+    where project_id is not null),
+  parts as (select *, regexp_replace(ref, '/+$', '') as plain, string_split(regexp_replace(ref, '/+$', ''), '/') as ps from cand),
+  refs as (select project_id, path, ref from parts where ref <> '' and length(ref) <= 200
+    and not regexp_matches(ref, '(?i)^(https?:|mailto:|file:)|^#|^--|://|[\\n ]|[;&|$]|^/|^[A-Za-z]:[\\\\/]|^\\.[A-Za-z_][\\w-]*$|^@[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+|[*?\\[\\]{{}}]')
+    and not regexp_matches(ref, '(?i)^(try/finally|if/else|for/of|for/in|async/await|do/while)$') and regexp_replace(regexp_replace(ref, '^\\./', ''), '/+$', '') not in ('dist', 'build', 'out', 'target', '.next', 'coverage')
+    and case when contains(ref, '/') then not list_contains(ps, '') and not regexp_matches(ps[1], '(?i)^(?:[a-z0-9-]+\\.)+(?:com|org|net|io|dev|ai|app|cloud|co|edu|gov|info|me|tv|xyz|in|to|cc)$')
+        and not (len(ps) between 2 and 4 and list_contains(string_split('{_GO}', ' '), ps[1]) and len(list_filter(ps, lambda x: not regexp_matches(x, '^[a-z][a-z0-9]*$'))) = 0)
+      else regexp_matches(ref, '(?i)\\.(mdc?|txt|tsx?|jsx?|mjs|cjs|json|ya?ml|toml|php|py|rb|go|rs|java|kt|css|scss|html|vue|svelte|sh|bash|zsh|sql|xml|svg|png|jpe?g|gif|webp|wasm|lock)$') and not starts_with(ref, '.') end
+    and not regexp_matches(ref, '^(origin|upstream|HEAD)/[A-Za-z0-9._/-]+$') and not (regexp_matches(ref, '^(feature|fix|chore|hotfix|release)/[A-Za-z0-9._/-]+$') and not regexp_matches(ref, '\\.[A-Za-z0-9]{{1,16}}$'))
+    and not regexp_matches(ref, '<[^<>\\s]+>|(^|/)\\.\\.\\.(/|$)|^~(/|$)|^(asset|javascript|css|json|wasm|webassembly|runtime)/[A-Za-z0-9_-]+$')),
+  based as (select *, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') || '/' else '' end as base from refs)"""
 
 SQL = {
     "finding_summary": f"with {FINDINGS} select repo, {_COUNTS} from f group by 1",
@@ -197,9 +212,9 @@ SQL = {
     "impact": f"""with {D} select project_id, count(*) filter (contains(target, 'kernel')) as n_inbound, count(*) filter (contains(source, 'kernel')) as n_outbound, count(*) as n_edges
       from deps where contains(source, 'kernel') or contains(target, 'kernel') group by 1""",
     "architecture_signals": f"""with {D}, {R}, p as (select distinct project_id from deps union select distinct project_id from rels),
-      a as (select project_id, {', '.join(f'count(*) filter ({_matching(**x)}) as {n}' for n, x in architecture.RELATIONSHIP_SIGNALS.items())} from rels group by 1),
-      b as (select project_id, {', '.join(f'count(*) filter ({_matching(**x, kind="type")}) as {n}' for n, x in architecture.DEPENDENCY_SIGNALS.items())} from deps group by 1)
-      select project_id, {', '.join(f'coalesce({n}, 0) as {n}' for n in [*architecture.RELATIONSHIP_SIGNALS, *architecture.DEPENDENCY_SIGNALS])} from p left join a using (project_id) left join b using (project_id)""",
+      a as (select project_id, {', '.join(f'count(*) filter ({_matching(**x)}) as {n}' for n, x in V.RELATIONSHIP_SIGNALS.items())} from rels group by 1),
+      b as (select project_id, {', '.join(f'count(*) filter ({_matching(**x, kind="type")}) as {n}' for n, x in V.DEPENDENCY_SIGNALS.items())} from deps group by 1)
+      select project_id, {', '.join(f'coalesce({n}, 0) as {n}' for n in [*V.RELATIONSHIP_SIGNALS, *V.DEPENDENCY_SIGNALS])} from p left join a using (project_id) left join b using (project_id)""",
     "confidence_distribution": f"""with {D} select type, count(*) as n, min(confidence) as least, max(confidence) as greatest, {_MEAN.format(c='confidence')} as mean, {_ROUND.format(x='quantile_cont(confidence, 0.5)')} as median
       from deps where confidence is not null group by 1""",
     "latency_percentiles": "select event_type, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, max(value) as greatest, count(*) as n from events where value is not null group by 1",
@@ -213,27 +228,28 @@ SQL = {
       c as (select project_id, domain, count(distinct path) as n_files, count(*) as n_hits from words join lexicon using (word) group by 1, 2)
       select * from (select *, {conf('0.45 + least(n_files, 8) * cast(0.06 as double) + least(n_hits / n_files, 3.0) * cast(0.05 as double)')} as confidence from c) where confidence >= 0.5""",
     "path_classes": f"""with {L} select project_id, {_ROLE} as role, count(*) as n_files, count(*) filter ({_SAMPLE}) as n_samples,
-      count(*) filter (list_contains({_list(paths.SOURCE_EXTENSIONS)}, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)))) as n_sources from files group by 1, 2""",
+      count(*) filter (list_contains({_list(V.SOURCE_EXTENSIONS)}, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)))) as n_sources from files group by 1, 2""",
     "path_names": f"""with {L}, p as (select distinct path, string_split(path, '/') as parts from files)
       select path, {_pascal("regexp_replace(parts[-1], '\\.[A-Za-z0-9]+$', '')")} as name,
-        coalesce({_pascal(f"list_filter(parts[:-2], lambda d: not list_contains({_list(paths.NO_FEATURE)}, lower(d)) and regexp_matches(d, '^[a-zA-Z][A-Za-z0-9_-]+$'))[1]")}, '') as feature,
+        coalesce({_pascal(f"list_filter(parts[:-2], lambda d: not list_contains({_list(V.NO_FEATURE)}, lower(d)) and regexp_matches(d, '^[a-zA-Z][A-Za-z0-9_-]+$'))[1]")}, '') as feature,
         case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end as directory, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) as extension from p""",
     "model_ids": f"with {L} select distinct path, 'entrypoint_' || substr(sha256('entrypoint-discovery' || chr(0) || 'entrypoint' || chr(0) || path), 1, 16) as id from files",
     "claim_ids": f"""select distinct subject, predicate, claim_object, 'claim_' || {_hash31("subject || chr(0) || predicate || chr(0) || claim_object")} as id
       from brain_claims where subject is not null and predicate is not null and claim_object is not null""",
-    "redacted_evidence": f"""select distinct locator, symbol, case when not (regexp_matches(regexp_extract(locator, '[^/\\\\]*$'), '{_re(SENSITIVE_NAME)}') or regexp_matches(locator, '{_re(SECRETISH)}')) then locator
+    "redacted_evidence": f"""select distinct locator, symbol, case when not (regexp_matches(regexp_extract(locator, '[^/\\\\]*$'), '{_re(V.SENSITIVE_NAME)}') or regexp_matches(locator, '{_re(V.SECRETISH)}')) then locator
         when not regexp_matches(locator, '[/\\\\]') then '[REDACTED_PATH]' else regexp_replace(regexp_replace(locator, '[^/\\\\]*$', ''), '[/\\\\]', '/', 'g') || '[REDACTED_NAME]' end as safe_locator,
-      case when regexp_matches(symbol, '{_re(SECRETISH)}') then '[REDACTED]' else symbol end as safe_symbol from brain_evidence""",
+      case when regexp_matches(symbol, '{_re(V.SECRETISH)}') then '[REDACTED]' else symbol end as safe_symbol from brain_evidence""",
     "duplicate_documents": f"""with n as (select distinct doc_id, {_FORM} as form from documents where doc_id is not null and text is not null),
       c as (select form, min(doc_id) as class_id, count(*) as n_copies from n where length(form) >= 80 group by 1 having count(*) > 1) select doc_id, class_id, n_copies from n join c using (form)""",
     "large_documents": "select doc_id, n_bytes, case when n_bytes >= 8192 then 'warning' else 'info' end as severity from (select doc_id, cast(strlen(text) as bigint) as n_bytes from documents) where n_bytes >= 4096",
-    "ownership_resolution": f"with {_owned()}",
-    "unclear_ownership": f"select path from (with {_owned()}) where owner_source = 'maintainers'",
-    "exposure": f"select distinct path, array_to_string(list_filter([{_SEEN}], lambda x: x is not null), '|') as agents from documents where path is not null",
+    "ownership_resolution": f"with {L}, {_OWNED} select f.project_id, f.path, b.owner, b.owner_source from files f left join best b using (project_id, path)",
+    "unclear_ownership": f"with {L}, {_OWNED} select f.project_id, f.path from files f anti join best b using (project_id, path)",
+    "exposure": f"with {L}, {_EXPOSED} select f.project_id, f.path, coalesce(string_agg(s.agent, '|' order by s.agent), '') as agents from files f left join seen s using (project_id, path) group by 1, 2",
     "missing_references": f"""with {L}, {_REFS},
-      held as (select distinct project_id, array_to_string(parts[:i], '/') as t from (select project_id, string_split(path, '/') as parts, unnest(generate_series(1, len(string_split(path, '/')))) as i from files))
-      select project_id, path, ref from refs r where not exists (select 1 from held h where h.project_id = r.project_id
-        and h.t in (ltrim(replace(r.ref, './', ''), '/'), ltrim(case when contains(r.path, '/') then regexp_replace(r.path, '/[^/]*$', '') || '/' else '' end || replace(r.ref, './', ''), '/')))""",
+      held as (select distinct project_id, array_to_string(parts[:i], '/') as t from (select project_id, string_split(path, '/') as parts, unnest(generate_series(1, len(string_split(path, '/')))) as i from files)),
+      tries as (select project_id, path, ref, base || ref as t from based union all select project_id, path, ref, ref from based where not regexp_matches(ref, '^\\.\\.?/')),
+      plain as (select project_id, path, ref, array_to_string(list_filter(string_split(t, '/'), lambda p: p not in ('', '.')), '/') as t from tries)
+      select project_id, path, ref from plain p left join held h using (project_id, t) group by 1, 2, 3 having count(h.project_id) = 0""",
     "contradictions": f"""with {_STORED}, live as (select * from stored where status in ('ACTIVE', 'CONTRADICTED') and claim_object is not null),
       g as (select project_id, snapshot_id, subject, predicate, array_to_string(list_sort(list(distinct claim_object)), '|') as object_values, count(distinct claim_object) as n,
         array_to_string(list_sort(list(distinct claim_id)), '|') as claim_ids, coalesce(array_to_string(list_sort(list_distinct(flatten(list(coalesce(evidence_ids, []))))), '|'), '') as evidence_ids, min(confidence) as confidence
@@ -275,7 +291,7 @@ SQL = {
     "blast_radius": _reach("sharedkernel", f"{_BACK} union all select project_id, source, target from deps"),
     "resolved_imports": f"""with {L}, refs as (select distinct specifier from (select unnest(list_concat(
           regexp_extract_all(text, '(?m)\\b(?:import|export)\\b[^''"\\n;()]*?[''"]([^''"\\n]+)[''"]', 1), regexp_extract_all(text, '\\brequire\\(\\s*[''"]([^''"\\n]+)[''"]\\s*\\)', 1),
-          regexp_extract_all(text, '\\bimport\\(\\s*[''"]([^''"\\n]+)[''"]\\s*\\)', 1))) as specifier from documents where text is not null and path is not null)
+          regexp_extract_all(text, '\\bimport\\(\\s*[''"]([^''"\\n]+)[''"]\\s*\\)', 1))) as specifier from documents where text is not null)
         where not starts_with(specifier, 'node:') and specifier not in ('.', './', '../')),
       keys as (select key, arg_min(path, (rank, path)) as target from (select path, 0 as rank, path as key from files
           union all select path, 1, regexp_replace(path, '\\.[A-Za-z0-9]+$', '') from files

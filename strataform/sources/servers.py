@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strataform.functions import paths
+
 #: Configuration files of the agents.
 JSON_FILES = {".cursor/mcp.json": "cursor", ".mcp.json": "claude-code"}
 TOML_FILE = ".codex/config.toml"
@@ -22,13 +24,14 @@ def is_filesystem_server(command: Column, args: Column) -> Column:
 
 
 def scope_class(scope: Column, root: Column) -> Column:
-    """broad, outside, ok or unknown; a scope is judged by its text alone."""
+    """broad, outside, ok or unknown; a scope is judged by its text alone, with . and .. folded."""
     s = F.trim(scope)
+    real = F.concat(F.lit("/"), paths.join_path(F.lit(""), s))
     return (
         F.when(s == "", "unknown")
         .when(s.isin("/", "~", "$HOME", "${HOME}") | s.rlike(r"^(~|\$HOME|\$\{HOME\})/"), "broad")
         .when((s == "..") | s.startswith("../"), "outside")
-        .when(s.startswith("/"), F.when((s == root) | s.startswith(F.concat(root, F.lit("/"))), "ok").otherwise("outside"))
+        .when(s.startswith("/"), F.when((real == root) | real.startswith(F.concat(root, F.lit("/"))), "ok").otherwise("outside"))
         .otherwise("ok")
     )
 

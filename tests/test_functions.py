@@ -91,6 +91,9 @@ def test_texts(spark):
     assert values(spark, text.normal_content, ["---\na: b\n---\n Hello  \r\n\r\n\r\n\r\nWorld \n", "--- x", None]) == ["hello\n\nworld", "--- x", None]
     assert values(spark, text.redact_locator, ["src/.env", "id_rsa", "src/a.ts", "a/api_key.ts"]) == ["src/[REDACTED_NAME]", "[REDACTED_PATH]", "src/a.ts", "a/[REDACTED_NAME]"]
     assert values(spark, text.path_candidates, ["see `a/b.md` and [x](c/d.md#e) `a/b.md`"]) == [["c/d.md", "a/b.md"]]
+    ok = ["src/a.ts", "./x/y", "../z.md", "notes.md", "fix/login.ts", "docs"]
+    no = ["/abs/x", "io/ioutil", "net/http", "github.com/a/b", "try/finally", "dist", "dist/", ".content", "@scope/name", "a b/c", "x/*.ts", "https://a/b", "fix/some-branch", "origin/main", "asset/resource", "bases/base/...", "~/x", "a//b", "v1.2", "{name}/x"]
+    assert values(spark, text.local_references, [" ".join(f"`{c}`" for c in [*ok, *no])]) == [ok[:-1]]
     got = values(spark, lambda c: text.references(c, F.lit("ts")), ["import {a} from './a';\nexport * from \"../b\";\nconst c = require('c'); import('./d')\nimport 'node:fs'"])
     assert got == [["./a", "../b", "c", "./d"]]
     assert values(spark, lambda c: text.references(c, F.lit("py")), ["from .a.b import c\nimport d.e\n"]) == [[".a.b", "d.e"]]

@@ -4,7 +4,9 @@ from datetime import datetime
 
 import pytest
 
-from strataform.operators import claims, delta, edges, findings, graph, matching
+from pyspark.sql import functions as F
+
+from strataform.operators import claims, delta, edges, exclusions, findings, graph, matching
 from strataform.plans.engine import QueryEngine, QueryError, QueryNotFound
 from strataform.sources.snapshot_store import SnapshotConflict, SnapshotStore, annotations, stable_json
 from tests.conftest import SMALL, rows
@@ -82,17 +84,48 @@ def test_reverse_edges(spark):
 
 
 def test_owners_and_ignores(spark):
-    from strataform.functions.paths import owners_regex
-
-    rule = lambda p, o, s: {"pattern": p, "regex": owners_regex(p), "owner": o, "source": s}
-    given = [rule("*.md", "docs", "codeowners"), rule("/a/", "team", "codeowners"), rule("/a/b/", "deep", "package"), rule("/a/", "wide", "package"), {"pattern": "*", "regex": ".*", "owner": "all", "source": "maintainers"}]
-    df = spark.createDataFrame([("a/x.md",), ("a/b/c",), ("z.md",), ("q",)], "path string")
-    assert rows(matching.resolve_owners(df, given).select("path", "owner")) == [("a/b/c", "team"), ("a/x.md", "team"), ("q", "all"), ("z.md", "docs")]
-    assert rows(matching.resolve_owners(df, given[2:]).select("path", "owner"))[0] == ("a/b/c", "deep")
-    assert rows(matching.is_ignored(df, ["*.md", "!z.md"])) == [("a/b/c", False), ("a/x.md", True), ("q", False), ("z.md", False)]
-    assert rows(matching.is_ignored(df, []).where("ignored")) == []
-    with pytest.raises(ValueError):
-        matching.last_match(df, [given[0]] * (matching.MAX_RULES + 1))
+    given = [("r", "*.md", "docs", "codeowners"), ("r", "/a/", "team", "codeowners"), ("r", "/a/b/", "deep", "package"), ("r", "/a/", "wide", "package"), ("r", "*", "all", "maintainers")]
+    frame = lambda r: spark.createDataFrame(r, "s string, pattern string, owner string, source string")
+    df = spark.createDataFrame([("r", "a/x.md"), ("r", "a/b/c"), ("r", "z.md"), ("r", "q"), ("t", "q"), ("r", None)], "s string, path string")
+    owner = lambda r: rows(matching.resolve_owners(df, frame(r), ["s"]).where("s = 'r'").select("path", "owner"))
+    assert owner(given) == [("a/b/c", "team"), ("a/x.md", "team"), ("q", "all"), ("z.md", "docs")]
+    assert owner(given[2:])[0] == ("a/b/c", "deep")
+    assert rows(matching.resolve_owners(df, frame(given), ["s"]).where("owner is null").select("s", "path")) == [("t", "q")]
+    # More rules than anyone writes are rows as well.
+    many = [*given, *[("r", f"/x{i}/", f"o{i}", "codeowners") for i in range(12_000)]]
+    assert owner(many) == owner(given)
+    ignore = spark.createDataFrame([("r", 1, "*.md", False), ("r", 2, "z.md", True)], "s string, ord int, pattern string, keep boolean")
+    assert rows(exclusions.ignored(df, ignore, ["s"]).select("path")) == [("a/x.md",)]
+    assert rows(exclusions.ignored(df, ignore.limit(0), ["s"])) == []
+
+
+PATTERNS = ["*.md", "a/", "a/b/", "/a/x.md", "a/b", "x.md", "b/*.md", "**/x.md", "a/**/c", "/*", "?.md", "*.t?", "a**", ".env", ".env.*", "[x].md", "a/b/**", "build/", "*"]
+
+
+def test_pattern_columns_mean_what_the_patterns_mean(spark):
+    import re
+
+    from strataform.functions import paths as P
+
+    tried = ["a/x.md", "a", "a/b", "a/b/c", "a/b/d/c", "x.md", "b/x.md", "q/b/x.md", ".env", "k/.env.local", "z.ts", "w/build/o.js", "[x].md", "ab", "q/a/b", "q/a/b/c", "*.md", "d/*.t?/e"]
+    df = spark.createDataFrame([("s", p) for p in tried], "s string, path string")
+    for kind, python, column in (("ignore", P.ignore_regex, P.ignore_regex_of), ("owners", lambda p: ".*" if p == "*" else P.owners_regex(p), P.owners_regex_of)):
+        # Every pattern is the only one of its own scope.
+        rules = spark.createDataFrame([(p, 0, p) for p in PATTERNS], "s string, ord int, pattern string")
+        each = df.drop("s").crossJoin(rules.select("s"))
+        ready = matching.anchored(rules, F.col("pattern")).withColumn("regex", column(F.col("pattern")))
+        got = {(r.s, r.path) for r in matching.last_rule(each, ready, ["s"], "pattern").collect()}
+        assert got == {(p, t) for p in PATTERNS for t in tried if re.search(python(p), t)}, kind
+
+
+def test_reach_goes_to_the_end_and_tells_where_it_stops(spark):
+    chain = spark.createDataFrame([("s", f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)] + [("s", "n30", "n00")], "s string, source string, target string")
+    roots = spark.createDataFrame([("s", "n00")], "s string, node string")
+    assert graph.reach(chain, roots, ["s"]).agg(F.max("depth")).first()[0] == 30
+    cut = graph.reach(chain, roots, ["s"], max_depth=5)
+    assert cut.count() == 6 and {r.truncated for r in cut.collect()} == {True}
+    short = chain.where("source < 'n04'")
+    assert {r.truncated for r in graph.reach(short, roots, ["s"], max_depth=9).collect()} == {False}
 
 
 def test_duplicates_and_metrics(spark):

@@ -29,8 +29,8 @@ def tree(tmp_path):
         "packages/api/AGENTS.md": " \n",
         ".cursor/mcp.json": json.dumps({"mcpServers": {"fs": {"command": "npx", "args": ["-y", "server-filesystem", "/", "./x"], "env": {"B": "1", "A": "2"}}, "bad": 3, "web": {"url": "http://x"}}}),
         ".mcp.json": "{",
-        ".codex/config.toml": '[mcp_servers.a]\ncommand = "c"\nargs = ["x"]\n# no\n[mcp_servers.a]\nurl = "u"\nenv = { K = "v", J = "w" }\n',
-        ".claude/settings.json": '{"permissions": {"defaultMode": "bypassPermissions"}}',
+        ".codex/config.toml": '[mcp_servers.a]\ncommand = "c"\nargs = ["x"]\n# no\n[mcp_servers.a]\nurl = "u"\nenv = { K = "v", J = "w" }\n[permissions.fs]\n".env" = "deny"\n"web/.nuxt/**" = "deny"\n',
+        ".claude/settings.json": '{"permissions": {"defaultMode": "bypassPermissions", "deny": ["Read(./.env)", "Read(/**/debug.log)"]}}',
         "src/main.ts": "import { NestFactory } from '@nestjs/core';\nimport { A } from './svc/a';",
         "src/svc/a.ts": "export const a = 1",
         "src/svc/index.ts": "",
@@ -40,6 +40,12 @@ def tree(tmp_path):
         "apps/build/out.js": "x",
         "scripts/build/y.js": "x",
         "blob.bin": "a\0b",
+        ".gitignore": "*.tmp\ncoverage/\n",
+        ".cursorignore": "apps/build\n",
+        "apps/.gitignore": "# no\n!keep\n",
+        "coverage/x.js": "x",
+        "web/.nuxt/y.js": "x",
+        "vendor/z.php": "x",
     }
     for name, content in files.items():
         p = tmp_path / name
@@ -76,23 +82,46 @@ def test_servers(files):
 
 
 def test_rules(files):
-    found = {(r.rule_id, r.path, r.detail): r for r in rules.run(files, agents={"codex": [".env"], "cursor": [".env*"]}).collect()}
-    by = lambda rule: sorted((p, d) for r, p, d in found if r == rule)
+    found = rules.run(files).collect()
+    by = lambda rule: sorted((r.path, r.detail) for r in found if r.rule_id == rule)
+    agents = {(r.rule_id, r.path): r.agents for r in found}
+    # The environment file is denied to two agents and left out by the third's own defaults; the backup matches no default.
     assert by("security/env-file-exposure") == [(".env_backup", "backup")]
+    assert agents["security/env-file-exposure", ".env_backup"] == ["claude-code", "codex", "cursor"]
     assert by("security/private-key-file") == [("certs/app.pem", "PEM private key"), ("id_rsa", "SSH private key")]
+    assert agents["security/private-key-file", "id_rsa"] == ["claude-code", "codex", "cursor"]
     assert by("security/claude-bypass-permissions") == [(".claude/settings.json", "")]
-    assert by("security/mcp-broad-filesystem") == [(".cursor/mcp.json", "fs / broad")]
+    assert by("security/mcp-broad-filesystem") == [(".cursor/mcp.json", "fs / broad")] and agents["security/mcp-broad-filesystem", ".cursor/mcp.json"] == ["cursor"]
     assert [p for p, _ in by("mcp/malformed-config")] == [".cursor/mcp.json", ".mcp.json"]
     assert by("mcp/duplicate-server") == [(".codex/config.toml", "a")]
     assert [p for p, _ in by("instructions/empty-instructions")] == ["packages/api/AGENTS.md"]
     assert by("instructions/duplicate-content") == [("CLAUDE.md", "duplicate_of=AGENTS.md")]
     assert ("CLAUDE.md", "docs/missing.md") in by("instructions/missing-path-reference") and ("CLAUDE.md", "src/main.ts") not in by("instructions/missing-path-reference")
-    assert [p for p, _ in by("context/large-log-file")] == ["debug.log"]
-    assert [p for p, _ in by("context/generated-directory")] == ["apps/build", "node_modules"]
+    assert [p for p, _ in by("context/large-log-file")] == ["debug.log"] and agents["context/large-log-file", "debug.log"] == ["codex", "cursor"]
+    # coverage is ignored, node_modules is no build output, vendor is one outside PHP projects.
+    assert [p for p, _ in by("context/generated-directory")] == ["apps/build", "vendor", "web/.nuxt"]
+    assert agents["context/generated-directory", "apps/build"] == ["claude-code", "codex"] and agents["context/generated-directory", "web/.nuxt"] == ["claude-code", "cursor"]
     only = rules.run(files, include=["mcp/duplicate-server"])
     assert {r.rule_id for r in only.collect()} == {"mcp/duplicate-server"}
 
 
+def test_rules_go_by_repository(spark):
+    schema = "repo string, path string, kind string, size_bytes bigint, text string, is_empty boolean"
+    data = [("a", ".env", "file", 1, "x", False), ("b", ".env", "file", 1, "x", False), ("b", "AGENTS.md", "file", 9, "x", False), ("c", ".env", "file", 1, "x", False), ("c", "AGENTS.md", "file", 9, "x", False), ("c", ".codex/config.toml", "file", 9, '".env" = "deny"', False)]
+    data += [("b", "dist", "skipped", None, None, None), ("a", "dist", "skipped", None, None, None), ("d", "vendor", "skipped", None, None, None), ("d", "AGENTS.md", "file", 1, "x", False), ("d", "composer.json", "file", 1, "{}", False)]
+    found = {(r.repo, r.path, r.detail): r.agents for r in rules.run(spark.createDataFrame(data, schema), include=["security/env-file-exposure", "context/generated-directory"]).collect()}
+    # Without agents the file is told all the same; with them it is if one may read it.
+    assert found == {("a", ".env", "runtime-no-agent"): [], ("b", ".env", "runtime"): ["codex"], ("b", "dist", ""): ["codex", "cursor"]}
+
+
+def test_scopes_are_folded(spark):
+    from pyspark.sql import functions as F
+
+    cases = {"/r": "ok", "/r/x": "ok", "/r/../etc": "outside", "/r/./a/../b": "ok", "/rx": "outside", "../x": "outside", "./x": "ok", "~/x": "broad", "": "unknown", "/": "broad"}
+    df = spark.createDataFrame([(s,) for s in cases], "s string")
+    assert {r.s: r.c for r in df.select("s", servers.scope_class(F.col("s"), F.lit("/r")).alias("c")).collect()} == cases
+
+
 def test_entrypoints(files):
     got = {(r.path, r.framework): r.confidence for r in entrypoints.discover(files.where("kind = 'file'")).collect()}
     assert got == {("src/main.ts", "NestJS"): 0.85, ("lib/main.dart", "Flutter"): 0.8}
