@@ -128,3 +128,66 @@ def references(text: Column, extension: Column) -> Column:
         .when(extension == "dart", find(r"(?m)^\s*(?:import|export|part)\s+['\"]([^'\"\n]+)['\"]"))
         .otherwise(F.array().cast("array<string>"))
     )
+
+
+#: How each language refers to other files, and what kind of relation each form is.
+_QUOTED = r"[\"'`]([^\"'`]+)[\"'`]"
+REFERENCE_FORMS = {
+    ("ts", "tsx", "js", "jsx", "mjs", "cjs"): [
+        ("import", r"\bimport\s+(?:type\s+)?(?:[\w*{}$,\s]+\s+from\s+)?" + _QUOTED),
+        ("export", r"\bexport\s+(?:\*|\{[^}]*\})\s+from\s+" + _QUOTED),
+        ("require", r"\brequire\s*\(\s*" + _QUOTED + r"\s*\)"),
+        ("dynamic-import", r"\bimport\s*\(\s*" + _QUOTED + r"\s*\)"),
+    ],
+    ("dart",): [("import", r"\bimport\s+['\"]([^'\"]+)['\"]"), ("export", r"\bexport\s+['\"]([^'\"]+)['\"]")],
+    ("rs",): [("import", r"\buse\s+((?:crate|super|self)::[\w:]+|[\w]+(?:::[\w]+)+)\s*(?:;|::\{)"), ("module", r"\bmod\s+([a-zA-Z_][\w]*)\s*;")],
+    ("php",): [
+        ("import", r"\buse\s+([A-Za-z_\\][\w\\]*)\s*;"),
+        ("require", r"\b(?:require|include)(?:_once)?\s*\(?\s*['\"]([^'\"]+)['\"]"),
+        ("route", r"\[([A-Za-z_\\][\w\\]*)\s*::\s*class"),
+    ],
+}
+
+
+def typed_references(text: Column, extension: Column) -> Column:
+    """Distinct (specifier, type) that a source text refers to; languages with one form only have imports."""
+    as_type = lambda t: lambda s: F.struct(strip(s).alias("specifier"), F.lit(t).alias("type"))
+    out = F.when(F.lit(False), F.array().cast("array<struct<specifier:string,type:string>>"))
+    for extensions, forms in REFERENCE_FORMS.items():
+        found = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), as_type(t)) for t, p in forms]
+        out = out.when(extension.isin(*extensions), F.concat(*found))
+    out = out.otherwise(F.transform(references(text, extension), as_type("import")))
+    return F.array_distinct(F.filter(out, lambda r: ~r["specifier"].startswith("node:") & ~r["specifier"].isin("", ".", "./", "../")))
+
+
+#: What a text says of classes it is given, implements or calls.
+INJECTED = [
+    r"constructor\s*\(\s*(?:private|public|protected|readonly|\s)*\s*(?:readonly\s+)?[A-Za-z_][\w]*\s*:\s*([A-Z][A-Za-z0-9_]*)",
+    r"@Inject(?:Repository)?\s*\(\s*([A-Z][A-Za-z0-9_]*)",
+    r"constructor\s*\([^)]*\b([A-Z][A-Za-z0-9_]*(?:Service|Repository|Bloc|Controller))\b",
+]
+IMPLEMENTED = r"\bimplements\s+([A-Z][A-Za-z0-9_]*(?:\s*,\s*[A-Z][A-Za-z0-9_]*)*)"
+CALLED = r"\b([A-Z][A-Za-z0-9_]*(?:Service|Repository|Controller|Bloc))\s*\.\s*[a-zA-Z_]"
+CLASS_NAMES = [r"\bexport\s+(?:default\s+)?class\s+([A-Z][A-Za-z0-9_]*)", r"\bclass\s+([A-Z][A-Za-z0-9_]*)\b", r"\bexport\s+(?:default\s+)?(?:function|const)\s+([A-Z][A-Za-z0-9_]*)"]
+
+
+def _all(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+
+def injected(text: Column) -> Column:
+    return F.array_distinct(F.concat(*[_all(text, p) for p in INJECTED]))
+
+
+def implemented(text: Column) -> Column:
+    names = F.flatten(F.transform(_all(text, IMPLEMENTED), lambda l: F.split(l, ",")))
+    return F.array_distinct(F.filter(F.transform(names, F.trim), lambda n: n != ""))
+
+
+def called(text: Column) -> Column:
+    return F.array_distinct(_all(text, CALLED))
+
+
+def class_name(text: Column) -> Column:
+    """The class, function or constant a source text is about; null without."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in CLASS_NAMES])

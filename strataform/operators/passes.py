@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from strataform.functions import numbers as N
 from strataform.functions import paths as P
 from strataform.functions import text as X
+from strataform.operators import entrypoints
 from strataform.operators.edges import mark_bidirectional, merge_dependencies, merge_relationships
 from strataform.operators.resolve import resolve
+from strataform.operators.skew import join_dimension
 
 # Owners
 
@@ -145,11 +147,12 @@ def module_label(path: Column) -> Column:
     return P.title_case(F.coalesce(F.try_element_at(dirs, F.lit(-1)), P.stem(F.element_at(parts, -1))))
 
 
-def relation_type(source: Column, target: Column) -> Column:
-    """An import told apart by the paths of both ends: route, service, repository or import."""
+def relation_type(source: Column, target: Column, base: Column) -> Column:
+    """An import told apart by the paths of both ends: route, service, repository or import; other relations stay what they are."""
     s, t = F.lower(source), F.lower(target)
     return (
-        F.when(s.rlike(r"(^|/)(routes?|pages?)/"), "route")
+        F.when(base != "import", base)
+        .when(s.rlike(r"(^|/)(routes?|pages?)/"), "route")
         .when(s.contains("controller") & t.contains("service"), "service")
         .when(t.contains("repositor"), "repository")
         .when(t.contains("service") & s.rlike("controller|handler|route"), "service")
@@ -157,6 +160,19 @@ def relation_type(source: Column, target: Column) -> Column:
     )
 
 
+#: What a file does to another by the type of the relation.
+VERBS = {"require": "requires", "dynamic-import": "dynamically imports", "export": "re-exports", "route": "routes to", "module": "modules"}
+
+
+def labels(files: DataFrame) -> DataFrame:
+    """repo, path, label of every source file: the package whose directory holds it, the deepest of several, else its module."""
+    own = files.where((F.col("kind") == "file") & P.is_source(F.col("path"))).select("repo", "path")
+    roots = packages(files).where("root <> ''").select("repo", "root", "name")
+    inside = join_dimension(own.withColumn("root", F.explode(P.ancestors(F.col("path")))), roots, ["repo", "root"], "path")
+    deepest = inside.groupBy("repo", "path").agg(F.max_by("name", F.struct(F.length("root"), "name")).alias("package"))
+    return own.join(deepest, ["repo", "path"], "left").select("repo", "path", F.coalesce(package_label(F.col("package")), module_label(F.col("path"))).alias("label"))
+
+
 def packages(files: DataFrame) -> DataFrame:
     """repo, path (of the manifest), name, root, needs: the named packages of package.json files and the names they depend on."""
     v = F.try_parse_json("text")
@@ -233,26 +249,36 @@ def package_edges(references: DataFrame, files: DataFrame) -> DataFrame:
     script = references.where(P.extension(F.col("path")).isin("ts", "tsx", "js", "jsx", "mjs", "cjs"))
     scoped = F.regexp_extract("specifier", r"\A(@[^/]*/[^/]*)", 1)
     each = script.select("repo", "path", "specifier", F.explode(F.array_distinct(F.array(F.col("specifier"), scoped))).alias("needed")).join(names, ["repo", "needed"])
-    used = each.select(
-        "repo", module_label(F.col("path")).alias("source"), package_label(F.col("needed")).alias("target"), F.lit("import").alias("type"), F.lit(N.DEPENDENCY_CONFIDENCE["import"]).alias("confidence"),
+    used = each.join(labels(files), ["repo", "path"]).select(
+        "repo", F.col("label").alias("source"), package_label(F.col("needed")).alias("target"), F.lit("import").alias("type"), F.lit(N.DEPENDENCY_CONFIDENCE["import"]).alias("confidence"),
         F.array(F.concat("path", F.lit(" references package "), "needed", F.lit(" via "), "specifier")).alias("evidence"),
     )
     return told.unionByName(used)
 
 
-def dependencies(files: DataFrame, minimum: float = 0.7) -> DataFrame:
-    """repo, source, target, type, confidence, evidence: imports between modules, found in the text of source files and resolved to files."""
+def references(files: DataFrame) -> DataFrame:
+    """repo, path, specifier, type, target (null where it is no file): what the source files refer to."""
     f = files.where((F.col("kind") == "file") & F.col("text").isNotNull() & P.is_source(F.col("path")))
-    refs = f.select("repo", "path", F.explode(F.array_distinct(X.references(F.col("text"), P.extension(F.col("path"))))).alias("specifier"))
-    all_refs = resolved(refs, files)
-    found = all_refs.where("target is not null and target <> path")
-    kind = relation_type(F.col("path"), F.col("target"))
+    return resolved(f.select("repo", "path", F.inline(X.typed_references(F.col("text"), P.extension(F.col("path"))))), files)
+
+
+def dependencies(files: DataFrame, minimum: float = 0.7, refs: DataFrame | None = None) -> DataFrame:
+    """repo, source, target, type, confidence, evidence: relations between modules, found in the text of source files and in manifests.
+
+    ``refs``: the references of the files, if they are at hand.
+    """
+    refs = references(files) if refs is None else refs
+    kind = relation_type(F.col("path"), F.col("target"), F.col("type"))
+    found = refs.where("target is not null").withColumn("kind", kind)
+    named = labels(files)
+    ends = lambda on, out: named.select("repo", F.col("path").alias(on), F.col("label").alias(out))
+    told = found.join(ends("path", "source"), ["repo", "path"]).join(ends("target", "to"), ["repo", "target"])
+    verb = F.coalesce(F.create_map(*[F.lit(x) for kv in VERBS.items() for x in kv])[F.col("kind")], F.lit("imports"))
     sure = F.create_map(*[F.lit(x) for kv in N.DEPENDENCY_CONFIDENCE.items() for x in kv])
-    edges = found.select(
-        "repo", module_label(F.col("path")).alias("source"), module_label(F.col("target")).alias("target"), kind.alias("type"), sure[kind].alias("confidence"),
-        F.array(F.concat("path", F.lit(" imports "), F.col("target"))).alias("evidence"),
+    edges = told.select(
+        "repo", "source", F.col("to").alias("target"), F.col("kind").alias("type"), sure[F.col("kind")].alias("confidence"), F.array(F.concat_ws(" ", "path", verb, "target")).alias("evidence"),
     )
-    edges = edges.unionByName(package_edges(all_refs.where("target is null"), files))
+    edges = edges.unionByName(package_edges(refs.where("target is null"), files))
     return merge_dependencies(edges, ["repo"]).where(F.col("confidence") >= minimum)
 
 
@@ -273,33 +299,109 @@ ROLE_PAIRS = {
     ("Service", "Service"): ("CALLS", 0.8, "weak"),
     ("Controller", "Repository"): ("USES", 0.84, "weak"),
 }
-#: What names the class of a file.
-CLASS_NAME = r"\b(?:export\s+(?:default\s+)?)?class\s+([A-Z][A-Za-z0-9_]*)"
-
 
 def components(files: DataFrame) -> DataFrame:
-    """repo, path, name, role of the files whose path tells a role; the name is the class's, else the stem in Pascal case."""
-    own = F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), CLASS_NAME, 1), F.lit(""))
-    role = P.role(F.col("path"))
-    return files.where((F.col("kind") == "file") & P.is_source(F.col("path"))).select("repo", "path", F.coalesce(own, P.pascal_case(P.stem(P.basename(F.col("path"))))).alias("name"), role.alias("role")).where("role is not null")
+    """repo, path, name, role, feature of the files whose path tells a role; the name is the class's, else the stem in Pascal case."""
+    own = X.class_name(F.coalesce("text", F.lit("")))
+    f = files.where((F.col("kind") == "file") & P.is_source(F.col("path"))).withColumn("role", P.role(F.col("path"))).where("role is not null")
+    return f.select("repo", "path", F.coalesce(own, P.pascal_case(P.stem(P.basename(F.col("path"))))).alias("name"), "role", P.feature_name(F.col("path")).alias("feature"))
 
 
-def relationships(files: DataFrame, minimum: float = 0.75) -> DataFrame:
-    """repo, source, target, kind, confidence, strength, bidirectional, evidence: what the roles of importing and imported files say of them."""
-    parts = components(files)
-    f = files.where((F.col("kind") == "file") & F.col("text").isNotNull() & P.is_source(F.col("path")))
-    refs = f.select("repo", "path", F.explode(F.array_distinct(X.references(F.col("text"), P.extension(F.col("path"))))).alias("specifier"))
-    found = resolved(refs, files).where("target is not null").select("repo", "path", "target").distinct()
-    ends = lambda side, on: parts.select("repo", F.col("path").alias(on), F.col("name").alias(side), F.col("role").alias(f"{side}_role"))
-    pairs = found.join(ends("source", "path"), ["repo", "path"]).join(ends("to", "target"), ["repo", "target"])
+def domains(files: DataFrame, minimum: float = 0.5) -> DataFrame:
+    """repo, domain, confidence, first (of its files): domains that words of the paths tell."""
+    words = files.where("kind = 'file'").select("repo", "path", F.explode(P.tokens(F.col("path"))).alias("word"))
+    per_file = words.join(F.broadcast(lexicon(files.sparkSession)), "word").groupBy("repo", "domain", "path").agg(F.count(F.lit(1)).alias("n"))
+    counts = per_file.groupBy("repo", "domain").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("n_hits"), F.min("path").alias("first"))
+    return counts.select("repo", "domain", N.domain_confidence(F.col("n_files"), F.col("n_hits")).alias("confidence"), "first").where(F.col("confidence") >= minimum)
+
+
+def lexicon(spark) -> DataFrame:
+    """word, domain; its size is fixed."""
+    words = {w: d for d, ws in reversed(P.DOMAIN_LEXICON.items()) for w in ws}
+    return spark.createDataFrame(sorted(words.items()), "word string, domain string")
+
+
+def _scored(base: Column, strength: Column, n: Column | int, injection: Column | None = None) -> Column:
+    return N.relationship_confidence(base, strength, F.lit(False) if injection is None else injection, F.lit(n) if isinstance(n, int) else n)
+
+
+def _edge(df: DataFrame, source: Column, target: Column, kind: Column, confidence: Column, strength: Column, *evidence: Column) -> DataFrame:
+    told = F.array_compact(F.array(*evidence))
+    out = df.select("repo", source.alias("source"), target.alias("target"), kind.alias("kind"), confidence.alias("confidence"), strength.alias("strength"), F.lit(False).alias("bidirectional"), told.alias("evidence"))
+    return out.dropna(subset=["source", "target"])
+
+
+def by_roles(parts: DataFrame, files: DataFrame, refs: DataFrame) -> list[DataFrame]:
+    """What the roles of importing and imported files say of them: the pair's own relation, features that consume features, configuration."""
+    text = F.coalesce("text", F.lit(""))
+    signals = files.where("kind = 'file'").select("repo", "path", X.injected(text).alias("given"), X.called(text).alias("calls"))
+    found = refs.where("target is not null").select("repo", "path", "target").distinct()
+    ends = lambda side, on: parts.select("repo", F.col("path").alias(on), F.col("name").alias(side), F.col("role").alias(f"{side}_role"), F.col("feature").alias(f"{side}_feature"))
+    pairs = found.join(ends("source", "path"), ["repo", "path"]).join(ends("to", "target"), ["repo", "target"]).join(signals, ["repo", "path"])
     rule = F.create_map(*[x for (a, b), (k, c, s) in ROLE_PAIRS.items() for x in (F.lit(f"{a}>{b}"), F.struct(F.lit(k).alias("kind"), F.lit(c).alias("base"), F.lit(s).alias("strength")))])
     told = pairs.withColumn("rule", rule[F.concat_ws(">", "source_role", "to_role")]).where("rule is not null")
-    edges = told.select(
-        "repo", "source", F.col("to").alias("target"), "rule.kind", N.relationship_confidence(F.col("rule.base"), F.col("rule.strength"), F.lit(False), F.lit(1)).alias("confidence"), "rule.strength",
-        F.lit(False).alias("bidirectional"), F.array(F.concat("source_role", F.lit(" → "), "to_role", F.lit(": "), "path", F.lit(" imports "), F.col("target"))).alias("evidence"),
+    injection = F.exists("given", lambda g: (g == F.col("to")) | F.contains(F.lower("target"), F.lower(g)))
+    told = told.withColumns({"injection": injection, "call": F.array_contains("calls", F.col("to"))})
+    turned = F.col("call") & (F.col("rule.kind") == "USES")
+    strength = F.when(F.col("injection"), "strong").otherwise(F.col("rule.strength"))
+    told = told.withColumns({"kind": F.when(turned, "CALLS").otherwise(F.col("rule.kind")), "strength": F.when(turned & (strength == "weak"), "medium").otherwise(strength)})
+    n = 2 + F.col("injection").cast("int") + F.col("call").cast("int")
+    imports = F.concat(F.lit("imports "), P.basename(F.col("target")))
+    own = _edge(
+        told, F.col("source"), F.col("to"), F.col("kind"), _scored(F.col("rule.base"), F.col("strength"), n, F.col("injection")), F.col("strength"),
+        imports, F.when(F.col("injection"), "constructor injection"), F.when(F.col("call"), F.concat(F.lit("calls "), F.col("to"))), F.concat_ws(" → ", "source_role", "to_role"),
+    )
+    apart = told.where("source_feature <> to_feature and kind in ('USES', 'CALLS')")
+    medium, strong = F.lit("medium"), F.lit("strong")
+    consumes = _edge(
+        apart, F.col("source_feature"), F.col("to_feature"), F.lit("CONSUMES"), _scored(F.lit(0.82), medium, 1), medium,
+        F.concat_ws(" ", "source", F.lower("kind"), "to"), F.concat_ws(" → ", "path", "target"),
+    )
+    wired = pairs.where("source_role = 'Module' and to_role = 'Configuration'")
+    configures = _edge(wired, F.col("source"), F.col("to"), F.lit("CONFIGURES"), F.lit(0.92), strong, imports, F.lit("module configuration wiring"))
+    return [own, consumes, configures]
+
+
+def by_packages(parts: DataFrame, files: DataFrame) -> list[DataFrame]:
+    """Packages contain the modules and own the features of the files below their manifest; the root's has only the files beside it."""
+    manifest = files.where((F.col("kind") == "file") & (P.basename(F.col("path")) == "package.json")).select("repo", P.dirname(F.col("path")).alias("dir"), F.col("path").alias("manifest"))
+    above = F.explode(F.when(F.col("path").contains("/"), P.ancestors(F.col("path"))).otherwise(F.array(F.lit(""))))
+    inside = join_dimension(parts.withColumn("dir", above), manifest, ["repo", "dir"], "path")
+    label = F.when(F.col("dir") == "", "RootPackage").otherwise(P.pascal_case(P.basename(F.col("dir"))))
+    strong = F.lit("strong")
+    modules, others = inside.where("role = 'Module'"), inside.where("role <> 'Module'")
+    return [
+        _edge(modules, label, F.col("name"), F.lit("CONTAINS"), F.lit(0.9), strong, F.concat_ws(" package contains ", "manifest", "path")),
+        _edge(others, label, F.col("feature"), F.lit("OWNS"), F.lit(0.88), strong, F.concat_ws(" owns path ", "manifest", "path")),
+    ]
+
+
+def relationships(files: DataFrame, minimum: float = 0.75) -> DataFrame:
+    """repo, source, target, kind, confidence, strength, bidirectional, evidence: what dependencies, roles, class heads, directories,
+    manifests, entrypoints and domains say of the components of a tree."""
+    parts, refs = components(files), references(files)
+    medium, strong = F.lit("medium"), F.lit("strong")
+    d = dependencies(files, refs=refs)
+    how = F.when(F.col("type") == "dynamic-import", "weak").when(F.col("type") == "package", "strong").otherwise("medium")
+    depends = d.select(
+        "repo", "source", "target", F.lit("DEPENDS_ON").alias("kind"), _scored(F.least("confidence", F.lit(0.95)), how, F.size("evidence")).alias("confidence"), how.alias("strength"),
+        F.lit(False).alias("bidirectional"), F.transform("evidence", lambda e: F.concat(F.lit("dependency: "), e)).alias("evidence"),
+    )
+    heads = files.where("kind = 'file' and text is not null").select("repo", "path", F.explode(X.implemented(F.col("text"))).alias("base")).join(parts, ["repo", "path"])
+    implements = _edge(heads, F.col("name"), F.col("base"), F.lit("IMPLEMENTS"), _scored(F.lit(0.97), strong, 1), strong, F.concat(F.lit("implements "), "base"), F.concat(F.lit("in "), "path"))
+    contains = _edge(parts.where("feature <> name"), F.col("feature"), F.col("name"), F.lit("CONTAINS"), _scored(F.lit(0.86), strong, 1), strong, F.concat_ws(" lives under feature ", "path", "feature"))
+    entries = entrypoints.discover(files.where("kind = 'file'")).join(parts.select("repo", "path", "name"), ["repo", "path"], "left")
+    entry = F.coalesce("name", P.pascal_case(P.stem(P.basename(F.col("path")))))
+    seen = lambda i: F.concat(F.lit("entry evidence: "), F.get("evidence", F.lit(i)))
+    enters = _edge(entries, entry, P.feature_name(F.col("path")), F.lit("ENTERS"), _scored(F.least("confidence", F.lit(0.92)), medium, F.size("evidence")), medium, F.concat(F.lit("entrypoint "), "path"), seen(0), seen(1))
+    words = parts.where("feature is not null").select("repo", "path", "feature", F.explode(P.tokens(F.col("path"))).alias("word")).join(F.broadcast(lexicon(files.sparkSession)), "word")
+    of = join_dimension(words, domains(files), ["repo", "domain"], "path")
+    provides = _edge(
+        of, F.col("feature"), F.col("domain"), F.lit("PROVIDES"), _scored(F.least("confidence", F.lit(0.9)), medium, 1), medium,
+        F.concat("path", F.lit(' token "'), "word", F.lit('" maps to domain '), "domain"), F.concat(F.lit("domain evidence: "), "first"),
     )
-    merged = merge_relationships(edges, ["repo"])
-    return mark_bidirectional(merged, ["repo"]).where(F.col("confidence") >= minimum)
+    edges = reduce(DataFrame.unionByName, [depends, *by_roles(parts, files, refs), implements, contains, *by_packages(parts, files), enters, provides])
+    return mark_bidirectional(merge_relationships(edges, ["repo"]), ["repo"]).where(F.col("confidence") >= minimum)
 
 
 # Fix plans

@@ -156,9 +156,12 @@ _TRIES = ", ".join(f"({i}, '{e}')" for i, e in enumerate(V.TRIED))
 
 _CANDIDATE = f"""regexp_replace({strip('c')}, '(?s)#.*$', '')"""
 _GO = "archive bufio bytes cmp compress container context crypto database debug embed encoding errors expvar flag fmt go hash html image index io log maps math mime net os path plugin reflect regexp runtime slices structs sync syscall testing text time unicode unique unsafe weak"
-_REFS = f"""cand as (select distinct project_id, path, {_CANDIDATE} as ref from (
-    select {key('project_id')} as project_id, coalesce(path, '') as path, unnest(list_concat(regexp_extract_all(text, '\\[[^\\]]*\\]\\(([^)]+)\\)', 1), regexp_extract_all(text, '`([^`]+)`', 1))) as c from documents where text is not null)
-    where project_id is not null),
+
+
+def refs_of(texts: str) -> str:
+    """The references of texts (project_id, path, text) that may be paths of their tree."""
+    return f"""cand as (select distinct project_id, path, {_CANDIDATE} as ref from (
+    select project_id, path, unnest(list_concat(regexp_extract_all(text, '\\[[^\\]]*\\]\\(([^)]+)\\)', 1), regexp_extract_all(text, '`([^`]+)`', 1))) as c from ({texts}))),
   parts as (select *, regexp_replace(ref, '/+$', '') as plain, string_split(regexp_replace(ref, '/+$', ''), '/') as ps from cand),
   refs as (select project_id, path, ref from parts where ref <> '' and length(ref) <= 200
     and not regexp_matches(ref, '(?i)^(https?:|mailto:|file:)|^#|^--|://|[\\n ]|[;&|$]|^/|^[A-Za-z]:[\\\\/]|^\\.[A-Za-z_][\\w-]*$|^@[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+|[*?\\[\\]{{}}]')
@@ -170,6 +173,9 @@ _REFS = f"""cand as (select distinct project_id, path, {_CANDIDATE} as ref from
     and not regexp_matches(ref, '<[^<>\\s]+>|(^|/)\\.\\.\\.(/|$)|^~(/|$)|^(asset|javascript|css|json|wasm|webassembly|runtime)/[A-Za-z0-9_-]+$')),
   based as (select *, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') || '/' else '' end as base from refs)"""
 
+
+_REFS = refs_of(f"select {key('project_id')} as project_id, coalesce(path, '') as path, text from documents where text is not null and {key('project_id')} is not null")
+
 SQL = {
     "finding_summary": f"with {FINDINGS} select repo, {_COUNTS} from f group by 1",
     "finding_dedupe": f"""with {FINDINGS} select repo, rule_id, path, min(finding_id) as finding_id, any_value(severity) as severity,
