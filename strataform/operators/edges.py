@@ -8,30 +8,31 @@ from pyspark.sql import functions as F
 from strataform.functions import numbers as N
 
 
-def _with_evidence(edges: DataFrame, key: list[str], merged: DataFrame) -> DataFrame:
-    """Adds the distinct evidence strings of each key, in order: repeats go before anything is gathered."""
-    told = edges.select(*key, F.explode("evidence").alias("e")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list("e")).alias("evidence"))
-    return merged.join(told, key, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+def _merged(edges: DataFrame, key: list[str], **greatest: Column) -> DataFrame:
+    """One row per key with the greatest value of some columns and the distinct evidence strings in order.
+
+    The strings are told apart in a first aggregation, by key and string, so nothing but distinct strings is gathered; one pass over the
+    edges and no join.
+    """
+    rows = edges.select(*key, F.explode_outer("evidence").alias("e"), *[c.alias(n) for n, c in greatest.items()])
+    once = rows.groupBy(*key, "e").agg(*[F.max(n).alias(n) for n in greatest])
+    return once.groupBy(*key).agg(*[F.max(n).alias(n) for n in greatest], F.sort_array(F.collect_list("e")).alias("evidence"))
 
 
 def merge_dependencies(edges: DataFrame, scope: list[str], keep_self: tuple[str, ...] = ("service", "repository", "module")) -> DataFrame:
     """One row per scope, source, target and type: greatest confidence, distinct evidence in order. Self edges stay for some types only."""
     kept = edges.where((F.col("source") != F.col("target")) | F.col("type").isin(*keep_self))
-    key = [*scope, "source", "target", "type"]
-    return _with_evidence(kept, key, kept.groupBy(*key).agg(F.max("confidence").alias("confidence")))
+    return _merged(kept, [*scope, "source", "target", "type"], confidence=F.col("confidence"))
 
 
 def merge_relationships(edges: DataFrame, scope: list[str]) -> DataFrame:
     """One row per scope, source, target and kind: greatest confidence and strength, bidirectional if any is, distinct evidence; no self edges."""
-    rank = N.rank_of(F.col("strength"), N.STRENGTHS)
-    key = [*scope, "source", "target", "kind"]
     kept = edges.where(F.col("source") != F.col("target"))
-    merged = kept.groupBy(*key).agg(
-        F.max("confidence").alias("confidence"),
-        F.max_by("strength", rank).alias("strength"),
-        F.coalesce(F.bool_or("bidirectional"), F.lit(False)).alias("bidirectional"),
-    )
-    return _with_evidence(kept, key, merged)
+    # A strength that is none of the ordered ones ranks below them and is kept as null.
+    rank = N.rank_of(F.col("strength"), N.STRENGTHS)
+    merged = _merged(kept, [*scope, "source", "target", "kind"], confidence=F.col("confidence"), rank=rank, bidirectional=F.coalesce("bidirectional", F.lit(False)))
+    strength = F.get(F.array(*[F.lit(x) for x in N.STRENGTHS]), F.col("rank") - 1)
+    return merged.withColumn("strength", strength).drop("rank")
 
 
 #: Kinds whose reverse edge may be of another of them.

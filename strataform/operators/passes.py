@@ -14,6 +14,7 @@ from strataform.operators import entrypoints
 from strataform.operators.edges import mark_bidirectional, merge_dependencies, merge_relationships
 from strataform.operators.resolve import resolve
 from strataform.operators.skew import join_dimension
+from strataform.sources.shared import written
 
 # Owners
 
@@ -379,7 +380,7 @@ def by_packages(parts: DataFrame, files: DataFrame) -> list[DataFrame]:
 def relationships(files: DataFrame, minimum: float = 0.75) -> DataFrame:
     """repo, source, target, kind, confidence, strength, bidirectional, evidence: what dependencies, roles, class heads, directories,
     manifests, entrypoints and domains say of the components of a tree."""
-    parts, refs = components(files), references(files)
+    parts, refs = written(components(files)), written(references(files))
     medium, strong = F.lit("medium"), F.lit("strong")
     d = dependencies(files, refs=refs)
     how = F.when(F.col("type") == "dynamic-import", "weak").when(F.col("type") == "package", "strong").otherwise("medium")
@@ -401,7 +402,7 @@ def relationships(files: DataFrame, minimum: float = 0.75) -> DataFrame:
         F.concat("path", F.lit(' token "'), "word", F.lit('" maps to domain '), "domain"), F.concat(F.lit("domain evidence: "), "first"),
     )
     edges = reduce(DataFrame.unionByName, [depends, *by_roles(parts, files, refs), implements, contains, *by_packages(parts, files), enters, provides])
-    return mark_bidirectional(merge_relationships(edges, ["repo"]), ["repo"]).where(F.col("confidence") >= minimum)
+    return mark_bidirectional(written(merge_relationships(edges, ["repo"])), ["repo"]).where(F.col("confidence") >= minimum)
 
 
 # Fix plans

@@ -181,7 +181,7 @@ def risk_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bidirectional_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = edges.merge_relationships(relationships(spark, sf_dir), [P])
+    merged = written(edges.merge_relationships(relationships(spark, sf_dir), [P]))
     return edges.mark_bidirectional(merged.withColumn("bidirectional", F.lit(False)), [P]).select(P, "source", "target", "kind", "bidirectional")
 
 
