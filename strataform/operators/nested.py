@@ -122,13 +122,14 @@ def flat_items(df: DataFrame, key: str, payload: str = "payload", spec: tuple[En
 
 
 def flat_table(df: DataFrame, key: str, entity: str, fields: dict[str, str], payload: str = "payload", spec: tuple[Entity, ...] = BRAIN) -> DataFrame:
-    """One target table: key, pos and the given scalar fields (name of the output column: camel name) of each record of an entity."""
+    """One target table: key, pos and the given scalar fields (name of the output column: camel name, with :double behind it for a number)
+    of each record of an entity."""
     e = next(x for x in spec if x.entity == entity)
     df = parsed(df.select(key, payload), payload).select(key, elements(F.try_variant_get(e.root, f"$.{e.camel}", "variant")).alias("__l"))
     rows = F.transform(
         "__l",
         lambda r, i: F.when(
-            _present(r).isNotNull(), F.struct(i.cast("long").alias("pos"), *[member(r, c, "string").alias(n) for n, c in fields.items()])
+            _present(r).isNotNull(), F.struct(i.cast("long").alias("pos"), *[member(r, c.partition(":")[0], c.partition(":")[2] or "string").alias(n) for n, c in fields.items()])
         ),
     )
     return df.select(key, F.inline(F.filter(rows, lambda r: r.isNotNull())))

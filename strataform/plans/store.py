@@ -130,6 +130,31 @@ def p3_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flat_table(table(spark, sf_dir, "brain_exports"), "export_id", "claim", fields)
 
 
+#: The other flat tables: entity, and the fields of its records.
+TABLES = {
+    "p3_domains": ("domain", {"id": "id", "name": "name", "confidence": "confidence:double"}),
+    "p3_entrypoints": ("entrypoint", {"id": "id", "framework": "framework", "file": "file", "confidence": "confidence:double"}),
+    "p3_dependencies": ("dependency", {"id": "id", "source": "from", "target": "to", "type": "type", "confidence": "confidence:double"}),
+    "p3_relationships": ("relationship", {"id": "id", "source": "source", "target": "target", "relationship": "relationship", "strength": "strength", "confidence": "confidence:double"}),
+    "p3_architectures": ("architecture", {"id": "id", "pattern": "pattern", "confidence": "confidence:double"}),
+    "p3_components": ("component", {"id": "id", "type": "type", "name": "name", "path": "path", "owner": "owner"}),
+    "p3_evidence": ("evidence", {"id": "id", "kind": "kind", "locator": "locator", "epistemics": "epistemics"}),
+}
+
+
+def _flat(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    entity, fields = TABLES[name]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return nested.flat_table(table(spark, sf_dir, "brain_exports"), "export_id", entity, fields)
+
+    query.__doc__ = f"The flat {entity} table of all exports."
+    return query
+
+
+p3_domains, p3_entrypoints, p3_dependencies, p3_relationships, p3_architectures, p3_components, p3_evidence = map(_flat, TABLES)
+
+
 # Problem 4
 
 

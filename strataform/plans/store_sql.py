@@ -132,25 +132,40 @@ select export_id, pos, json_extract_string(r, '$.id') as id, json_extract_string
 from r where json_type(r) <> 'NULL'"""
 
 
+#: The brain and the model of every export that holds one.
+DOCS = """raw as (
+  select export_id, case when json_type(payload, '$.brain') = 'OBJECT' then json_extract(payload, '$.brain') else cast(payload as json) end as b
+  from brain_exports where json_valid(payload)),
+docs as (select export_id, b, case json_type(b, '$.model') when 'VARCHAR' then try_cast(json_extract_string(b, '$.model') as json) else json_extract(b, '$.model') end as m
+  from raw where json_type(b) = 'OBJECT')"""
+_MANY = "case when json_type({v}) = 'ARRAY' then cast({v} as json[]) when json_type({v}) is null or json_type({v}) = 'NULL' then [] else [{v}] end"
+
+
+def records(source: str, camel: str) -> str:
+    """export_id, i, r: the elements of a collection with their places, null ones too."""
+    return f"""select export_id, unnest(generate_series(0, len(l) - 1)) as i, unnest(l) as r
+      from (select export_id, {_MANY.format(v=f"json_extract({source}, '$.{camel}')")} as l from docs)"""
+
+
+def flat(source: str, camel: str, fields: dict[str, str]) -> str:
+    """A flat table of a collection; fields as in nested.flat_table."""
+    one = lambda c: f"try_cast(json_extract_string(r, '$.{c.removesuffix(':double')}') as double)" if c.endswith(":double") else f"json_extract_string(r, '$.{c}')"
+    return f"select export_id, cast(i as bigint) as pos, {', '.join(f'{one(c)} as {n}' for n, c in fields.items())} from ({records(source, camel)}) where json_type(r) <> 'NULL'"
+
+
 def _walk(entity: str, source: str, camel: str, children: dict[str, tuple[str, ...]]) -> str:
     """Rows of one collection and of the strings below it."""
-    many = "case when json_type({v}) = 'ARRAY' then cast({v} as json[]) when json_type({v}) is null or json_type({v}) = 'NULL' then [] else [{v}] end"
-    records = f"""select export_id, unnest(generate_series(0, len(l) - 1)) as i, unnest(l) as r
-      from (select export_id, {many.format(v=f"json_extract({source}, '$.{camel}')")} as l from docs)"""
-    out = [f"select export_id, '{entity}' as entity, -1 as parent_pos, i as pos, coalesce(json_extract_string(r, '$.id'), '') as item from ({records}) where json_type(r) <> 'NULL'"]
+    many, elements = _MANY, records(source, camel)
+    out = [f"select export_id, '{entity}' as entity, -1 as parent_pos, i as pos, coalesce(json_extract_string(r, '$.id'), '') as item from ({elements}) where json_type(r) <> 'NULL'"]
     for child, names in children.items():
         value = "coalesce(" + ", ".join(f"nullif(json_extract(r, '$.{n}'), 'null')" for n in names) + ")"
-        below = f"select export_id, i, unnest(generate_series(0, len(l) - 1)) as j, unnest(l) as x from (select export_id, i, {many.format(v='x')} as l from (select export_id, i, {value} as x from ({records})))"
+        below = f"select export_id, i, unnest(generate_series(0, len(l) - 1)) as j, unnest(l) as x from (select export_id, i, {many.format(v='x')} as l from (select export_id, i, {value} as x from ({elements})))"
         out.append(f"select export_id, '{child}', i, j, json_extract_string(x, '$') from ({below}) where json_type(x) <> 'NULL'")
     return " union all ".join(out)
 
 
 P3_FOUND = (
-    """with raw as (
-  select export_id, case when json_type(payload, '$.brain') = 'OBJECT' then json_extract(payload, '$.brain') else cast(payload as json) end as b
-  from brain_exports where json_valid(payload)),
-docs as (select export_id, b, case json_type(b, '$.model') when 'VARCHAR' then try_cast(json_extract_string(b, '$.model') as json) else json_extract(b, '$.model') end as m
-  from raw where json_type(b) = 'OBJECT') """
+    f"with {DOCS} "
     + " union all ".join(
         [
             _walk("domain", "m", "domains", {"domain_path": ("paths",)}),
@@ -164,3 +179,11 @@ docs as (select export_id, b, case json_type(b, '$.model') when 'VARCHAR' then t
         ]
     )
 )
+
+P3_DOMAINS = f"with {DOCS} {flat('m', 'domains', {'id': 'id', 'name': 'name', 'confidence': 'confidence:double'})}"
+P3_ENTRYPOINTS = f"with {DOCS} {flat('m', 'entrypoints', {'id': 'id', 'framework': 'framework', 'file': 'file', 'confidence': 'confidence:double'})}"
+P3_DEPENDENCIES = f"with {DOCS} {flat('m', 'dependencies', {'id': 'id', 'source': 'from', 'target': 'to', 'type': 'type', 'confidence': 'confidence:double'})}"
+P3_RELATIONSHIPS = f"with {DOCS} {flat('m', 'relationships', {'id': 'id', 'source': 'source', 'target': 'target', 'relationship': 'relationship', 'strength': 'strength', 'confidence': 'confidence:double'})}"
+P3_ARCHITECTURES = f"with {DOCS} {flat('m', 'architectures', {'id': 'id', 'pattern': 'pattern', 'confidence': 'confidence:double'})}"
+P3_COMPONENTS = f"with {DOCS} {flat('b', 'components', {'id': 'id', 'type': 'type', 'name': 'name', 'path': 'path', 'owner': 'owner'})}"
+P3_EVIDENCE = f"with {DOCS} {flat('b', 'evidence', {'id': 'id', 'kind': 'kind', 'locator': 'locator', 'epistemics': 'epistemics'})}"
