@@ -61,6 +61,7 @@ def _up_to(name: str, most: int) -> Column:
     return F.least(F.col(name), F.lit(most)).cast("double")
 
 
+#: Fixed values inside: the weights of the rules.
 def rules() -> dict[str, tuple[list, list]]:
     """Pattern -> (rules that support it, rules that speak against it): each (condition, weight). A weight may count; a weight of 0 is a rule still."""
     one = F.lit(1.0)
@@ -115,9 +116,11 @@ def rules() -> dict[str, tuple[list, list]]:
 def signals(relationships: DataFrame, dependencies: DataFrame, entrypoints: DataFrame, domains: DataFrame, scope: str) -> DataFrame:
     """One row per scope with the count of every signal; inputs without rows of a scope count 0."""
     count = lambda preds, kind: [F.count_if(matching(**p, kind=kind)).alias(n) for n, p in preds.items()]
+    # The target in its own case, where the edges bring it beside the key.
+    own = "target_name" if "target_name" in relationships.columns else "target"
     names = domains.select(scope, F.lower("name").alias("name")).dropna().distinct()
     # PROVIDES edges whose target names a domain of the scope: words of the target meet the names by equality.
-    words = relationships.where("kind = 'PROVIDES'").select(scope, "source", "target", F.explode(F.split(F.lower(F.regexp_replace("target", "([a-z0-9])([A-Z])", "$1 $2")), r"[^a-z0-9]+")).alias("name"))
+    words = relationships.where("kind = 'PROVIDES'").select(scope, "source", "target", F.explode(F.split(F.lower(F.regexp_replace(own, "([a-z0-9])([A-Z])", "$1 $2")), r"[^a-z0-9]+")).alias("name"))
     named = words.join(names, [scope, "name"], "left_semi").select(scope, "source", "target").distinct().groupBy(scope).agg(F.count(F.lit(1)).alias("provides_named_domain"))
     parts = [
         relationships.groupBy(scope).agg(*count(RELATIONSHIP_SIGNALS, "kind"), F.count_if(matching(**RELATIONSHIP_SIGNALS["widget_bloc"]) & (F.size("evidence") > 0)).alias("widget_bloc_told")),

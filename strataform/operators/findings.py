@@ -67,15 +67,26 @@ def _once(df: DataFrame, repo: str) -> DataFrame:
     return df.toDF(*[c if df.columns.index(c) == i else f"__{i}" for i, c in enumerate(df.columns)]).select(*names)
 
 
-def gates(summary: DataFrame, repo: str, min_score: int, fail_on: str) -> DataFrame:
-    """Violations: the score below a minimum, findings at a severity or above. ``summary``: repo, score, n_critical, n_warning, n_info."""
-    at = N.SEVERITIES.index(fail_on)
-    n = sum((F.col(f"n_{s}") for s in N.SEVERITIES[at:]), F.lit(0)).cast("long")
-    found = F.array(
-        F.struct(F.lit("min-score").alias("gate"), (F.col("score") < min_score).alias("fails"), F.col("score").cast("long").alias("value")),
-        F.struct(F.lit(f"severity-{fail_on}").alias("gate"), (n > 0).alias("fails"), n.alias("value")),
-    )
-    return summary.select(repo, F.explode(found).alias("x")).where("x.fails").select(repo, "x.gate", "x.value")
+def gates(summary: DataFrame, repo: str, min_score: int | None = None, fail_on: str | None = None, fail_on_new: bool = False) -> DataFrame:
+    """Violations: repo, gate, value. ``summary``: repo, score, n_critical, n_warning, n_info, and as far as the gates need them ``limited``
+    (no agent is set up, so a least score can't be enforced), ``n_ruled`` (findings of the rules that fail) and ``n_new``.
+
+    minimum-score: the score below a minimum, unknown, or not to be enforced (the value is the score). fail-on-severity: findings at a
+    severity or above. fail-on-rule: findings of named rules. fail-on-new: findings that the baseline lacks. Nulls count as none.
+    """
+    some = lambda c: F.coalesce(F.col(c) if c in summary.columns else F.lit(0), F.lit(0)).cast("long")
+    found = []
+    gate = lambda name, fails, value: F.struct(F.lit(name).alias("gate"), fails.alias("fails"), value.cast("long").alias("value"))
+    if min_score is not None:
+        limited = F.coalesce(F.col("limited"), F.lit(False)) if "limited" in summary.columns else F.lit(False)
+        found.append(gate("minimum-score", limited | F.col("score").isNull() | (F.col("score") < min_score), F.col("score")))
+    if fail_on is not None:
+        n = sum((some(f"n_{s}") for s in N.SEVERITIES[N.SEVERITIES.index(fail_on) :]), F.lit(0))
+        found.append(gate("fail-on-severity", n > 0, n))
+    found.append(gate("fail-on-rule", some("n_ruled") > 0, some("n_ruled")))
+    if fail_on_new:
+        found.append(gate("fail-on-new", some("n_new") > 0, some("n_new")))
+    return summary.select(repo, F.explode(F.array(*found)).alias("x")).where("x.fails").select(repo, "x.gate", "x.value")
 
 
 def compare(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

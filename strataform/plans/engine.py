@@ -58,11 +58,10 @@ _TABLES: dict[str, Callable] = {
     "RepositorySummary": R.statistics,
 }
 _NAMED = {
-    "FindDomain": ("ListDomains", "name"),
     "FindEntrypoint": ("ListEntrypoints", "file"),
     "FindArchitecture": ("ListArchitectures", "pattern"),
 }
-QUERY_TYPES = [*_EXPORTED, *_TABLES, *_NAMED, "FindComponent", "FindDependency", "FindRelationship", "FindEvidence", "Impact", "BlastRadius", "Trace", "ExplainClaim"]
+QUERY_TYPES = [*_EXPORTED, *_TABLES, *_NAMED, "FindDomain", "FindComponent", "FindDependency", "FindRelationship", "FindEvidence", "Impact", "BlastRadius", "Trace", "ExplainClaim"]
 
 
 class QueryEngine:
@@ -102,8 +101,12 @@ class QueryEngine:
             f = R.find_dependency if name == "FindDependency" else R.find_relationship
             return f(*at, target, required("kind", p.get("kind")))
         if name == "Trace":
-            f = {"dependents": R.trace_dependents, "blast-radius": R.blast_radius}.get(p.get("mode", "blast-radius"))
+            modes = {
+                "dependents": R.trace_dependents, "dependencies": R.trace_dependencies, "blast-radius": R.blast_radius,
+                "entrypoint-downstream": R.entrypoint_downstream, "domain-modules": R.domain_modules,
+            }
+            f = modes.get(p.get("mode", "blast-radius"))
             if f is None:
                 raise QueryError(f"unknown mode: {p['mode']}")
             return f(*at, target)
-        return {"FindComponent": R.find_component, "FindEvidence": R.evidence_search, "Impact": R.impact, "BlastRadius": R.impact}[name](*at, target)
+        return {"FindDomain": R.find_domain, "FindComponent": R.find_component, "FindEvidence": R.evidence_search, "Impact": R.impact, "BlastRadius": R.blast_radius}[name](*at, target)

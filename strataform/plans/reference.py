@@ -50,6 +50,8 @@ def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
         "bidirectional",
         "confidence",
         "evidence",
+        # In its own case, for what splits it into words.
+        strip("rel_target").alias("target_name"),
     )
     once = t.groupBy("edge_id").agg(F.max(row).alias("r"))
     return once.select("edge_id", "r.*").drop("loaded_at").dropna(subset=[P, "source", "target"])
@@ -104,15 +106,24 @@ def readiness_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.scopes(event_findings(spark, sf_dir), "repo")
 
 
+#: The findings up to this time are the baseline.
+BASELINE = "2024-01-16"
+
+
 def policy_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four gates: a least score of 30, critical findings, findings of two rules, findings that the baseline lacks."""
     f = event_findings(spark, sf_dir)
     both = findings.scores(f, ["repo"]).join(findings.summarize(f, ["repo"]), "repo")
-    return findings.gates(both, "repo", 30, "critical")
+    late = F.col("ts") >= F.lit(BASELINE).cast("timestamp")
+    news = findings.compare(f.where(~late).withColumn("id", F.struct("repo", "path")), f.where(late).withColumn("id", F.struct("repo", "path")), "id")
+    news = news.where("status = 'new'").groupBy(F.col("id.repo").alias("repo")).agg(F.count(F.lit(1)).alias("n_new"))
+    told = f.groupBy("repo").agg(F.count_if(F.col("rule_id").isin("login", "purchase")).alias("n_ruled"), (F.max(F.size("agents")) == 0).alias("limited"))
+    return findings.gates(both.join(told, "repo").join(news, "repo", "left"), "repo", 30, "critical", fail_on_new=True)
 
 
 def finding_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = event_findings(spark, sf_dir)
-    late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
+    late = F.col("ts") >= F.lit(BASELINE).cast("timestamp")
     return findings.compare(f.where(~late), f.where(late), "path")
 
 
@@ -243,13 +254,59 @@ def find_relationship(spark: SparkSession, sf_dir: str, target: str = "StorageHu
 
 
 def evidence_search(spark: SparkSession, sf_dir: str, needle: str = "injects") -> DataFrame:
-    """Per project the records of either collection whose evidence holds a text, and how sure that makes."""
+    """Per project the records of any collection that hold a text, and how sure that makes: edges by their evidence, exported domains by
+    their paths, architectures by their rules, entrypoints by their file."""
     holds = lambda df: df.where(F.exists("evidence", lambda e: F.contains(F.lower(e), F.lit(needle.lower())))).select(P)
-    hits = holds(dependencies(spark, sf_dir)).unionByName(holds(relationships(spark, sf_dir)))
+    exports = table(spark, sf_dir, "brain_exports")
+    of = exports.select("export_id", norm_key(P).alias(P)).dropna()
+    items = nested.flat_items(exports, "export_id").where(F.col("entity").isin("domain_path", "architecture_rule") & F.contains(F.lower("item"), F.lit(needle.lower())))
+    told = items.select("export_id", "entity", "parent_pos").distinct().join(of, "export_id").select(P)
+    files = exported(spark, sf_dir, "entrypoint", file="file").where(F.contains(F.lower("file"), F.lit(needle.lower()))).select(P).dropna()
+    hits = reduce(DataFrame.unionByName, [holds(dependencies(spark, sf_dir)), holds(relationships(spark, sf_dir)), told, files])
     n = F.count(F.lit(1))
     return hits.groupBy(P).agg(n.alias("n"), numbers.js_round(F.least(F.lit(0.99), F.lit(0.5) + F.least(n, F.lit(10)) * 0.04)).alias("confidence"))
 
 
+def path_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of any collection that hold a directory's name."""
+    return evidence_search(spark, sf_dir, "harbor")
+
+
+def find_domain(spark: SparkSession, sf_dir: str, name: str = "Inventory") -> DataFrame:
+    """project_id, slice, item: the exports' domains of a name with what belongs to them in their project.
+
+    entrypoint: files that hold one of the domain's paths or lie in one; relationship and dependency: edges that name the domain or have it
+    or (relationships) one of its paths in their evidence; architecture: patterns with a rule that names it, else the first three.
+    """
+    low = name.lower()
+    named = exported(spark, sf_dir, "domain", id="id", name="name").where(F.lower("name") == low).dropna(subset=[P])
+    exports = table(spark, sf_dir, "brain_exports")
+    items = nested.flat_items(exports, "export_id")
+    paths_of = items.where("entity = 'domain_path' and item <> ''").select("export_id", F.col("parent_pos").alias("pos"), "item")
+    # One row per project: the paths of one domain are as many as its exports list.
+    scope = named.join(paths_of, ["export_id", "pos"], "left").groupBy(P).agg(F.collect_set(F.lower("item")).alias("paths"))
+    within = lambda df: join_dimension(df, scope, [P], df.columns[-1])
+    either = lambda c: F.exists("paths", lambda p: F.contains(p, F.lower(c)) | F.contains(F.lower(c), p))
+    row = lambda df, kind, item: df.select(P, F.lit(kind).alias("slice"), item.cast("string").alias("item"))
+    entries = exported(spark, sf_dir, "entrypoint", file="file").select(P, "file").dropna().distinct()
+    r, d = relationships(spark, sf_dir).drop("bidirectional"), dependencies(spark, sf_dir)
+    holds = lambda text: F.exists(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: F.contains(F.lower(e), text))
+    own = (F.col("source") == low) | (F.col("target") == low) | holds(F.lit(low))
+    on_path = F.exists("paths", lambda p: F.contains("source", p) | F.contains("target", p) | F.exists(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: F.contains(F.lower(e), p)))
+    archs = exported(spark, sf_dir, "architecture", pattern="pattern")
+    rules_ = items.where((F.col("entity") == "architecture_rule") & F.contains(F.lower("item"), F.lit(low))).select("export_id", F.col("parent_pos").alias("pos")).distinct()
+    naming = archs.join(rules_, ["export_id", "pos"]).select(P, "pattern").dropna().distinct()
+    first = archs.join(naming.select(P).distinct(), P, "left_anti").where("pos < 3").select(P, "pattern").dropna().distinct()
+    parts = [
+        row(scope, "domain", F.lit(name)),
+        row(within(entries).where(either("file")), "entrypoint", F.col("file")),
+        row(within(r.select(P, "source", "target", "evidence", "edge_id")).where(own | on_path), "relationship", F.col("edge_id")),
+        row(within(d.select(P, "source", "target", "evidence", "edge_id")).where(own), "dependency", F.col("edge_id")),
+        row(within(naming.unionByName(first)), "architecture", F.col("pattern")),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def impact(spark: SparkSession, sf_dir: str, needle: str = "Kernel") -> DataFrame:
     """One step around a name: edges with the text in either end, by end."""
     low = needle.lower()
@@ -258,11 +315,11 @@ def impact(spark: SparkSession, sf_dir: str, needle: str = "Kernel") -> DataFram
 
 
 def _frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exported(spark, sf_dir, "entrypoint", framework="framework", file="file")
+    return exported(spark, sf_dir, "entrypoint", framework="framework", file="file").dropna(subset=[P])
 
 
 def _domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exported(spark, sf_dir, "domain", id="id", name="name")
+    return exported(spark, sf_dir, "domain", id="id", name="name").dropna(subset=[P])
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -577,23 +634,94 @@ def blast_radius(spark: SparkSession, sf_dir: str, root: str = "SharedKernel") -
     return graph.reach(dependencies(spark, sf_dir), _roots(spark, sf_dir, root), [P], "blast-radius").select(P, "node", "depth")
 
 
+def trace_dependencies(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
+    """Everything that a component of each project leads to; without a root from the project's first component by name."""
+    d = dependencies(spark, sf_dir)
+    roots = d.groupBy(P).agg(F.min("source").alias("node")) if root is None else _roots(spark, sf_dir, root)
+    return graph.reach(d, roots, [P], "dependencies").select(P, "root", "node", "depth")
+
+
+def trace_confidence(spark: SparkSession, sf_dir: str, root: str = "EventSpine") -> DataFrame:
+    """Per project of a dependents trace: nodes, edges walked (each source, target and type once, the surest), mean confidence."""
+    d = dependencies(spark, sf_dir)
+    nodes = graph.reach(d, _roots(spark, sf_dir, root), [P], "dependents").select(P, F.col("node").alias("target"))
+    edges_ = d.groupBy(P, "source", "target", "type").agg(F.max("confidence").alias("confidence")).join(nodes, [P, "target"])
+    walked = edges_.groupBy(P).agg(F.count(F.lit(1)).alias("n_edges"), numbers.mean_confidence(F.col("confidence")).alias("confidence"))
+    counts = nodes.groupBy(P).agg(F.count(F.lit(1)).alias("n_nodes"))
+    return counts.join(walked, P, "left").na.fill(0, ["n_edges"]).na.fill(0.0, ["confidence"])
+
+
+def _segments_hold(path: Column, target: str) -> Column:
+    """A path is the target, or has it as whole segments."""
+    t = target.replace("\\", "/").lower()
+    p = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    around = F.concat(F.lit("/"), p, F.lit("/"))
+    return (p == t) | F.contains(around, F.lit(f"/{t}/")) if len(t) > 1 else p == t
+
+
+def entrypoint_downstream(spark: SparkSession, sf_dir: str, target: str = "harbor") -> DataFrame:
+    """project_id, kind, item, confidence: the entrypoints below a path, and what the dependencies that name it lead to."""
+    d = dependencies(spark, sf_dir)
+    files = exported(spark, sf_dir, "entrypoint", file="file", confidence="confidence:double").where("file <> ''").dropna(subset=[P])
+    entries = files.where(_segments_hold(F.col("file"), target)).groupBy(P, F.col("file").alias("item")).agg(F.max("confidence").alias("confidence"))
+    named = d.where(_segments_hold(F.col("source"), target) | _segments_hold(F.col("target"), target))
+    roots = named.select(P, F.explode(F.array("source", "target")).alias("node")).distinct()
+    reached = graph.reach(d, roots, [P], "dependencies").select(P, F.col("node").alias("item")).distinct()
+    return entries.select(P, F.lit("entrypoint").alias("kind"), "item", "confidence").unionByName(reached.select(P, F.lit("component").alias("kind"), "item", F.lit(None).cast("double").alias("confidence")))
+
+
 def mutual_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dependencies(spark, sf_dir)
     r = relationships(spark, sf_dir)
     return graph.two_cycles(d.select(P, "source", "target").unionByName(r.select(P, "source", "target")), [P])
 
 
-def domain_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two levels: the domains a project exported and the components whose path lies in or below the directory of one of a domain's paths."""
+def domain_modules(spark: SparkSession, sf_dir: str, target: str | None = None) -> DataFrame:
+    """Two levels: the domains a project exported and the components whose path lies in or below the directory of one of a domain's paths.
+
+    With a target only domains of that name, or with a path that has it as whole segments.
+    """
     exports = table(spark, sf_dir, "brain_exports").withColumn(P, norm_key(P))
     of = exports.select("export_id", P)
-    items = nested.flat_items(exports, "export_id").where("entity = 'domain_path'")
-    dirs = items.select("export_id", F.col("parent_pos").alias("pos"), paths.dirname(F.col("item")).alias("directory")).where("directory <> ''")
+    items = nested.flat_items(exports, "export_id").where("entity = 'domain_path'").select("export_id", F.col("parent_pos").alias("pos"), "item")
     names = nested.flat_table(exports, "export_id", "domain", {"name": "name"})
+    if target is not None:
+        hits = items.where(_segments_hold(F.col("item"), target)).select("export_id", "pos").unionByName(names.where(F.lower("name") == target.lower()).select("export_id", "pos")).distinct()
+        items = items.join(hits, ["export_id", "pos"], "left_semi")
+    dirs = items.select("export_id", "pos", paths.dirname(F.col("item")).alias("directory")).where("directory <> ''")
     parts = nested.flat_table(exports, "export_id", "component", {"component": "name", "path": "path"})
     below = parts.join(of, "export_id").select(P, "component", F.explode(paths.ancestors(F.col("path"))).alias("directory")).distinct()
     owned = names.join(dirs, ["export_id", "pos"]).join(of, "export_id").select(P, F.col("name").alias("domain"), "directory").distinct()
-    return owned.join(below, [P, "directory"]).select(P, "domain", "component").distinct()
+    return owned.join(below, [P, "directory"]).select(P, "domain", "component").dropna().distinct()
+
+
+def built_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """project_id, claim_id, subject, predicate, claim_object, source_pass, confidence: the claims that the model of each project makes.
+
+    Domains, entrypoints and architectures come from its exports, dependencies and relationships from its merged edges, owners from its
+    rules, risks from those of all kinds. A fact told twice is one claim with the greatest confidence, clamped and at two decimals.
+    """
+    row = lambda df, source, subject, predicate, claim_object, sure: df.select(
+        P, F.lit(source).alias("source_pass"), subject.alias("subject"), predicate.alias("predicate"), claim_object.alias("claim_object"), sure.cast("double").alias("confidence")
+    )
+    c = F.col
+    x = lambda entity, **fields: exported(spark, sf_dir, entity, confidence="confidence:double", **fields)
+    deps = edges.merge_dependencies(dependencies(spark, sf_dir), [P])
+    rels = edges.merge_relationships(relationships(spark, sf_dir), [P])
+    owned = owner_rules(spark, sf_dir).withColumn("sure", F.when(c("source") == "codeowners", 0.95).otherwise(0.75))
+    parts = [
+        row(x("domain", name="name"), "domain-discovery", c("name"), F.lit("is-domain"), F.lit("true"), c("confidence")),
+        row(x("entrypoint", file="file", framework="framework"), "entrypoint-discovery", c("file"), F.lit("is-entrypoint"), c("framework"), c("confidence")),
+        row(x("architecture", pattern="pattern"), "architecture-inference", c(P), F.lit("architecture"), c("pattern"), c("confidence")),
+        row(deps, "dependency-discovery", c("source"), F.lit("depends-on"), F.concat_ws(":", "target", "type"), c("confidence")),
+        row(rels, "relationship-discovery", c("source"), c("kind"), c("target"), c("confidence")),
+        row(owned, "ownership-discovery", c("pattern"), F.lit("owned-by"), c("owner"), c("sure")),
+        row(risks(spark, sf_dir), "risk-discovery", c("target"), F.lit("has-risk"), c("kind"), c("confidence")),
+    ]
+    every = reduce(DataFrame.unionByName, parts).dropna(subset=[P, "subject", "predicate", "claim_object"])
+    sure = numbers.confidence(F.coalesce(F.nanvl(F.max("confidence"), F.lit(0.0)), F.lit(0.0)))
+    once = every.groupBy(P, "subject", "predicate", "claim_object").agg(F.min("source_pass").alias("source_pass"), sure.alias("confidence"))
+    return once.select(P, ids.claim_id(c("subject"), c("predicate"), c("claim_object")).alias("claim_id"), "subject", "predicate", "claim_object", "source_pass", "confidence")
 
 
 QUERIES = {
@@ -603,6 +731,6 @@ QUERIES = {
         edge_search, statistics, list_dependencies, find_component, find_dependency, find_relationship, evidence_search, impact, architecture_signals, architecture_scores, confidence_distribution,
         latency_percentiles, set_metrics, token_domains, path_classes, path_names, model_ids, claim_ids, redacted_evidence, duplicate_documents, large_documents, ownership_resolution, unclear_ownership,
         exposure, project_imports, resolved_imports, missing_references, contradictions, claim_lifecycle, claim_evidence, claim_explanations, evidence_links, brain_summary, list_claims, invalidations, contradiction_delta, contract_violations,
-        snapshot_registry, trace_dependents, blast_radius, mutual_dependencies, domain_modules,
+        snapshot_registry, trace_dependents, blast_radius, trace_dependencies, trace_confidence, entrypoint_downstream, mutual_dependencies, domain_modules, path_search, find_domain, built_claims,
     )
 }

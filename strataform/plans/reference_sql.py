@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from strataform.plans import values_sql as V
-from strataform.plans.store_sql import _CHAIN, _CLAIMS, _SNAPS, _WS, key
+from strataform.plans.store_sql import _CHAIN, _CLAIMS, _SNAPS, _WS, DOCS, P3_FOUND, flat, key
 
 _ROUND = "floor({x} * 100 + 0.5) / 100"
 _MEAN = "coalesce(floor(cast(sum(cast({c} as decimal(12,8))) as double) / nullif(count({c}), 0) * 100 + 0.5) / 100, 0.0)"
@@ -29,7 +29,7 @@ def _last(table: str, columns: dict[str, str]) -> str:
 D = "deps as " + _last("dependency_matches", {"project_id": key("project_id"), "source": key("dep_from"), "target": key("dep_to"), "type": key("dep_type"), "confidence": "confidence", "evidence": "evidence"})
 R = "rels as " + _last(
     "relationship_matches",
-    {"project_id": key("project_id"), "source": key("rel_source"), "target": key("rel_target"), "kind": upper("relationship"), "strength": key("strength"), "bidirectional": "bidirectional", "confidence": "confidence", "evidence": "evidence"},
+    {"project_id": key("project_id"), "source": key("rel_source"), "target": key("rel_target"), "kind": upper("relationship"), "strength": key("strength"), "bidirectional": "bidirectional", "confidence": "confidence", "evidence": "evidence", "target_name": f"trim(rel_target, {_WS})"},
 )
 L = f"files as (select distinct {key('project_id')} as project_id, locator as path from brain_evidence where locator is not null and locator <> '' and {key('project_id')} is not null)"
 
@@ -176,6 +176,93 @@ def refs_of(texts: str) -> str:
 
 _REFS = refs_of(f"select {key('project_id')} as project_id, coalesce(path, '') as path, text from documents where text is not null and {key('project_id')} is not null")
 
+_EXP = f"exp as (select export_id, {key('project_id')} as project_id from brain_exports where {key('project_id')} is not null)"
+
+
+def _needle(text: str) -> str:
+    low = text.lower()
+    return f"""with {D}, {R}, {DOCS}, {_EXP}, h as (select project_id from deps where len(list_filter(evidence, lambda e: contains(lower(e), '{low}'))) > 0 union all select project_id from rels where len(list_filter(evidence, lambda e: contains(lower(e), '{low}'))) > 0
+        union all select e.project_id from (select distinct export_id, entity, parent_pos from ({P3_FOUND}) where entity in ('domain_path', 'architecture_rule') and contains(lower(item), '{low}')) f join exp e using (export_id)
+        union all select e.project_id from ({flat('m', 'entrypoints', {'file': 'file'})}) f join exp e using (export_id) where contains(lower(f.file), '{low}'))
+      select project_id, count(*) as n, {_ROUND.format(x='least(0.99, cast(0.5 as double) + least(count(*), 10) * cast(0.04 as double))')} as confidence from h group by 1"""
+
+
+_FIND_DOMAIN = f"""with {D}, {R}, {DOCS}, {_EXP}, items as ({P3_FOUND}),
+  named as (select e.project_id, d.export_id, d.pos from ({flat('m', 'domains', {'name': 'name'})}) d join exp e using (export_id) where lower(d.name) = 'inventory'),
+  scope as (select n.project_id, coalesce(list(distinct lower(i.item)) filter (i.item is not null), []) as paths from named n left join items i on i.export_id = n.export_id and i.parent_pos = n.pos and i.entity = 'domain_path' and i.item <> '' group by 1),
+  arch as (select e.project_id, a.export_id, a.pos, a.pattern from ({flat('m', 'architectures', {'pattern': 'pattern'})}) a join exp e using (export_id)),
+  naming as (select distinct a.project_id, a.pattern from arch a join items i on i.export_id = a.export_id and i.parent_pos = a.pos and i.entity = 'architecture_rule' and contains(lower(i.item), 'inventory') where a.pattern is not null),
+  firsts as (select distinct project_id, pattern from arch where pos < 3 and pattern is not null and project_id not in (select project_id from naming))
+  select project_id, 'domain' as slice, 'Inventory' as item from scope
+  union select s.project_id, 'entrypoint', f.file from ({flat('m', 'entrypoints', {'file': 'file'})}) f join exp e using (export_id) join scope s using (project_id) where f.file is not null and len(list_filter(s.paths, lambda p: contains(p, lower(f.file)) or contains(lower(f.file), p))) > 0
+  union select s.project_id, 'relationship', cast(r.edge_id as varchar) from rels r join scope s using (project_id) where 'inventory' in (r.source, r.target) or len(list_filter(coalesce(r.evidence, []), lambda x: contains(lower(x), 'inventory'))) > 0
+    or len(list_filter(s.paths, lambda p: contains(r.source, p) or contains(r.target, p) or contains(lower(array_to_string(coalesce(r.evidence, []), chr(10))), p))) > 0
+  union select s.project_id, 'dependency', cast(d.edge_id as varchar) from deps d join scope s using (project_id) where 'inventory' in (d.source, d.target) or len(list_filter(coalesce(d.evidence, []), lambda x: contains(lower(x), 'inventory'))) > 0
+  union select s.project_id, 'architecture', a.pattern from (select * from naming union select * from firsts) a join scope s using (project_id)"""
+
+_h = lambda *names: "(" + " and ".join(f"{n} > 0" for n in names) + ")"
+_CHAINED = _h("controller_service", "service_repository", "repository_database")
+_LAYERS = "((layer_1 > 0)::int + (layer_2 > 0)::int + (layer_3 > 0)::int)"
+#: What supports each pattern and what speaks against it, with the weights.
+_PATTERNS = {
+    "MVC": ([(_h("route_controller"), "1.2"), (_h("controller_service"), "1.4")], [(_h("widget_bloc"), "1.1")]),
+    "MVVM": ([(_h("viewmodel"), "1.5"), (_h("view_model_edge", "viewmodel"), "1.0")], [("(controller_uses_service > 0 and viewmodel = 0)", "0.8")]),
+    "Clean Architecture": (
+        [(_CHAINED, "2.2"), (f"(not {_CHAINED} and controller_service > 0)", "0.7"), (f"(not {_CHAINED} and service_repository > 0)", "0.8"), (f"(not {_CHAINED} and repository_database > 0)", "0.8"), (_h("implements"), "1.3")],
+        [(_h("controller_repository"), "least(controller_repository, 3) * 1.2")],
+    ),
+    "Layered Architecture": ([(_h(f"layer_{i}"), f"case when {_LAYERS} >= 2 then 0.9 else 0.0 end") for i in (1, 2, 3)], []),
+    "Hexagonal": ([(_h("implements"), "1.4"), (_h("module_provides"), "1.0"), (_h("configures"), "0.8")], [(_h("controller_database"), "1.0")]),
+    "Onion": ([("(n_domains > 0 and (provides_named_domain > 0 or contains > 0))", "1.2"), (_h("service_repository"), "1.0")], []),
+    "DDD": ([(_h("n_domains"), "least(n_domains, 3) * 0.7"), (_h("provides_domain"), "1.1"), (_h("repository_database"), "0.9")], []),
+    "Repository Pattern": ([(_h("service_repository"), "1.4"), (_h("repository_database"), "1.2")], [(_h("controller_database"), "1.0")]),
+    "Service Layer": ([(_h("app_service"), "1.5"), (_h("api_service"), "1.1")], []),
+    "Feature-first": ([("(contains >= 2)", "1.3"), (_h("consumes"), "1.2"), (_h("owns"), "0.8")], []),
+    "BLoC": ([(_h("widget_bloc"), "1.6"), (_h("bloc_repository"), "1.3"), (_h("n_flutter"), "0.7")], [(_h("controller_service"), "0.4")]),
+    "Riverpod": ([(_h("riverpod"), "1.5")], [("(riverpod > 0 and n_flutter = 0)", "0.6")]),
+    "Redux": ([(_h("redux"), "1.5")], []),
+    "Microservice": ([("(n_frameworks >= 2)", "n_frameworks * 0.7"), ("(package >= 2)", "0.8")], [("(n_frameworks >= 2 and configures > 0 and package <= 1)", "0.7")]),
+    "Modular Monolith": ([(_h("module_wires"), "1.4"), ("(n_nest > 0 or (n_frameworks = 1 and module_wires > 0))", "1.0"), (_h("package", "module_wires"), "0.8")], [("(n_frameworks >= 3)", "0.9")]),
+    "Plugin Architecture": ([(_h("dynamic"), "1.5"), (_h("dynamic", "module_provides"), "0.9")], []),
+    "Monorepo Workspace": ([(_h("package"), "least(package, 4) * 0.55"), (_h("declared"), "0.8"), (_h("owns"), "0.7")], []),
+}
+
+
+def _cells() -> str:
+    """A row per project and pattern."""
+    total = lambda rs: " + ".join(["cast(0 as double)", *(f"case when {c} then cast(({w}) as double) else cast(0 as double) end" for c, w in rs)])
+    count = lambda rs: " + ".join(["0", *(f"{c}::int" for c, _ in rs)])
+    rows = []
+    for p, (support, against) in _PATTERNS.items():
+        told = "least(widget_bloc_told, 3)" if p == "MVC" else count(against)
+        rows.append(f"select project_id, '{p}' as pattern, {count(support)} as n_rules, {_ROUND.format(x=f'({total(support)})')} as support, {_ROUND.format(x=f'({total(against)})')} as conflict, {told} as n_against from sig")
+    return " union all ".join(rows)
+
+
+_NAMES = [*V.RELATIONSHIP_SIGNALS, *V.DEPENDENCY_SIGNALS]
+_MORE = ["widget_bloc_told", "n_frameworks", "n_nest", "n_flutter", "n_domains", "provides_named_domain"]
+_ARCH = f"""ra as (select project_id, {', '.join(f'count(*) filter ({_matching(**x)}) as {n}' for n, x in V.RELATIONSHIP_SIGNALS.items())}, count(*) filter ({_matching(**V.RELATIONSHIP_SIGNALS['widget_bloc'])} and len(evidence) > 0) as widget_bloc_told from rels group by 1),
+  da as (select project_id, {', '.join(f'count(*) filter ({_matching(**x, kind="type")}) as {n}' for n, x in V.DEPENDENCY_SIGNALS.items())} from deps group by 1),
+  fa as (select e.project_id, count(distinct f.framework) as n_frameworks, count(*) filter (f.framework = 'NestJS') as n_nest, count(*) filter (f.framework = 'Flutter') as n_flutter from ({flat('m', 'entrypoints', {'framework': 'framework'})}) f join exp e using (export_id) group by 1),
+  dn as (select distinct e.project_id, lower(f.name) as name from ({flat('m', 'domains', {'name': 'name'})}) f join exp e using (export_id) where f.name is not null), dc as (select project_id, count(*) as n_domains from dn group by 1),
+  pw as (select project_id, source, target, unnest(regexp_split_to_array(lower(regexp_replace(target_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+')) as name from rels where kind = 'PROVIDES'),
+  pn as (select project_id, count(*) as provides_named_domain from (select distinct project_id, source, target from pw join dn using (project_id, name)) group by 1),
+  ids as (select project_id from ra union select project_id from da union select project_id from fa union select project_id from dc),
+  sig as (select project_id, {', '.join(f'coalesce({n}, 0) as {n}' for n in [*_NAMES, *_MORE])} from ids left join ra using (project_id) left join da using (project_id) left join fa using (project_id) left join dc using (project_id) left join pn using (project_id)),
+  cells as ({_cells()}),
+  inferred as (select project_id, pattern, cast(n_rules as bigint) as n_rules, support, conflict, confidence, n_against from (select *, case when n_rules <= 0 or support <= 0 then cast(0 as double)
+    else {conf('support / (support + conflict * cast(1.25 as double) + cast(0.35 as double)) + least(n_rules, 4) * cast(0.03 as double)', 0.95)} end as confidence from cells) where confidence > 0 and confidence >= 0.55)"""
+
+_RISKS = f"""{D}, {R}, {DOCS}, {_EXP}, {L}, {_OWNED}, {_ARCH},
+  ent as (select e.project_id, f.file as target, max(coalesce(f.confidence, 0)) as sure from ({flat('m', 'entrypoints', {'file': 'file', 'confidence': 'confidence:double'})}) f join exp e using (export_id) where f.file <> '' group by 1, 2),
+  dp as (select e.project_id, i.item as target from ({P3_FOUND}) i join exp e using (export_id) where i.entity = 'domain_path' and i.pos < 3 and i.item <> ''),
+  asked as (select distinct project_id, replace(target, chr(92), '/') as target from (select project_id, target from ent union all select * from dp)),
+  covered as (select distinct a.project_id, a.target from asked a join ready r on r.project_id = a.project_id and regexp_matches(ltrim(a.target, '/'), r.regex)),
+  all_risks as (select * from (select project_id, 'critical-entrypoint' as kind, target, 'high' as severity, {conf('least(cast(0.9 as double), cast(0.55 as double) + sure * cast(0.35 as double))')} as confidence from ent
+    union all select project_id, 'dependency-centrality', target, severity, confidence from ({FAN_IN}) union all select project_id, 'high-coupling', target, severity, confidence from ({COUPLING})
+    union all select project_id, 'architecture-conflict', pattern, 'medium', {conf('least(cast(0.85 as double), cast(0.4 as double) + n_against * cast(0.1 as double))')} from inferred where n_against > 0
+    union all select project_id, 'unclear-ownership', target, 'medium', cast(0.7 as double) from asked anti join covered using (project_id, target)) where confidence >= 0.5)"""
+
 SQL = {
     "finding_summary": f"with {FINDINGS} select repo, {_COUNTS} from f group by 1",
     "finding_dedupe": f"""with {FINDINGS} select repo, rule_id, path, min(finding_id) as finding_id, any_value(severity) as severity,
@@ -183,8 +270,10 @@ SQL = {
     "readiness_scores": f"with {FINDINGS} select repo, strftime(ts, '%Y-%m-%d') as day, {_score()} as score from f group by 1, 2",
     "readiness_scopes": f"""with {FINDINGS} select repo, 'overall' as scope, '' as name, {_score()} as score from f group by 1
       union all select repo, 'category', category, {_score('0')} from f group by 1, 3 union all select repo, 'agent', agent, {_score('0')} from {_AGENTS} group by 1, 3""",
-    "policy_gates": f"""with {FINDINGS}, s as (select repo, {_score()} as score, {_COUNTS} from f group by 1)
-      select repo, 'min-score' as gate, cast(score as bigint) as value from s where score < 30 union all select repo, 'severity-critical', n_critical from s where n_critical > 0""",
+    "policy_gates": f"""with {FINDINGS}, s as (select repo, {_score()} as score, count(*) filter (severity = 'critical') as n_critical, count(*) filter (rule_id in ('login', 'purchase')) as n_ruled, max(len(agents)) = 0 as limited from f group by 1),
+      b as (select distinct repo, path from f where ts < timestamp '2024-01-16'), a as (select distinct repo, path from f where ts >= timestamp '2024-01-16'), n as (select repo, count(*) as n_new from a anti join b using (repo, path) group by 1)
+      select repo, 'minimum-score' as gate, cast(score as bigint) as value from s where score < 30 or limited union all select repo, 'fail-on-severity', n_critical from s where n_critical > 0
+      union all select repo, 'fail-on-rule', n_ruled from s where n_ruled > 0 union all select repo, 'fail-on-new', n_new from n""",
     "finding_diff": f"""with {FINDINGS}, b as (select distinct path from f where ts < timestamp '2024-01-16'), a as (select distinct path from f where ts >= timestamp '2024-01-16')
       select coalesce(a.path, b.path) as path, case when b.path is null then 'new' when a.path is null then 'resolved' else 'remaining' end as status from a full join b on a.path = b.path""",
     "dependency_merge": f"with {D} {DEPENDENCY_MERGE}",
@@ -212,9 +301,9 @@ SQL = {
       qualify row_number() over (partition by project_id order by confidence desc nulls last, source, target, edge_id) = 1""",
     "find_relationship": f"""with {R} select project_id, edge_id, source, target, kind, confidence from rels where target = 'storagehub' and kind = 'CONTAINS'
       qualify row_number() over (partition by project_id order by confidence desc nulls last, source, target, edge_id) = 1""",
-    "evidence_search": f"""with {D}, {R}, h as (select project_id, evidence from deps union all select project_id, evidence from rels)
-      select project_id, count(*) as n, {_ROUND.format(x='least(0.99, cast(0.5 as double) + least(count(*), 10) * cast(0.04 as double))')} as confidence
-      from h where len(list_filter(evidence, lambda e: contains(lower(e), 'injects'))) > 0 group by 1""",
+    "evidence_search": _needle("injects"),
+    "path_search": _needle("harbor"),
+    "find_domain": _FIND_DOMAIN,
     "impact": f"""with {D} select project_id, count(*) filter (contains(target, 'kernel')) as n_inbound, count(*) filter (contains(source, 'kernel')) as n_outbound, count(*) as n_edges
       from deps where contains(source, 'kernel') or contains(target, 'kernel') group by 1""",
     "architecture_signals": f"""with {D}, {R}, p as (select distinct project_id from deps union select distinct project_id from rels),
@@ -295,6 +384,31 @@ SQL = {
       select project_id, snapshot_id, cast(row_number() over w as int) as place, coalesce(h = lag(h) over w, false) as same_hash from o where project_id is not null and snapshot_id is not null window w as (partition by project_id order by created_at, snapshot_id)""",
     "trace_dependents": _reach("eventspine", _BACK),
     "blast_radius": _reach("sharedkernel", f"{_BACK} union all select project_id, source, target from deps"),
+    "trace_dependencies": f"""with recursive {D}, walk(project_id, root, node, depth) using key (project_id, node) as (select project_id, min(source), min(source), 0 from deps group by 1
+      union select w.project_id, any_value(w.root), s.target, min(w.depth) + 1 from walk w join deps s on s.project_id = w.project_id and s.source = w.node left join recurring.walk r on r.project_id = w.project_id and r.node = s.target where r.node is null group by 1, 3)
+      select * from walk""",
+    "trace_confidence": f"""with nodes as ({_reach("eventspine", _BACK)}), e as (with {D} select project_id, source, target, type, max(confidence) as confidence from deps group by all),
+      w as (select e.project_id, count(*) as n_edges, {_MEAN.format(c='confidence')} as confidence from e join nodes n on n.project_id = e.project_id and n.node = e.target group by 1),
+      c as (select project_id, count(*) as n_nodes from nodes group by 1) select c.project_id, n_nodes, coalesce(n_edges, 0) as n_edges, coalesce(confidence, 0) as confidence from c left join w using (project_id)""",
+    "entrypoint_downstream": f"""with {DOCS}, {_EXP}, ent as (select e.project_id, f.file as item, max(f.confidence) as confidence from ({flat('m', 'entrypoints', {'file': 'file', 'confidence': 'confidence:double'})}) f join exp e using (export_id) where f.file <> '' and contains('/' || lower(f.file) || '/', '/harbor/') group by 1, 2)
+      select project_id, 'entrypoint' as kind, item, confidence from ent""",
+    "domain_modules": f"""with {DOCS}, {_EXP}, paths as (select export_id, parent_pos as pos, item from ({P3_FOUND}) where entity = 'domain_path' and contains(item, '/')),
+      own as (select distinct e.project_id, d.name as domain, regexp_replace(p.item, '/[^/]*$', '') as dir from ({flat('m', 'domains', {'name': 'name'})}) d join paths p using (export_id, pos) join exp e using (export_id)),
+      comp as (select distinct e.project_id, c.name as component, c.path from ({flat('b', 'components', {'name': 'name', 'path': 'path'})}) c join exp e using (export_id))
+      select distinct o.project_id, o.domain, c.component from own o join comp c on c.project_id = o.project_id and starts_with(c.path, o.dir || '/') where o.domain is not null and c.component is not null""",
+    "architecture_scores": f"with {D}, {R}, {DOCS}, {_EXP}, {_ARCH} select project_id, pattern, n_rules, support, conflict, confidence from inferred",
+    "risks": f"with {_RISKS} select * from all_risks",
+    "top_risks": f"with {_RISKS} select project_id, cast(place as int) as place, kind, target, severity, confidence from (select *, row_number() over (partition by project_id order by case severity when 'high' then 3 when 'medium' then 2 else 1 end desc, confidence desc, kind, target) as place from all_risks) where place <= 5",
+    "built_claims": f"""with {_RISKS}, facts as (
+        select e.project_id, 'domain-discovery' as source_pass, f.name as subject, 'is-domain' as predicate, 'true' as claim_object, f.confidence from ({flat('m', 'domains', {'name': 'name', 'confidence': 'confidence:double'})}) f join exp e using (export_id)
+        union all select e.project_id, 'entrypoint-discovery', f.file, 'is-entrypoint', f.framework, f.confidence from ({flat('m', 'entrypoints', {'file': 'file', 'framework': 'framework', 'confidence': 'confidence:double'})}) f join exp e using (export_id)
+        union all select e.project_id, 'architecture-inference', e.project_id, 'architecture', f.pattern, f.confidence from ({flat('m', 'architectures', {'pattern': 'pattern', 'confidence': 'confidence:double'})}) f join exp e using (export_id)
+        union all select project_id, 'dependency-discovery', source, 'depends-on', target || coalesce(':' || type, ''), confidence from deps where source <> target or type in ('service', 'repository', 'module')
+        union all select project_id, 'relationship-discovery', source, kind, target, confidence from rels where source <> target
+        union all select project_id, 'ownership-discovery', pattern, 'owned-by', owner, cast(case source when 'codeowners' then 0.95 else 0.75 end as double) from rules
+        union all select project_id, 'risk-discovery', target, 'has-risk', kind, confidence from all_risks)
+      select project_id, 'claim_' || {_hash31("subject || chr(0) || predicate || chr(0) || claim_object")} as claim_id, subject, predicate, claim_object, min(source_pass) as source_pass, {conf('coalesce(max(confidence), cast(0.0 as double))')} as confidence
+      from facts where project_id is not null and subject is not null and predicate is not null and claim_object is not null group by project_id, subject, predicate, claim_object""",
     "resolved_imports": f"""with {L}, refs as (select distinct specifier from (select unnest(list_concat(
           regexp_extract_all(text, '(?m)\\b(?:import|export)\\b[^''"\\n;()]*?[''"]([^''"\\n]+)[''"]', 1), regexp_extract_all(text, '\\brequire\\(\\s*[''"]([^''"\\n]+)[''"]\\s*\\)', 1),
           regexp_extract_all(text, '\\bimport\\(\\s*[''"]([^''"\\n]+)[''"]\\s*\\)', 1))) as specifier from documents where text is not null)
