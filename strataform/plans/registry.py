@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataform.plans import reference, reference_sql, store, store_sql, trees, trees_sql
+from strataform.plans import reference, reference_sql, reports, reports_sql, store, store_sql, trees, trees_sql
 
 
 def numbered(module) -> dict:
@@ -12,5 +12,5 @@ def numbered(module) -> dict:
 
 _STORE = numbered(store)
 
-QUERIES = _STORE | reference.QUERIES | trees.QUERIES
-SQL = {k: getattr(store_sql, k.upper()) for k in _STORE if hasattr(store_sql, k.upper())} | reference_sql.SQL | trees_sql.SQL
+QUERIES = _STORE | reference.QUERIES | trees.QUERIES | reports.QUERIES
+SQL = {k: getattr(store_sql, k.upper()) for k in _STORE if hasattr(store_sql, k.upper())} | reference_sql.SQL | trees_sql.SQL | reports_sql.SQL
