@@ -181,7 +181,7 @@ def injected(text: Column) -> Column:
 
 def implemented(text: Column) -> Column:
     names = F.flatten(F.transform(_all(text, IMPLEMENTED), lambda l: F.split(l, ",")))
-    return F.array_distinct(F.filter(F.transform(names, F.trim), lambda n: n != ""))
+    return F.array_distinct(F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n != ""))
 
 
 def called(text: Column) -> Column:

@@ -61,6 +61,7 @@ WIDE = {
     "packages/shop/payment/payment.controller.ts": "import { S } from '../order/order.service'\nexport class PaymentController {}",
     "packages/shop/payment/invoice.service.ts": "",
     "packages/shop/payment/refund.service.ts": "",
+    "packages/shop/payment/charge.service.ts": "",
 }
 
 
