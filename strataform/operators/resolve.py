@@ -1,7 +1,8 @@
 """Import resolution as joins: references name candidates in order, files offer keys, the first candidate that is a key wins.
 
 Where a language falls back to "some file whose path ends so", the ends of all paths are keys as well, so that no reference is ever
-compared with every file.
+compared with every file. The endings tried behind a candidate are cut off the files' names instead, once per file: a name has one or two
+of them, a reference would have to be repeated for each.
 """
 
 from __future__ import annotations
@@ -20,18 +21,24 @@ TRIED = (
 
 
 def file_keys(files: DataFrame, scope: list[str]) -> DataFrame:
-    """scope, key, exact, target: every name a file answers to. Of several files the first in path order answers.
+    """scope, key, exact, tried, target: every candidate that some file answers, and the place in TRIED of the ending it lacks, the first of several.
 
-    Exact keys: the path, the path without extension, the directory of an index file. Other keys: the ends of the path without extension.
+    Exact names: the path, the path without extension, the directory of an index file. Other names, without endings: the ends of the path
+    without extension. Of several files with the same name the first in path order answers.
     """
     f = files.select(*scope, "path").dropna().distinct()
     plain = P.stem(F.col("path"))
     index = F.col("path").rlike(r"/(index\.(ts|js)|__init__\.py|mod\.rs)\z")
-    key = lambda k, rank, exact: F.struct(k.alias("key"), F.lit(rank).alias("rank"), F.lit(exact).alias("exact"))
-    exact = F.array(key(F.col("path"), 0, True), key(plain, 1, True), key(F.when(index, P.dirname(F.col("path"))), 2, True))
-    ends = F.transform(F.filter(P.suffixes(plain), lambda _, i: i > 0), lambda s: key(s, 3, False))
-    keyed = f.select(*scope, "path", F.inline(F.concat(exact, ends))).where("key is not null and key <> ''")
-    return keyed.groupBy(*scope, "key", "exact").agg(F.min_by("path", F.struct("rank", "path")).alias("target"))
+    name = lambda k, rank: F.struct(k.alias("name"), F.lit(rank).alias("rank"))
+    key = lambda k, exact, tried, rank: F.struct(k.alias("key"), F.lit(exact).alias("exact"), tried.alias("tried"), rank.alias("rank"))
+    names = F.filter(F.array(name(F.col("path"), 0), name(plain, 1), name(F.when(index, P.dirname(F.col("path"))), 2)), lambda n: n["name"] != "")
+    endings = F.array(*[F.struct(F.lit(e).alias("e"), F.lit(k).alias("k")) for k, e in enumerate(TRIED)])
+    cut = lambda n, t: F.left(n["name"], F.length(n["name"]) - F.length(t["e"]))
+    exact = F.transform(names, lambda n: F.transform(F.filter(endings, lambda t: F.endswith(n["name"], t["e"])), lambda t: key(cut(n, t), True, t["k"], n["rank"])))
+    ends = F.transform(F.filter(P.suffixes(plain), lambda s, i: (i > 0) & (s != "")), lambda s: key(s, False, F.lit(0), F.lit(3)))
+    keyed = f.select(*scope, "path", F.inline(F.concat(F.flatten(exact), ends)))
+    first = keyed.groupBy(*scope, "key", "exact").agg(F.min(F.struct("tried", "rank", "path")).alias("m"))
+    return first.select(*scope, "key", "exact", "m.tried", F.col("m.path").alias("target"))
 
 
 def candidates(from_path: Column, specifier: Column) -> Column:
@@ -72,16 +79,7 @@ def resolve(references: DataFrame, files: DataFrame, scope: list[str]) -> DataFr
     Two shuffle joins at most: distinct references meet the keys of their scope, and the targets come back to all references.
     """
     refs = references.select(*scope, "path", "specifier").dropna().distinct()
-    tried = F.flatten(
-        F.transform(
-            candidates(F.col("path"), F.col("specifier")),
-            lambda c, i: F.transform(
-                F.array(*[F.struct(F.lit(e).alias("e"), F.lit(k).alias("k")) for k, e in enumerate(TRIED)]),
-                lambda t: F.struct(F.concat(c["key"], t["e"]).alias("key"), c["exact"].alias("exact"), (i * 100 + t["k"]).alias("rank")),
-            ),
-        )
-    )
-    wanted = refs.select(*scope, "path", "specifier", F.inline(F.filter(tried, lambda t: (t["key"] != "") & (t["exact"] | (t["rank"] % 100 == 0)))))
-    hits = wanted.join(file_keys(files, scope), [*scope, "key", "exact"])
-    best = hits.groupBy(*scope, "path", "specifier").agg(F.min_by("target", "rank").alias("target"))
+    wanted = refs.select(*scope, "path", "specifier", F.posexplode(F.array_distinct(candidates(F.col("path"), F.col("specifier")))).alias("i", "c"))
+    hits = wanted.select(*scope, "path", "specifier", "i", "c.key", "c.exact").join(file_keys(files, scope), [*scope, "key", "exact"])
+    best = hits.groupBy(*scope, "path", "specifier").agg(F.min_by("target", F.struct("i", "tried")).alias("target"))
     return references.join(best, [*scope, "path", "specifier"], "left")

@@ -136,3 +136,28 @@ def test_resolve(spark):
     df = spark.createDataFrame([("r", p, s) for p, s, _ in refs], "repo string, path string, specifier string")
     got = rows(resolve(df, files, ["repo"]).select("path", "specifier", "target"))
     assert got == sorted(refs, key=repr)
+
+
+def test_endings_are_tried_on_files_not_on_references(spark):
+    # The first ending in order wins, the file as it stands before all, an index after all extensions.
+    paths = [("a", "x.ts"), ("a", "x/index.ts"), ("a", "x"), ("a", "y.js"), ("a", "y/index.dart"), ("a", "z/mod.rs"), ("a", ".ts"), ("a", "w.ts.tsx"), ("a", "w.ts/v.ts"), ("a", "n7.ts"), ("b", "x.go")]
+    files = spark.createDataFrame(paths, "repo string, path string")
+    refs = [
+        ("a", "m.ts", "./x", "x"), ("a", "m.ts", "x.js", "x"), ("a", "m.ts", "y", "y.js"), ("a", "m.ts", "z", "z/mod.rs"), ("a", "m.ts", "..", ".ts"), ("a", "m.ts", "w", "w.ts.tsx"), ("a", "m.dart", "package:q/v", "w.ts/v.ts"),
+        ("a", "m.py", "x.index", "x/index.ts"), ("b", "m.ts", "x", "x.go"), ("b", "m.ts", "y", None),
+    ]
+    schema = "repo string, path string, specifier string"
+    assert rows(resolve(spark.createDataFrame([r[:3] for r in refs], schema), files, ["repo"])) == sorted(refs, key=repr)
+    # A side that Spark may send to all tasks has one row for each candidate: Spark takes it to be as large as the references.
+    many = spark.createDataFrame([("a", "m.ts", f"n{i}") for i in range(600)], schema)
+    done = resolve(many, files, ["repo"])
+    assert len(done.collect()) == 600
+    made = [n.metrics().apply("numOutputRows").value() for n in _nodes(done._jdf.queryExecution().executedPlan()) if n.nodeName() == "Generate"]
+    assert made and max(made) <= 600
+
+
+def _nodes(node):
+    """The nodes of a plan that ran, those of its stages too."""
+    kind = node.getClass().getSimpleName()
+    below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+    return [node, *(n for b in below for n in _nodes(b))]
