@@ -12,8 +12,8 @@ from strataform.functions import paths as P
 from strataform.functions import text as X
 from strataform.operators import entrypoints
 from strataform.operators.edges import mark_bidirectional, merge_dependencies, merge_relationships
-from strataform.operators.resolve import resolve
-from strataform.operators.skew import join_dimension
+from strataform.operators.resolve import LOOSE, resolve
+from strataform.operators.skew import is_within, join_dimension, join_hot
 from strataform.sources.shared import written
 
 # Owners
@@ -165,11 +165,20 @@ def relation_type(source: Column, target: Column, base: Column) -> Column:
 VERBS = {"require": "requires", "dynamic-import": "dynamically imports", "export": "re-exports", "route": "routes to", "module": "modules"}
 
 
+#: Files of one directory, at any depth, above which they are spread over several tasks.
+HOT_FILES = 100_000
+
+
 def labels(files: DataFrame) -> DataFrame:
     """repo, path, label of every source file: the package whose directory holds it, the deepest of several, else its module."""
     own = files.where((F.col("kind") == "file") & P.is_source(F.col("path"))).select("repo", "path")
     roots = packages(files).where("root <> ''").select("repo", "root", "name")
-    inside = join_dimension(own.withColumn("root", F.explode(P.ancestors(F.col("path")))), roots, ["repo", "root"], "path")
+    above, on = own.withColumn("root", F.explode(P.ancestors(F.col("path")))), ["repo", "root"]
+    if is_within(roots):
+        inside = above.join(F.broadcast(roots), on)
+    else:
+        # Only directories that hold very many files are spread: repeating every root over salts would write each of them 32 times.
+        inside = join_hot(above, roots, on, above.groupBy(*on).count().where(F.col("count") > HOT_FILES).drop("count"), "path")
     deepest = inside.groupBy("repo", "path").agg(F.max_by("name", F.struct(F.length("root"), "name")).alias("package"))
     return own.join(deepest, ["repo", "path"], "left").select("repo", "path", F.coalesce(package_label(F.col("package")), module_label(F.col("path"))).alias("label"))
 
@@ -228,9 +237,9 @@ def resolved(references: DataFrame, files: DataFrame) -> DataFrame:
     met = met.withColumn("path", F.when(F.col("lang") == "go", "root.go").otherwise("root.ts"))
     go = there.where(P.extension(F.col("path")) == "go").select("repo", "path", F.explode(P.ancestors(F.col("path"))).alias("specifier"))
     go = go.groupBy("repo", "specifier").agg(F.min("path").alias("within")).withColumn("lang", F.lit("go"))
-    hits = resolve(met, there, ["repo"]).join(go, ["repo", "lang", "specifier"], "left").withColumn("target", F.coalesce("target", "within")).where("target is not null")
+    hits = resolve(met, there, ["repo"], with_ends=False).join(go, ["repo", "lang", "specifier"], "left").withColumn("target", F.coalesce("target", "within")).where("target is not null")
     best = hits.groupBy("repo", F.col("own").alias("path"), F.col("said").alias("specifier")).agg(F.min_by("target", "ord").alias("mapped"))
-    plain = resolve(references, there, ["repo"])
+    plain = resolve(references, there, ["repo"], with_ends=not references.where(ext.isin(LOOSE)).isEmpty())
     return plain.join(best, ["repo", "path", "specifier"], "left").withColumn("target", F.coalesce("mapped", "target")).drop("mapped")
 
 
@@ -238,8 +247,11 @@ def package_label(name: Column) -> Column:
     return P.title_case(F.element_at(F.split(name, "/"), -1))
 
 
-def package_edges(references: DataFrame, files: DataFrame) -> DataFrame:
-    """repo, source, target, type, confidence, evidence: packages that a manifest needs, and unresolved script imports that name a package."""
+def package_edges(references: DataFrame, files: DataFrame, named: DataFrame) -> DataFrame:
+    """repo, source, target, type, confidence, evidence: packages that a manifest needs, and unresolved script imports that name a package.
+
+    ``named``: the labels of the files.
+    """
     known = packages(files)
     names = known.select("repo", F.col("name").alias("needed")).distinct()
     needs = known.select("repo", "path", "name", F.explode("needs").alias("needed")).join(names, ["repo", "needed"])
@@ -250,7 +262,7 @@ def package_edges(references: DataFrame, files: DataFrame) -> DataFrame:
     script = references.where(P.extension(F.col("path")).isin("ts", "tsx", "js", "jsx", "mjs", "cjs"))
     scoped = F.regexp_extract("specifier", r"\A(@[^/]*/[^/]*)", 1)
     each = script.select("repo", "path", "specifier", F.explode(F.array_distinct(F.array(F.col("specifier"), scoped))).alias("needed")).join(names, ["repo", "needed"])
-    used = each.join(labels(files), ["repo", "path"]).select(
+    used = each.join(named, ["repo", "path"]).select(
         "repo", F.col("label").alias("source"), package_label(F.col("needed")).alias("target"), F.lit("import").alias("type"), F.lit(N.DEPENDENCY_CONFIDENCE["import"]).alias("confidence"),
         F.array(F.concat("path", F.lit(" references package "), "needed", F.lit(" via "), "specifier")).alias("evidence"),
     )
@@ -258,9 +270,9 @@ def package_edges(references: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def references(files: DataFrame) -> DataFrame:
-    """repo, path, specifier, type, target (null where it is no file): what the source files refer to."""
+    """repo, path, specifier, type, target (null where it is no file): what the source files refer to. The texts are read once."""
     f = files.where((F.col("kind") == "file") & F.col("text").isNotNull() & P.is_source(F.col("path")))
-    return resolved(f.select("repo", "path", F.inline(X.typed_references(F.col("text"), P.extension(F.col("path"))))), files)
+    return resolved(written(f.select("repo", "path", F.inline(X.typed_references(F.col("text"), P.extension(F.col("path")))))), files)
 
 
 def dependencies(files: DataFrame, minimum: float = 0.7, refs: DataFrame | None = None) -> DataFrame:
@@ -268,10 +280,10 @@ def dependencies(files: DataFrame, minimum: float = 0.7, refs: DataFrame | None
 
     ``refs``: the references of the files, if they are at hand.
     """
-    refs = references(files) if refs is None else refs
+    refs = written(references(files)) if refs is None else refs
     kind = relation_type(F.col("path"), F.col("target"), F.col("type"))
     found = refs.where("target is not null").withColumn("kind", kind)
-    named = labels(files)
+    named = written(labels(files))
     ends = lambda on, out: named.select("repo", F.col("path").alias(on), F.col("label").alias(out))
     told = found.join(ends("path", "source"), ["repo", "path"]).join(ends("target", "to"), ["repo", "target"])
     verb = F.coalesce(F.create_map(*[F.lit(x) for kv in VERBS.items() for x in kv])[F.col("kind")], F.lit("imports"))
@@ -279,7 +291,7 @@ def dependencies(files: DataFrame, minimum: float = 0.7, refs: DataFrame | None
     edges = told.select(
         "repo", "source", F.col("to").alias("target"), F.col("kind").alias("type"), sure[F.col("kind")].alias("confidence"), F.array(F.concat_ws(" ", "path", verb, "target")).alias("evidence"),
     )
-    edges = edges.unionByName(package_edges(refs.where("target is null"), files))
+    edges = edges.unionByName(package_edges(refs.where("target is null"), files, named))
     return merge_dependencies(edges, ["repo"]).where(F.col("confidence") >= minimum)
 
 

@@ -20,13 +20,17 @@ TRIED = (
 )
 
 
-def file_keys(files: DataFrame, scope: list[str]) -> DataFrame:
+#: Languages that fall back to the ends of paths.
+LOOSE = ["py", "java", "php", "dart"]
+
+
+def file_keys(files: DataFrame, scope: list[str], with_ends: bool = True) -> DataFrame:
     """scope, key, exact, tried, target: every candidate that some file answers, and the place in TRIED of the ending it lacks, the first of several.
 
     Exact names: the path, the path without extension, the directory of an index file. Other names, without endings: the ends of the path
     without extension. Of several files with the same name the first in path order answers.
     """
-    f = files.select(*scope, "path").dropna().distinct()
+    f = files.select(*scope, "path").dropna()
     plain = P.stem(F.col("path"))
     index = F.col("path").rlike(r"/(index\.(ts|js)|__init__\.py|mod\.rs)\z")
     name = lambda k, rank: F.struct(k.alias("name"), F.lit(rank).alias("rank"))
@@ -36,9 +40,11 @@ def file_keys(files: DataFrame, scope: list[str]) -> DataFrame:
     cut = lambda n, t: F.left(n["name"], F.length(n["name"]) - F.length(t["e"]))
     exact = F.transform(names, lambda n: F.transform(F.filter(endings, lambda t: F.endswith(n["name"], t["e"])), lambda t: key(cut(n, t), True, t["k"], n["rank"])))
     ends = F.transform(F.filter(P.suffixes(plain), lambda s, i: (i > 0) & (s != "")), lambda s: key(s, False, F.lit(0), F.lit(3)))
-    keyed = f.select(*scope, "path", F.inline(F.concat(F.flatten(exact), ends)))
-    first = keyed.groupBy(*scope, "key", "exact").agg(F.min(F.struct("tried", "rank", "path")).alias("m"))
-    return first.select(*scope, "key", "exact", "m.tried", F.col("m.path").alias("target"))
+    keyed = f.select(*scope, "path", F.inline(F.concat(F.flatten(exact), ends) if with_ends else F.flatten(exact)))
+    # An exact key begins its path, so the rest of the path is enough, and of paths with the same beginning the rests are in path order.
+    rest = F.when(F.col("exact"), F.substr("path", F.length("key") + 1)).otherwise(F.col("path"))
+    first = keyed.groupBy(*scope, "key", "exact").agg(F.min(F.struct("tried", "rank", rest.alias("rest"))).alias("m"))
+    return first.select(*scope, "key", "exact", "m.tried", F.when(F.col("exact"), F.concat("key", "m.rest")).otherwise(F.col("m.rest")).alias("target"))
 
 
 def candidates(from_path: Column, specifier: Column) -> Column:
@@ -73,13 +79,15 @@ def candidates(from_path: Column, specifier: Column) -> Column:
     )
 
 
-def resolve(references: DataFrame, files: DataFrame, scope: list[str]) -> DataFrame:
+def resolve(references: DataFrame, files: DataFrame, scope: list[str], with_ends: bool = True) -> DataFrame:
     """references (scope, path, specifier, ...) with ``target``, the file meant, or null. Repeated references stay rows of their own.
 
-    Two shuffle joins at most: distinct references meet the keys of their scope, and the targets come back to all references.
+    ``with_ends``: False if no path of the references is of a language in LOOSE, so that nothing asks for the ends of files' paths.
+
+    Two shuffle joins at most: references meet the keys of their scope, and the targets come back to all references.
     """
-    refs = references.select(*scope, "path", "specifier").dropna().distinct()
+    refs = references.select(*scope, "path", "specifier").dropna()
     wanted = refs.select(*scope, "path", "specifier", F.posexplode(F.array_distinct(candidates(F.col("path"), F.col("specifier")))).alias("i", "c"))
-    hits = wanted.select(*scope, "path", "specifier", "i", "c.key", "c.exact").join(file_keys(files, scope), [*scope, "key", "exact"])
+    hits = wanted.select(*scope, "path", "specifier", "i", "c.key", "c.exact").join(file_keys(files, scope, with_ends), [*scope, "key", "exact"])
     best = hits.groupBy(*scope, "path", "specifier").agg(F.min_by("target", F.struct("i", "tried")).alias("target"))
     return references.join(best, [*scope, "path", "specifier"], "left")

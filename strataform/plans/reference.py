@@ -508,7 +508,7 @@ def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     d = table(spark, sf_dir, "documents").where("text is not null")
     refs = d.select(F.explode(text.references(F.col("text"), F.lit("ts"))).alias("specifier")).distinct().withColumn("path", F.lit("root.ts"))
-    found = resolve(refs, locators(spark, sf_dir), [])
+    found = resolve(refs, locators(spark, sf_dir), [], with_ends=False)
     return found.select("specifier", F.coalesce("target", F.lit("")).alias("target"))
 
 

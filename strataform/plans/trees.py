@@ -43,10 +43,10 @@ def source_path(name: Column) -> Column:
 
 
 def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """repo, source, target, type: the distinct dependencies by their names as spelt."""
+    """repo, source, target, type: the dependencies by their names as spelt, repeats too; files and manifests take each once."""
     t = table(spark, sf_dir, "dependency_matches")
     t = t.select(norm_key("project_id").alias("repo"), strip("dep_from").alias("source"), strip("dep_to").alias("target"), norm_key("dep_type").alias("type"))
-    return t.where("source <> '' and target <> ''").dropna().distinct()
+    return t.where("source <> '' and target <> ''").dropna()
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,22 +60,22 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("import { X } from '"), to, F.lit("';")))
     )
     r = table(spark, sf_dir, "relationship_matches").where(norm_upper("relationship") == "IMPLEMENTS")
-    r = r.select(norm_key("project_id").alias("repo"), strip("rel_source").alias("source"), strip("rel_target").alias("target")).where("source <> '' and target <> ''").dropna().distinct()
+    r = r.select(norm_key("project_id").alias("repo"), strip("rel_source").alias("source"), strip("rel_target").alias("target")).where("source <> '' and target <> ''").dropna()
     head = lambda c: F.concat(F.lit("export class "), F.col(c), F.lit(" {}"))
     lines = [
         edges.select("repo", F.col("source").alias("name"), line.alias("line")),
         *[df.select("repo", F.col(c).alias("name"), head(c).alias("line")) for df in (edges, r) for c in ("source", "target")],
         r.select("repo", F.col("source").alias("name"), F.concat(F.lit("class "), F.col("source"), F.lit(" implements "), F.col("target"), F.lit(" {}")).alias("line")),
     ]
-    each = reduce(DataFrame.unionByName, lines).select("repo", source_path(F.col("name")).alias("path"), "line").distinct()
+    each = reduce(DataFrame.unionByName, lines).select("repo", source_path(F.col("name")).alias("path"), "line")
     # Heads first: an import never sorts before them.
-    text = F.array_join(F.sort_array(F.collect_list(F.concat(F.when(F.col("line").startswith("export class"), "0").otherwise("1"), F.col("line")))), "\n")
+    text = F.array_join(F.sort_array(F.collect_set(F.concat(F.when(F.col("line").startswith("export class"), "0").otherwise("1"), F.col("line")))), "\n")
     made = each.groupBy("repo", "path").agg(F.regexp_replace(text, r"(?m)^[01]", "").alias("t"))
     return _file(made, F.col("path"), F.col("t"))
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = tree_edges(spark, sf_dir).where("type = 'package'").select("repo", F.lower("source").alias("name"), F.lower("target").alias("to")).distinct()
+    edges = tree_edges(spark, sf_dir).where("type = 'package'").select("repo", F.lower("source").alias("name"), F.lower("target").alias("to"))
     every = edges.unionByName(edges.select("repo", F.col("to").alias("name"), F.lit(None).cast("string").alias("to")))
     needs = every.groupBy("repo", "name").agg(F.map_from_arrays(F.array_sort(F.collect_set("to")), F.transform(F.array_sort(F.collect_set("to")), lambda _: F.lit("*"))).alias("dependencies"))
     return _file(needs, F.concat(F.lit("packages/"), "name", F.lit("/package.json")), F.to_json(F.struct("name", "dependencies")))
