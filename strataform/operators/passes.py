@@ -170,8 +170,8 @@ HOT_FILES = 100_000
 
 
 def labels(files: DataFrame) -> DataFrame:
-    """repo, path, label of every source file: the package whose directory holds it, the deepest of several, else its module."""
-    own = files.where((F.col("kind") == "file") & P.is_source(F.col("path"))).select("repo", "path")
+    """repo, path, label of every file, as an import may mean one that is no source: the package whose directory holds it, the deepest of several, else its module."""
+    own = files.where("kind = 'file'").select("repo", "path")
     roots = packages(files).where("root <> ''").select("repo", "root", "name")
     above, on = own.withColumn("root", F.explode(P.ancestors(F.col("path")))), ["repo", "root"]
     if is_within(roots):

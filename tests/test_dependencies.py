@@ -38,3 +38,9 @@ def test_ends_of_paths_are_keys_only_where_asked_for(spark):
     files = spark.createDataFrame([("r", "a/b/c.ts"), ("r", "b/c.ts")], "repo string, path string")
     assert rows(resolve.file_keys(files, ["repo"], with_ends=False)) == [("r", "a/b/c", True, 0, "a/b/c.ts"), ("r", "a/b/c.ts", True, 0, "a/b/c.ts"), ("r", "b/c", True, 0, "b/c.ts"), ("r", "b/c.ts", True, 0, "b/c.ts")]
     assert [r for r in rows(resolve.file_keys(files, ["repo"])) if not r[2]] == [("r", "b/c", False, 0, "a/b/c.ts"), ("r", "c", False, 0, "a/b/c.ts")]
+
+
+def test_files_that_are_no_source_are_targets(spark):
+    tree = {"src/onyx/a.ts": "import '../coral/report.provider'", "src/coral/report.provider.json": None}
+    files = spark.createDataFrame([("r", p, "file", t) for p, t in tree.items()], "repo string, path string, kind string, text string")
+    assert [(r.source, r.target, r.type, r.evidence) for r in passes.dependencies(files).collect()] == [("Onyx", "Coral", "import", ["src/onyx/a.ts imports src/coral/report.provider.json"])]
